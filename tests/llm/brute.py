@@ -58,3 +58,15 @@ def contamination(docs: dict[int, str | None], items: dict[int, str | None], win
                     hit |= set(range(i, i + n))
         out[k] = (len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit))
     return out
+
+
+def secrets(text: str | None) -> list[tuple[str, int, int]]:
+    """Base findings, by start and kind."""
+    t, out = text or "", []
+    key = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
+    for m in re.finditer(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, k, b in sorted(out)]
