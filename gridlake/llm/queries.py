@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, secret_scan, simhash, tokens
+from . import decontam, langid, licenses, pii, secret_scan, simhash, tokens, toxicity
 from .run import held_out
 
 
@@ -22,6 +22,12 @@ def count_of(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    model = toxicity.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     kinds = [k for k, _, _ in secret_scan.BASE]
@@ -46,6 +52,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).drop("text").withColumnRenamed("pii", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    count = [F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *count, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,5 +83,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op7_licenses, op4_decontamination, op6_simhash, op9_bpe, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secrets, op5_pii, op7_licenses, op4_decontamination, op6_simhash, op9_bpe, op10_langid)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}

@@ -68,12 +68,14 @@ class Words:
         self.count = np.bincount(self.doc, minlength=n)
         self.at = np.cumsum(self.count) - self.count
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, seed: int = 0, prefix: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first bytes (a shorter word whole)."""
         if not len(self.length):
             return np.zeros(0, np.uint64)
         within = np.arange(len(self.letters)) - np.repeat(self.first, self.length)
         x = (self.letters.astype(np.uint64) + np.uint64(1)) * powers(int(self.length.max()).bit_length())[within]
+        if prefix:
+            x *= within < prefix
         return mix(np.add.reduceat(x, self.first) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:

@@ -70,3 +70,27 @@ def secrets(text: str | None) -> list[tuple[str, int, int]]:
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
     return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+def personal(text: str | None) -> list[tuple[str, int, int]]:
+    """Base findings, by start and kind."""
+    t, out = text or "", []
+    for i, (kind, pattern) in enumerate(
+        [
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+            ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+            ("card", r"[0-9]([\x20-]?[0-9])+"),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+        ]
+    ):
+        for m in re.finditer(pattern, t):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            odd = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits)))
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and odd % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), i, kind, m.end()))
+    return [(k, a, b) for a, _, k, b in sorted(out)]
