@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, pii, secret_scan, simhash, tokens, toxicity
+from . import decontam, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity
 from .run import held_out
 
 
@@ -18,6 +18,12 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op2_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 7, 2))
+    model = suffix_lm.train(docs.where(~F.col("held_out")))
+    return suffix_lm.score(docs, model)
+
+
 def count_of(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -83,5 +89,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_secrets, op5_pii, op7_licenses, op4_decontamination, op6_simhash, op9_bpe, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_lm, op3_secrets, op5_pii, op7_licenses, op4_decontamination, op6_simhash, op9_bpe, op10_langid)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
