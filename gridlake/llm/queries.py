@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity
+from . import decontam, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity, webp
 from .run import held_out
 
 
@@ -71,6 +71,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = webp.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return webp.digests(webp.restore(stored)).withColumnRenamed("features", "feature")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,5 +94,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_lm, op3_secrets, op5_pii, op7_licenses, op4_decontamination, op6_simhash, op9_bpe, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_lm, op3_secrets, op5_pii, op7_licenses, op4_decontamination, op6_simhash, op8_webp, op9_bpe, op10_langid)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
