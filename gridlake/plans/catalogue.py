@@ -168,11 +168,11 @@ def clip_points(spark, d):
 @register(
     "nearest_3x3_fill",
     f"""WITH {GRID}, m AS (SELECT cell_id, y_idx, x_idx, CASE WHEN cell_id % 7 <> 3 THEN max(v) END AS v FROM grid GROUP BY cell_id, y_idx, x_idx),
-    f AS (SELECT a.cell_id, a.v, avg(b.v) AS near FROM m a LEFT JOIN m b ON abs(a.y_idx - b.y_idx) <= 1 AND abs(a.x_idx - b.x_idx) <= 1 GROUP BY a.cell_id, a.v) SELECT cell_id, round(coalesce(v, near), 4) AS v FROM f""",
+    f AS (SELECT a.cell_id, a.v, avg(b.v) AS near FROM m a LEFT JOIN m b ON abs(a.y_idx - b.y_idx) <= 1 AND abs(a.x_idx - b.x_idx) <= 1 GROUP BY a.cell_id, a.v) SELECT cell_id, round(coalesce(v, near), 6) AS v FROM f""",
 )
 def nearest_fill(spark, d):
     m = grid(spark, d).groupBy("cell_id", "y_idx", "x_idx").agg(F.max("v").alias("v")).withColumn("v", F.when(F.col("cell_id") % 7 != 3, F.col("v")))
-    return rounded(select.fill_from_neighbours(m, [], "v").select("cell_id", "v"), "v")
+    return rounded(select.fill_from_neighbours(m, [], "v").select("cell_id", "v"), "v", places=6)
 
 
 # Aggregations
