@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 
@@ -44,6 +45,19 @@ def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         yield lo, len(texts)
 
 
+def parts(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """As blocks(), and the texts of each; only these are copied out of Arrow."""
+    for lo, hi in blocks(_Sizes(pc.binary_length(column.cast(pa.binary())).fill_null(0).to_pylist()), most):
+        yield lo, hi, utf8(column.slice(lo, hi - lo))
+
+
+class _Sizes(list):
+    """Lengths, as a list of things that have them."""
+
+    def __iter__(self):
+        return (range(n) for n in super().__iter__())
+
+
 class Words:
     """The words of some texts, lower-cased (A-Z only).
 

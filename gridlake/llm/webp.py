@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vp8l
-from .text import blocks, utf8
+from .text import blocks, parts
 
 WIDTH, STRIP = 64, 1 << 14
 MOST = 11  # bits of the longest code
-BLOCK = 4 << 20
+BLOCK, ENCODED = 2 << 20, 1 << 18
 _REVERSE = np.array([int(f"{i:011b}"[::-1], 2) for i in range(1 << MOST)], np.int64)
 
 
@@ -122,7 +122,7 @@ def encode(strips: list[bytes]) -> list[bytes]:
     total = np.bincount(lane, n, minlength=len(strips)).astype(np.int64)
     lengths = _NIBBLE[bits].reshape(len(strips), -1)
     at = np.cumsum(n) - n
-    flat = (np.repeat(code, n) >> (np.arange(int(n.sum())) - np.repeat(at, n)) & 1).astype(np.uint8)
+    flat = (np.repeat(code.astype(np.int32), n) >> (np.arange(int(n.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), n)) & 1).astype(np.uint8)
     out, done = [], 0
     for i, m in enumerate(total):
         head = np.unpackbits(np.frombuffer((0x2F | (WIDTH - 1) << 8 | (int(size[i]) // WIDTH - 1) << 22).to_bytes(5, "little"), np.uint8), bitorder="little")[:36]
@@ -144,8 +144,7 @@ def _lanes(streams: list[bytes]) -> list[np.ndarray]:
     order, span, _ = _sorted_codes(lengths)
     if ((lengths > MOST).any(1) | (span.sum(1) != 1 << MOST)).any():
         raise ValueError("a prefix code is not complete")
-    symbol = np.repeat(order.ravel(), span.ravel())
-    table = (symbol << 4 | np.repeat(np.take_along_axis(lengths, order, 1).ravel(), span.ravel())).astype(np.uint16)
+    table = np.repeat((order << 4 | np.take_along_axis(lengths, order, 1)).astype(np.uint16).ravel(), span.ravel())
     samples = height * WIDTH
     lane = np.argsort(-samples, kind="stable")
     live = np.searchsorted(-samples[lane], -np.arange(int(samples.max())), "left")
@@ -181,8 +180,8 @@ def decode(files: list[bytes]) -> list[bytes]:
             out[i] = image[..., 2].tobytes()
     # strips of like length together, in groups of bounded size
     own.sort(key=lambda i: len(streams[i]))
-    for lo in range(0, len(own), 1024):
-        part = own[lo : lo + 1024]
+    for lo in range(0, len(own), 512):
+        part = own[lo : lo + 512]
         for i, x in zip(part, _lanes([streams[i] for i in part]), strict=True):
             out[i] = x.tobytes()
     return out
@@ -192,26 +191,47 @@ def _padded(data: bytes) -> bytes:
     return data + bytes(max(-len(data) % WIDTH, 0 if data else WIDTH))
 
 
-def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """df with n_bytes of its texts and an array of WebP files that hold them, padded to rows of WIDTH bytes."""
+def store(df: DataFrame, text: str = "text", media: str = "media", payload: str | None = None) -> DataFrame:
+    """df with n_bytes of its texts and an array of WebP files that hold them, padded to rows of WIDTH bytes.
+
+    With a name for `payload` the files are read back in the same pass, as
+    restore() does, which needs one Python worker a task instead of two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch[text])
-            for lo, hi in blocks(texts, BLOCK):
-                strips = [[p[k : k + STRIP] for k in range(0, len(p), STRIP)] for p in map(_padded, texts[lo:hi])]
-                files = iter(encode([s for x in strips for s in x]))
-                found = pa.array([[next(files) for _ in x] for x in strips], pa.list_(pa.binary()))
-                sizes = pa.array([len(t) for t in texts[lo:hi]], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, sizes, found], [*batch.schema.names, "n_bytes", media])
+            for lo, hi, texts in parts(batch[text], BLOCK):
+                files = _files(texts)
+                more = {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), media: pa.array(files, pa.list_(pa.binary()))}
+                if payload:
+                    more |= _restored(files, payload)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more.values()], [*batch.schema.names, *more])
+
+    more = {"n_bytes": T.LongType(), media: T.ArrayType(T.BinaryType())} | ({payload: T.BinaryType(), "features": T.StringType()} if payload else {})
+    return df.mapInArrow(run, _added(df, **more))
+
+
+def _files(texts: list[bytes]) -> list[list[bytes]]:
+    """The files of some texts; encoded a few at a time, as the bits of a code take many times its bytes."""
+    out = []
+    for lo, hi in blocks(texts, ENCODED):
+        strips = [[p[k : k + STRIP] for k in range(0, len(p), STRIP)] for p in map(_padded, texts[lo:hi])]
+        flat = [s for x in strips for s in x]
+        files = iter([f for k in range(0, len(flat), 64) for f in encode(flat[k : k + 64])])
+        out += [[next(files) for _ in x] for x in strips]
+    return out
+
 
-    return df.mapInArrow(run, _added(df, n_bytes=T.LongType(), **{media: T.ArrayType(T.BinaryType())}))
+def _restored(files: list[list[bytes]], payload: str) -> dict[str, pa.Array]:
+    samples = iter(decode([f for x in files for f in x]))
+    data = [b"".join(next(samples) for _ in x) for x in files]
+    return {payload: pa.array(data, pa.binary()), "features": pa.array([features(d) for d in data], pa.string())}
 
 
 def restore(df: DataFrame, media: str = "media", payload: str = "payload") -> DataFrame:
     """df with the bytes that its arrays of WebP files hold, and features of them.
 
-    features: rows, mean and deviation of the samples, distinct samples, and a
+    features: rows, mean and variance of the samples, distinct samples, and a
     64-bit mean hash of 8 x 8 fields of the picture.
     """
 
@@ -219,9 +239,8 @@ def restore(df: DataFrame, media: str = "media", payload: str = "payload") -> Da
         for batch in batches:
             files = [x or [] for x in batch[media].to_pylist()]
             for lo, hi in blocks([b"".join(x) for x in files], BLOCK):
-                samples = iter(decode([f for x in files[lo:hi] for f in x]))
-                data = [b"".join(next(samples) for _ in x) for x in files[lo:hi]]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(data, pa.binary()), pa.array([features(d) for d in data], pa.string())], [*batch.schema.names, payload, "features"])
+                more = _restored(files[lo:hi], payload)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more.values()], [*batch.schema.names, *more])
 
     return df.mapInArrow(run, _added(df, **{payload: T.BinaryType(), "features": T.StringType()}))
 
