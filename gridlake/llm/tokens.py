@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import blocks
+from .text import parts
 
 LONG, PIECE = 65536, 32768
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
@@ -64,20 +64,25 @@ def _added(df: DataFrame, **columns: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df and a column of the ids of its texts."""
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df and a column of the ids of its texts; with a name for `decoded` also the bytes that these ids decode to.
+
+    Both at once need one Python worker a task instead of two, each with its own vocabulary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch[text].to_pylist()]
-            for lo, hi in blocks(texts):
-                got = [ids_of(enc, t) for t in texts[lo:hi]]
+            for lo, hi, texts in parts(batch[text]):
+                got = [ids_of(enc, t.decode()) for t in texts]
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(got).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, column], [*batch.schema.names, ids])
+                more = {ids: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(got).astype(np.int32)))}
+                if decoded:
+                    more[decoded] = pa.array([enc.decode_bytes(x.tolist()) for x in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more.values()], [*batch.schema.names, *more])
 
-    return df.mapInArrow(run, _added(df, **{ids: T.ArrayType(T.IntegerType())}))
+    more = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    return df.mapInArrow(run, _added(df, **more))
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
