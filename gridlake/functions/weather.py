@@ -84,3 +84,61 @@ def degree_days(t: Column, heating: float, cooling: float) -> tuple[Column, Colu
 def sea_level_pressure(p_pa: Column, t_k: Column, q: Column, elevation_m: Column) -> Column:
     """By the hypsometric equation with the virtual temperature."""
     return p_pa * F.exp(elevation_m * 9.80665 / (287.04 * t_k * (1 + 0.608 * q)))
+
+
+def relative_humidity_mixing(p_hpa: Column, t_c: Column, w: Column) -> Column:
+    """Per cent, from a mixing ratio in g/kg, between 0.5 and 100; a missing value counts as 0.5."""
+    e = 6.11 * F.pow(F.lit(10.0), 7.5 * t_c / (237.7 + t_c))
+    rh = 100 * w / (621.97 * e / (p_hpa - e))
+    return F.least(F.when(rh > 0.5, rh).otherwise(0.5), F.lit(100.0))
+
+
+def vapour_pressure(t_k: Column) -> Column:
+    """Saturation over water in kPa, by latent heat over the gas constant of vapour."""
+    return 0.611 * F.exp(2500000 / 461 * (1 / 273 - 1 / t_k))
+
+
+def dew_point_vapour(t_k: Column, rh: Column) -> Column:
+    """Kelvin, by the Clausius-Clapeyron equation with rounded constants."""
+    e = 0.611 * F.exp(5423 * (1 / 273 - 1 / t_k)) * rh / 100
+    return 1 / (1 / 273 - 0.0001844 * F.log(e / 0.611))
+
+
+def specific_humidity_dew(dew_k: Column, p_pa: Column) -> Column:
+    """g/kg, from the dew point."""
+    return 1000 * 0.622 * vapour_pressure(dew_k) / (p_pa / 1000)
+
+
+def relative_humidity_specific(t_k: Column, q: Column, p_pa: Column, compat: bool = False) -> Column:
+    """Per cent, from specific humidity in g/kg; compat gives the product that older results hold instead of the quotient."""
+    e, part = 0.622 * vapour_pressure(t_k), q / 1000 * p_pa / 1000
+    return part * e if compat else 100 * part / e
+
+
+def wind_direction_north(u: Column, v: Column) -> Column:
+    """As wind_direction, but measured from the reversed vector."""
+    return F.pmod(90 - F.degrees(F.atan2(-v, -u)), F.lit(360.0))
+
+
+def heat_index_simple_f(t: Column, rh: Column) -> Column:
+    """Degrees F: the simple formula below 80, the regression with open ranges above, the air temperature under 40 F."""
+    full = (
+        -42.379 + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh - 0.00683783 * t * t
+        - 0.05481717 * rh * rh + 0.00122874 * t * t * rh + 0.00085282 * t * rh * rh - 0.00000199 * t * t * rh * rh
+    )
+    dry = full - (13 - rh) / 4 * F.sqrt((17 - F.abs(t - 95)) / 17)
+    damp = full + (rh - 85) / 10 * (87 - t) / 5
+    low = 0.5 * (t + 61 + (t - 68) * 1.2 + rh * 0.094)
+    above = F.when((rh > 85) & (t > 80) & (t < 87), damp).when((rh < 13) & (t > 80) & (t < 112), dry).otherwise(full)
+    return F.when(t < 40, t).when(low < 80, low).otherwise(above)
+
+
+def degree_masks(t: Column, heating: float = 291.483, cooling: float = 291.483) -> tuple[Column, Column]:
+    """1 where a step needs heating, or cooling, else 0."""
+    return (t < heating).cast("int"), (t > cooling).cast("int")
+
+
+def monthly_precipitation(flux: Column, time: Column, least: float = 0.1) -> Column:
+    """mm in the month of a mean flux in kg m-2 s-1, not below `least`."""
+    total = flux * 86400 * F.dayofmonth(F.last_day(time))
+    return F.when(total.isNotNull(), F.greatest(total, F.lit(least)))

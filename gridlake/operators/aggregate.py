@@ -109,3 +109,47 @@ def cdf(df: DataFrame, key: list[str], value: str, bins: int = 1023) -> DataFram
     counted = some.join(ends, key).groupBy(*key, "low", "high", "all", place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return counted.select(*key, "bin", (F.col("low") + F.col("bin") * width).alias("edge"), (F.sum("n").over(upto) / F.col("all")).alias("prob"))
+
+
+def grouped_exceedance(
+    df: DataFrame, key: list[str], value: str, threshold: float, above: bool = True, duration: int = 1, group: str | None = None,
+    group_duration: int = 1, period: str = "year", smoothing: int | None = None, time: str = "time",
+) -> DataFrame:
+    """(key, period, n): events in each period, in stages.
+
+    A step counts if it ends `duration` steps beyond the threshold; a group (day,
+    month) counts if any of its steps does, then if it ends `group_duration` such
+    groups. Missing values count as no event once summed; smoothing is a centred
+    mean over periods. The group may not be longer than the period.
+    """
+    order = ["hour", "day", "month", "year"]
+    if group and order.index(group) > order.index(period):
+        raise ValueError("a group is not longer than the period")
+    v = F.col(value)
+    d = df.select(*key, time, F.when(v.isNotNull(), (v > threshold if above else v < threshold).cast("int")).alias("_e"))
+    if duration > 1:
+        d = d.withColumn("_e", rolling(d, key, "_e", duration, "min", time=time))
+    if group:
+        d = d.groupBy(*key, F.date_trunc(group, time).alias(time)).agg((F.coalesce(F.sum("_e"), F.lit(0)) > 0).cast("int").alias("_e"))
+    if group_duration > 1:
+        d = d.withColumn("_e", rolling(d, key, "_e", group_duration, "min", time=time))
+    found = d.groupBy(*key, F.date_trunc(period, time).alias("period")).agg(F.coalesce(F.sum("_e"), F.lit(0)).cast("double").alias("n"))
+    return found.withColumn("n", rolling(found, key, "n", smoothing, "mean", centred=True, time="period")) if smoothing else found
+
+
+def metric_and_percentiles(df: DataFrame, key: list[str], value: str, kind: str, levels: list[float]) -> DataFrame:
+    """A metric and exact percentiles side by side, from one aggregation: value_kind, value_pLEVEL."""
+    found = df.groupBy(*key).agg(METRICS[kind](value).alias(f"{value}_{kind}"), F.percentile(value, [x / 100 for x in levels]).alias("_p"))
+    return found.select(*key, f"{value}_{kind}", *[F.col("_p")[i].alias(f"{value}_p{x:g}") for i, x in enumerate(levels)])
+
+
+def daily_quantile(df: DataFrame, key: list[str], value: str, kind: str, q: float, time: str = "time") -> DataFrame:
+    """The quantile over time of daily extremes."""
+    return resample(df, key, value, "day", kind, time).groupBy(*key).agg(F.percentile(value, q).alias(value))
+
+
+def day_weighted_rolling(df: DataFrame, key: list[str], value: str, n: int, time: str = "time") -> Column:
+    """A centred mean of n months by the days of the months; NULL unless all n are there."""
+    w = by_time(key, time).rowsBetween(-(n // 2), (n - 1) // 2)
+    days = days_in_month(time)
+    return F.when(F.count(value).over(w) == n, F.sum(F.col(value) * days).over(w) / F.sum(days).over(w))

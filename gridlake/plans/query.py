@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import aggregate, select
-from ..sources import sinks
+from ..operators import aggregate, climate, clock, kernels, select
+from ..sources import catalog, exports
+from . import checks, registry
 
 #: Priority of each step: a smaller one runs earlier.
-PRIORITY = {"filter_unadjusted_models": 0, "drop_leap_days": 1, "convert_units": 5, "warming_level": 10, "concat": 50, "bias_adjust": 60, "clip": 65, "local_time": 70, "time_slice": 150, "metric": 7500, "export": 9999}
+PRIORITY = {
+    "filter_unadjusted_models": 0, "drop_leap_days": 1, "derive": 3, "convert_units": 5, "warming_level": 10, "concat": 50, "bias_adjust": 60, "clip": 65, "local_time": 70,
+    "time_slice": 150, "metric": 7500, "percentiles": 7500, "thresholds": 7500, "one_in_x": 7500, "export": 9999,
+}
 
 
 @dataclass(frozen=True)
@@ -35,33 +40,98 @@ class Query:
             raise ValueError(f"no such step: {name}")
         return replace(self, steps=self.steps | {name: options})
 
+    def check(self, kind: str) -> Query:
+        """self, if the catalog of that kind allows its facets and steps."""
+        checks.facets(kind, self.facets)
+        checks.steps(kind, self.steps)
+        return self
+
+    def options(self, facet: str) -> DataFrame:
+        """Sorted values that a facet has under the others."""
+        rest = {k: v for k, v in self.facets.items() if k != facet}
+        return catalog.search(self.source, **rest).select(facet).dropna().distinct().orderBy(facet)
+
+    def save(self) -> str:
+        """Facets and steps as text; steps that hold tables can't be saved."""
+        return json.dumps({"value": self.value, "facets": self.facets, "steps": self.steps})
+
+    def load(self, text: str) -> Query:
+        """The saved query over this source."""
+        asked = json.loads(text)
+        q = replace(self, value=asked["value"], facets={}, steps={}).where(**asked["facets"])
+        for name, options in asked["steps"].items():
+            q = q.step(name, **options)
+        return q
+
+    def reset(self) -> Query:
+        return replace(self, facets={}, steps={})
+
     def plan(self) -> DataFrame:
-        df = self.source
-        for name, v in self.facets.items():
-            df = df.where(F.col(name).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(name) == v)
+        df = catalog.search(self.source, **self.facets)
         for name in sorted(self.steps, key=PRIORITY.__getitem__):
             df = RUN[name](df, self.value, **self.steps[name])
         return df
 
 
+def register_step(name: str, priority: int):
+    """Adds a step f(df, value, **options) -> DataFrame; a name taken raises ValueError."""
+
+    def put(f):
+        if name in RUN:
+            raise ValueError(f"step taken: {name}")
+        RUN[name], PRIORITY[name] = f, priority
+        return f
+
+    return put
+
+
 def _clip(df: DataFrame, value: str, bridge: DataFrame | None = None, names: list[str] | None = None, lat=None, lon=None, separated: bool = False) -> DataFrame:
     if names is None:
         return select.clip_box(df, lat, lon)
     return (select.clip_separated if separated else select.clip_region)(df, bridge, names)
 
 
-def _export(df: DataFrame, value: str, path: str, file_format: str = "parquet", **options) -> DataFrame:
-    (sinks.write_csv if file_format == "csv" else sinks.write_parquet)(df, path, **options)
-    return df
+def _derive(df: DataFrame, value: str, name: str, known: registry.Registry = registry.BUILT_IN) -> DataFrame:
+    return known.apply(df, name)
+
+
+def _warming_level(df: DataFrame, value: str, centres: DataFrame, key: list[str], window: int = 15, years=(1950, 2100), months: list[int] | None = None) -> DataFrame:
+    found = climate.warming_slice(df, centres, key, window, tuple(years))
+    return found.where(F.month("time").isin(months)) if months else found
+
+
+def _concat(df: DataFrame, value: str, dim: str, facets: list[str] | None = None, key: list[str] | None = None, scenario: str = "scenario", historical: str = "historical") -> DataFrame:
+    if dim == "sim":
+        return climate.concat_sim(df, facets)
+    if dim != "time":
+        raise ValueError(f"concat is along sim or time, not {dim}")
+    return climate.concat_time(df, key, scenario, historical)
+
+
+def _one_in_x(df: DataFrame, value: str, key: list[str], return_periods=None, return_values=None, extreme: str = "max", block: int = 1, duration: int = 1, how: str = "sustained", distribution: str = "gev", **more) -> DataFrame:
+    blocks = aggregate.block_extremes(df, key, value, extreme, block, duration, how)
+    at, measure = (return_periods, "value") if return_periods is not None else (return_values, "period")
+    return kernels.one_in_x(blocks, key, value, at, measure, distribution, block=block, extreme=extreme, **more)
+
+
+def _export(df: DataFrame, value: str, folder: str, **options) -> DataFrame:
+    return exports.export(df, folder, **options)
 
 
 RUN: dict[str, Callable[..., DataFrame]] = {
     "filter_unadjusted_models": lambda df, value, columns, names: select.deny(df, columns, names),
     "drop_leap_days": lambda df, value: select.drop_leap_days(df),
+    "derive": _derive,
     "convert_units": lambda df, value, unit, to: df.withColumn(value, units.convert(F.col(value), unit, to)),
+    "warming_level": _warming_level,
+    "concat": _concat,
+    "bias_adjust": lambda df, value, key, observed, historical, target, **more: kernels.quantile_delta_by_day(df, key, observed, historical, target, **more),
     "clip": _clip,
-    "local_time": lambda df, value, zone: df.withColumn("time", F.from_utc_timestamp("time", zone)),
+    "local_time": lambda df, value, zone, key=(), reindex=False: clock.to_local(df, list(key), zone, reindex),
     "time_slice": lambda df, value, start, end, seasons=None: select.time_slice(df, start, end, seasons),
     "metric": lambda df, value, kind, key: aggregate.metric(df, key, value, kind),
+    "percentiles": lambda df, value, levels, key: aggregate.percentiles(df, key, value, levels),
+    "thresholds": lambda df, value, key, threshold_value, threshold_direction="above", duration=1, period="year": aggregate.exceedance(df, key, value, threshold_value, threshold_direction == "above", duration, period),
+    "one_in_x": _one_in_x,
     "export": _export,
 }
