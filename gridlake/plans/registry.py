@@ -64,28 +64,30 @@ class Registry:
     def __contains__(self, name: str) -> bool:
         return name in self._known
 
-    def missing(self, name: str, columns: list[str]) -> list[str]:
+    def missing(self, name: str, columns: list[str], _over: tuple[str, ...] = ()) -> list[str]:
         """Source columns that a variable lacks, those of the derived ones it depends on included."""
+        if name in _over:
+            raise ValueError(f"{name} depends on itself")
         out = []
         for d in self.info(name).depends_on:
             if d not in columns:
-                out += self.missing(d, columns) if d in self else [d]
+                out += self.missing(d, columns, (*_over, name)) if d in self else [d]
         return sorted(set(out))
 
-    def apply(self, df: DataFrame, name: str, _over: tuple[str, ...] = ()) -> DataFrame:
+    def apply(self, df: DataFrame, name: str) -> DataFrame:
         """df with the variable; unchanged if it is there already. Its sources go, unless it keeps them."""
         if name in df.columns:
             return df
-        if name in _over:
-            raise ValueError(f"{name} depends on itself")
         if lack := self.missing(name, df.columns):
             raise ValueError(f"{name} lacks {lack}")
-        v, given = self.info(name), set(df.columns)
-        for d in v.depends_on:
+        given = df.columns
+        return self._put(df, name).select(*[c for c in given if self.info(name).keep or c not in self.info(name).depends_on], name)
+
+    def _put(self, df: DataFrame, name: str) -> DataFrame:
+        for d in self.info(name).depends_on:
             if d not in df.columns:
-                df = self.apply(df, d, (*_over, name))
-        df = df.withColumn(name, v.make(*[F.col(d) for d in v.depends_on]))
-        return df.drop(*[c for c in df.columns if c not in given and c != name]) if v.keep or _over else df.drop(*v.depends_on)
+                df = self._put(df, d)
+        return df.withColumn(name, self.info(name).make(*[F.col(d) for d in self.info(name).depends_on]))
 
 
 BUILT_IN = Registry()

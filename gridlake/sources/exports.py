@@ -46,7 +46,7 @@ def from_template(template: str, name: str, lat: float | None = None, lon: float
 
 def size_bytes(df: DataFrame, file_format: str) -> int:
     """Bytes of an export by the optimiser's estimate of the plan, never by running it; text counts twice."""
-    guess = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return guess * (2 if file_format == "csv" else 1) + (100 << 20)
 
 
