@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .run import cut
 from .text import NOT_SPACE, Words, blocks, utf8
 
-DEPTH, LEAST, DIVERGENCE = 5, 5e-6, 3.0
+DEPTH, LEAST, DIVERGENCE = 7, 2e-6, 3.0
 HEAD = 200_000
 STRETCH = 512
 END = 10
@@ -207,10 +207,10 @@ def _contexts(counted: DataFrame, least: float) -> list[tuple[np.ndarray, np.nda
     """For each context length the candidates and the counts of what follows them."""
     whole = counted.where("kind = 1").select("key", "c")
     total = whole.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in range(DEPTH + 1)]))
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) if k < 7 else F.col("key")).alias("code")) for k in range(DEPTH + 1)]))
     grams_ = cut(whole.select(orders.alias("x"), "c").groupBy("x.k", "x.code").agg(F.sum("c").alias("c")))
-    contexts = grams_.groupBy("k", F.shiftright("code", 8).alias("context")).agg(F.sum("c").alias("n")).where(F.col("n") >= max(1, least * total))
-    same = [F.col("g.k") == F.col("s.k"), F.shiftright("g.code", 8) == F.col("s.context")]
+    contexts = grams_.groupBy("k", F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("c").alias("n")).where(F.col("n") >= max(1, least * total))
+    same = [F.col("g.k") == F.col("s.k"), F.shiftrightunsigned("g.code", 8) == F.col("s.context")]
     table = grams_.alias("g").join(contexts.alias("s"), same).select("g.k", "g.code", "g.c").toArrow()
     k, code, c = table["k"].to_numpy(), table["code"].to_numpy().view(np.uint64), table["c"].to_numpy()
     out = []
