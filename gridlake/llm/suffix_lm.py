@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .run import cut
 from .text import NOT_SPACE, Words, blocks, utf8
 
-DEPTH, LEAST, DIVERGENCE = 7, 2e-6, 3.0
+DEPTH, LEAST, DIVERGENCE = 5, 1e-6, 3.0
 HEAD = 200_000
 STRETCH = 512
 END = 10
