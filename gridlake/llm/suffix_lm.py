@@ -46,9 +46,11 @@ from pyspark.sql import types as T
 from .run import cut
 from .text import NOT_SPACE, Words, blocks, utf8
 
-DEPTH, LEAST, DIVERGENCE = 5, 1e-6, 3.0
+DEPTH, LEAST, DIVERGENCE = 5, 2e-6, 3.0
 HEAD = 200_000
 STRETCH = 512
+#: Contexts that the driver holds in full at a time.
+ROWS = 4096
 END = 10
 #: The word hash that stands for the end of a text.
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -134,45 +136,48 @@ def build(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence:
     symbol = np.full(256, len(seen), np.int64)
     symbol[seen] = np.arange(len(seen))
     width = len(seen) + 1
-    tables, known = [np.zeros((1, width))], [np.zeros(1, np.uint64)]
-    tables[0][0, :-1] = root[seen]
-    for code, count, candidates in contexts[1:]:
-        table = np.zeros((len(candidates), width))
-        row = np.searchsorted(candidates, code >> np.uint64(8))
-        table[row, symbol[(code & np.uint64(255)).astype(np.int64)]] = count
-        tables.append(table)
-        known.append(candidates)
-    # smoothed distributions of all candidates, and which of them tell something new
-    smooth = [(tables[0] + 1) / (tables[0].sum() + 256)]
-    smooth[0][0, -1] = 1 / (tables[0].sum() + 256)
-    keep = [np.ones(1, bool)]
-    for k in range(1, len(tables)):
-        up = np.searchsorted(known[k - 1], known[k] & np.uint64((1 << 8 * (k - 1)) - 1))
-        total, kinds = tables[k].sum(1, keepdims=True), (tables[k] > 0).sum(1, keepdims=True)
-        smooth.append((tables[k] + kinds * smooth[k - 1][up]) / (total + kinds))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(tables[k] > 0, tables[k] * np.log(tables[k] / total / smooth[k - 1][up]), 0).sum(1)
-        keep.append(2 * gain > divergence * kinds[:, 0])
+    known = [np.zeros(1, np.uint64), *(c for _, _, c in contexts[1:])]
+    # smoothed distributions of all candidates, and which of them tell something new; some rows at a time
+    most = (np.append(root[seen], 0) + 1) / (root.sum() + 256)
+    smooth, keep = [most.astype(np.float32)[None]], [np.ones(1, bool)]
+    for k, (code, count, own) in enumerate(contexts[1:], 1):
+        up = np.searchsorted(known[k - 1], own & np.uint64((1 << 8 * (k - 1)) - 1))
+        row = np.searchsorted(own, code >> np.uint64(8))
+        column = symbol[(code & np.uint64(255)).astype(np.int64)]
+        smooth.append(np.empty((len(own), width), np.float32))
+        keep.append(np.empty(len(own), bool))
+        for lo in range(0, len(own), ROWS):
+            a, b = np.searchsorted(row, (lo, lo + ROWS))
+            table = np.zeros((min(ROWS, len(own) - lo), width))
+            table[row[a:b] - lo, column[a:b]] = count[a:b]
+            shorter = smooth[k - 1][up[lo : lo + ROWS]].astype(float)
+            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+            smooth[k][lo : lo + ROWS] = (table + kinds * shorter) / (total + kinds)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(table > 0, table * np.log(table / total / shorter), 0).sum(1)
+            keep[k][lo : lo + ROWS] = 2 * gain > divergence * kinds[:, 0]
     for k in range(len(keep) - 1, 1, -1):  # suffixes and prefixes of what is kept
         kept = known[k][keep[k]]
         for x in (kept & np.uint64((1 << 8 * (k - 1)) - 1), kept >> np.uint64(8)):
             keep[k - 1][np.searchsorted(known[k - 1], x)] = True
     codes = [c[m] for c, m in zip(known, keep, strict=True)]
     first = np.cumsum([0, *map(len, codes)])
-    logp = np.log10(np.vstack([s[m] for s, m in zip(smooth, keep, strict=True)])).astype(np.float32)
+    logp = np.log10(np.vstack([s[m] for s, m in zip(smooth, keep, strict=True)]))
+    del smooth
     follow = np.zeros((first[-1], width), np.int32)
     depth = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
     every = np.concatenate(codes)
     byte = np.append(seen, 0).astype(np.uint64)
-    longer = every[:, None] << np.uint64(8) | byte[None, :]
-    for k in range(1, len(codes)):
-        if not len(codes[k]):
-            continue
-        part = longer & np.uint64((1 << 8 * k) - 1)
-        at = np.minimum(np.searchsorted(codes[k], part), len(codes[k]) - 1)
-        found = (codes[k][at] == part) & (depth[:, None] >= k - 1)
-        found[:, -1] = False
-        follow[found] = first[k] + at[found]
+    for lo in range(0, len(every), ROWS):
+        longer = every[lo : lo + ROWS, None] << np.uint64(8) | byte[None, :]
+        for k in range(1, len(codes)):
+            if not len(codes[k]):
+                continue
+            part = longer & np.uint64((1 << 8 * k) - 1)
+            at = np.minimum(np.searchsorted(codes[k], part), len(codes[k]) - 1)
+            found = (codes[k][at] == part) & (depth[lo : lo + ROWS, None] >= k - 1)
+            found[:, -1] = False
+            follow[lo : lo + ROWS][found] = first[k] + at[found]
     return Tree(symbol, follow, logp, depth)
 
 
