@@ -44,11 +44,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .run import cut
-from .text import NOT_SPACE, Words, blocks, utf8
+from .text import NOT_SPACE, Words, parts
 
 DEPTH, LEAST, DIVERGENCE = 5, 2e-6, 3.0
 HEAD = 200_000
 STRETCH = 512
+#: Blocks of texts whose counts a worker adds up before it hands them on.
+TOGETHER = 4
 #: Contexts that the driver holds in full at a time.
 ROWS = 4096
 END = 10
@@ -82,19 +84,26 @@ def grams(symbols: np.ndarray, place: np.ndarray, own: np.ndarray) -> np.ndarray
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0) and n-grams (kind 1) of each batch."""
-    for batch in batches:
-        texts, parts = utf8(batch["text"]), ([], [])
-        for lo, hi in blocks(texts):
-            w = Words(texts[lo:hi], NOT_SPACE)
-            for found, x in zip(parts, (np.append(w.hashes(), np.full(hi - lo, END_WORD)), grams(*canonical(w))), strict=True):
-                found.append(np.unique(x, return_counts=True))
-        for kind, found in enumerate(parts):
-            if found:
-                key, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                count = np.bincount(back, np.concatenate([c for _, c in found])).astype(np.int64)
+    """Counts of words (kind 0) and n-grams (kind 1) of some blocks of texts at a time."""
+    found: tuple[list, list] = ([], [])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, part in enumerate(found):
+            if part:
+                key, back = np.unique(np.concatenate([k for k, _ in part]), return_inverse=True)
+                count = np.bincount(back, np.concatenate([c for _, c in part])).astype(np.int64)
+                part.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(count)], ["kind", "key", "c"])
 
+    for batch in batches:
+        for lo, hi, texts in parts(batch["text"]):
+            w = Words(texts, NOT_SPACE)
+            for part, x in zip(found, (np.append(w.hashes(), np.full(hi - lo, END_WORD)), grams(*canonical(w))), strict=True):
+                part.append(np.unique(x, return_counts=True))
+            if len(found[0]) == TOGETHER:
+                yield from flush()
+    yield from flush()
+
 
 @dataclass
 class Tree:
@@ -242,10 +251,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         (head, counts), tree = sent.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = utf8(batch[text])
-            for lo, hi in blocks(texts):
+            for lo, hi, texts in parts(batch[text]):
                 n = hi - lo
-                w = Words(texts[lo:hi], NOT_SPACE)
+                w = Words(texts, NOT_SPACE)
                 rid = row + np.arange(n)
                 row += n
                 hashes = np.append(w.hashes(), np.full(n, END_WORD))
