@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import weather
 from ..operators import aggregate, climate, clock, kernels, levels, profiles, select, space
-from ..sources import weather_files
+from ..sources import catalog, weather_files
 from . import query, registry
 from .catalogue import DAILY, DAY_SQL, GRID, HOURLY, SERIES, cells, counted, daily, day, grid, hourly, register, rounded, series
 
@@ -45,6 +45,10 @@ register("derived_by_name", f"WITH {HOURLY} SELECT id, round(sqrt(u10 * u10 + v1
     lambda s, d: rounded(registry.BUILT_IN.apply(hourly(s, d), "wind_speed_10m").select("id", "wind_speed_10m"), "wind_speed_10m")
 )
 
+register(
+    "require_all_facets", "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size IN (1, 2) AND p_brand IN (SELECT p_brand FROM part WHERE p_size IN (1, 2) GROUP BY p_brand HAVING count(DISTINCT p_size) = 2)"
+)(lambda s, d: catalog.require_all(s.read.parquet(f"{d}/part.parquet"), ["p_brand"], "p_size", [1, 2]).select("p_partkey", "p_brand", "p_size"))
+
 # Aggregations and windows
 
 register("metric_plus_percentiles", f"WITH {GRID} SELECT sim, round(avg(v), 4) AS v_mean, round(quantile_cont(v, 0.1), 4) AS v_p10, round(quantile_cont(v, 0.9), 4) AS v_p90 FROM grid GROUP BY sim")(

@@ -55,3 +55,34 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """A CSV lookup table as strings, the missing-value strings as NULL; 'None' stays."""
     df = spark.read.csv(path, header=True, nullValue="")
     return df.select(*[F.when(~F.col(c).isin(NA_STRINGS), F.col(c)).alias(c) for c in df.columns])
+
+
+def require_all(catalog: DataFrame, by: list[str], facet: str, values: list[str]) -> DataFrame:
+    """Assets with one of the values, of those groups (say, models) that have every one of them."""
+    wanted = catalog.where(F.col(facet).isin(values))
+    whole = wanted.groupBy(*by).agg(F.count_distinct(facet).alias("_n")).where(F.col("_n") == len(set(values))).select(*by)
+    return wanted.join(whole, by, "left_semi")
+
+
+def infer(catalog: DataFrame, tag: str, **facets) -> str | None:
+    """The one tag whose assets hold any of the asked values, None if there are none or several."""
+    hit = F.lit(False)
+    for name, value in facets.items():
+        if name in catalog.columns:
+            hit = hit | F.col(name).isin(list(value) if isinstance(value, (list, tuple, set)) else [value])
+    found = catalog.where(hit).select(tag).distinct().limit(2).collect()
+    return found[0][0] if len(found) == 1 else None
+
+
+def resolve(key: str, known: list[str]) -> str | None:
+    """key, or the only known one close to it, else None."""
+    if key in known:
+        return key
+    near = closest(key, known)
+    return near[0] if len(near) == 1 else None
+
+
+def read_stations(spark: SparkSession, path: str, x: str = "LON_X", y: str = "LAT_Y") -> DataFrame:
+    """A CSV table of stations, its coordinates as lon and lat; rows without a place are left out."""
+    df = read_lookup(spark, path)
+    return df.withColumns({"lon": F.col(x).try_cast("double"), "lat": F.col(y).try_cast("double")}).where("lon IS NOT NULL AND lat IS NOT NULL")

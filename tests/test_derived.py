@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlake.operators import aggregate, clock, kernels, levels, profiles, space
 from gridlake.plans import catalogue, checks, derived, registry
 from gridlake.plans.query import PRIORITY, RUN, Query, register_step
-from gridlake.sources import exports, weather_files
+from gridlake.sources import catalog, exports, weather_files
 from tests.test_catalogue import SF, duck, same  # noqa: F401 - duck is a fixture
 
 DERIVED = [n for n, f in catalogue.QUERIES.items() if n in catalogue.ORACLE_SQL and f.__module__ == derived.__name__]
@@ -196,3 +196,11 @@ def test_checks(spark):
     for f, args in bad:
         with pytest.raises(ValueError):
             f(*args)
+
+
+def test_catalog_inference_and_stations(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "catalog string, variable string, n int")
+    assert catalog.infer(df, "catalog", variable="x") == "a" and catalog.infer(df, "catalog", n=1) is None and catalog.infer(df, "catalog", variable="z") is None
+    assert catalog.resolve("cadcta", ["cadcat", "hdp"]) == "cadcat" and catalog.resolve("zzz", ["hdp"]) is None
+    (tmp_path / "s.csv").write_text("ID,LON_X,LAT_Y\nKSFO,-122.4,37.6\nNone,nan,1\n")
+    assert [tuple(r) for r in catalog.read_stations(spark, str(tmp_path / "s.csv")).select("ID", "lon", "lat").collect()] == [("KSFO", -122.4, 37.6)]
