@@ -111,15 +111,21 @@ def keys(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), mix(np.concatenate(out))
 
 
-def fingerprint_texts(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The 64-bit fingerprints of some texts."""
+def shingle_hashes(texts: list[bytes], shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all word shingles, and how many each text has."""
     w = Words(texts, NOT_SPACE)
     buf, begin = w.spaced()
     shingles = np.where(w.count >= shingle, w.count - shingle + 1, np.minimum(w.count, 1))
     before = np.cumsum(shingles) - shingles
     first = np.repeat(w.at - before, shingles) + np.arange(int(shingles.sum()))
     last = first + np.minimum(shingle, np.repeat(w.count, shingles)) - 1
-    h = xxh64(buf, begin[first], begin[last] + w.length[last] - begin[first], seed)
+    return xxh64(buf, begin[first], begin[last] + w.length[last] - begin[first], seed), shingles
+
+
+def fingerprint_texts(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The 64-bit fingerprints of some texts."""
+    h, shingles = shingle_hashes(texts, shingle, seed)
+    before = np.cumsum(shingles) - shingles
     out = np.zeros(len(texts), np.uint64)
     if not len(h):
         return out

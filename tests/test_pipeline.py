@@ -1,0 +1,84 @@
+"""The stages of the corpus pipeline against brute force."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline as pipeline
+from gridlake.llm import similar
+
+from .llm import brute
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], COLUMNS)
+
+
+def prose(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(words)), n):
+        out[i] = f"other{rng.randrange(10**6)}"
+    return out
+
+
+def shingles(text):
+    w = brute.lower(text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return not a | b or len(a & b) / len(a | b) >= 0.8
+
+
+def survivors(rows):
+    """(id, text) of the row of the smallest id of each component; null ids last."""
+    left, out = set(range(len(rows))), []
+    while left:
+        group, queue = set(), [left.pop()]
+        while queue:
+            q = queue.pop()
+            group.add(q)
+            near = {i for i in left if alike(rows[i][1], rows[q][1])}
+            left -= near
+            queue.extend(near)
+        out.append(min((rows[i] for i in group), key=lambda r: (r[0] is None, r[0] or 0)))
+    return out
+
+
+def test_near_copies_go(spark):
+    rng, rows = random.Random(3), []
+    for n, k in [(100, 1)] * 20 + [(300, 6)] * 20 + [(1000, 10)] * 20 + [(100, 4)] * 10 + [(300, 20)] * 10:
+        words = prose(rng, n)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(changed(rng, words, k)))]
+    base = prose(rng, 200)  # a group larger than SMALL
+    rows += [(len(rows) + i, " ".join(changed(rng, base, i % 4))) for i in range(30)]
+    want = sorted(survivors(rows))
+    got = sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, table(spark, rows), "").collect())
+    assert got == want and len(got) < len(rows) - 60
+
+
+def test_large_keys_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SPLIT", 6)
+    rng = random.Random(4)
+    base = prose(rng, 150)
+    rows = [(i, " ".join(changed(rng, base, i % 6))) for i in range(40)]
+    got = sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, table(spark, rows), "").collect())
+    assert got == sorted(survivors(rows))
+
+
+def test_band_keys_meet_at_the_least_similarity():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 63, 100).astype(np.uint64)  # 80 shared of 100
+        both = np.concatenate([np.sort(x[:90]), np.sort(np.delete(x, np.s_[80:90]))])
+        k = similar.band_keys(both, np.array([90, 90]))
+        met += (k[0] == k[1]).any()
+    assert met == 2000
