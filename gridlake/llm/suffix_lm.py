@@ -2,19 +2,19 @@
 
 The symbols are the bytes of a text's canonical form: its words, A-Z lower-cased,
 with one blank between them and a line feed, the end, after the last. A context
-of up to DEPTH bytes is a candidate if it begins at least LEAST of all training
-positions; that bounds the tree by DEPTH / LEAST contexts however large the
-corpus is. A candidate is retained if its next-symbol counts diverge from its
-suffix's: twice its count times the Kullback-Leibler divergence must exceed
-DIVERGENCE for each symbol seen. Suffixes and prefixes of retained contexts are
-kept as well, so that the tree is an automaton. Distributions are smoothed by
-the suffix's distribution, weighted with the number of symbols seen (Witten and
-Bell), and at the root with all 256 byte values.
-
-Scoring runs the automaton, whose state is always the longest retained suffix,
-over many stretches of text side by side; a stretch begins DEPTH symbols early,
-which is all that its first state depends on. Each row's score is the log10
-probability of all its symbols.
+of up to DEPTH bytes is a candidate if it begins at least LEAST training
+positions, a number that does not rise with the corpus: at 1 every context seen
+is one, and the tree grows with what the corpus holds. A candidate is retained
+if its next-symbol counts diverge from its suffix's: twice its count times the
+Kullback-Leibler divergence must exceed DIVERGENCE for each symbol seen.
+Suffixes and prefixes of retained contexts are kept as well. Distributions are
+smoothed by the suffix's distribution, weighted with the number of symbols seen
+(Witten and Bell), and at the root with all 256 byte values.
+
+Only symbols seen after a context are stored, 12 bytes each; what a context
+leaves to its suffix gives the others. Scoring looks up each distinct n-gram of a
+block of texts once, from the longest retained context down. Each row's score is
+the log10 probability of all its symbols.
 
 The unigram base counts whole words over the training rows. Counts and n-grams
 come from one pass and one partial aggregation. Words of HEAD or fewer that are
@@ -46,13 +46,10 @@ from pyspark.sql import types as T
 from .run import cut
 from .text import NOT_SPACE, Words, parts
 
-DEPTH, LEAST, DIVERGENCE = 5, 2e-6, 3.0
+DEPTH, LEAST, DIVERGENCE = 5, 1, 3.0
 HEAD = 200_000
-STRETCH = 512
 #: Blocks of texts whose counts a worker adds up before it hands them on.
 TOGETHER = 4
-#: Contexts that the driver holds in full at a time.
-ROWS = 4096
 END = 10
 #: The word hash that stands for the end of a text.
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -107,33 +104,68 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Tree:
-    """The automaton: for each state and symbol the next state and the log10 probability."""
+    """What is retained: for each context length the contexts, and the symbols seen after them."""
 
     symbol: np.ndarray  # the column of each byte; the last stands for bytes never seen
-    next: np.ndarray
-    logp: np.ndarray
-    depth: np.ndarray  # context length of each state
+    root: np.ndarray  # log10 probability of each byte without context
+    contexts: list[np.ndarray]  # sorted codes by length, from 0 on
+    spare: list[np.ndarray]  # log10 of what each context leaves to its suffix for a symbol it has not seen
+    grams: list[np.ndarray]  # sorted codes of (context, symbol)
+    gains: list[np.ndarray]  # their log10 probability
+
+    def log(self, code: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+        """log10 probability of the last byte of each code after the longest retained context of up to `depth` bytes before it."""
+        out = np.zeros(len(code))
+        open_ = np.arange(len(code))
+        for k in range(min(depth, len(self.contexts) - 1), 0, -1):
+            part = code[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
+            at, found = _find(self.contexts[k], part >> np.uint64(8))
+            gram, seen = _find(self.grams[k], part)
+            seen &= found
+            out[open_[seen]] += self.gains[k][gram[seen]]
+            less = found & ~seen
+            out[open_[less]] += self.spare[k][at[less]]
+            open_ = open_[~seen]
+        out[open_] += self.root[(code[open_] & np.uint64(255)).astype(np.int64)]
+        return out
 
     def score(self, symbols: np.ndarray, place: np.ndarray, own: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
-        lanes = -(-own // STRETCH)
-        doc = np.repeat(np.arange(len(own)), lanes)
-        offset = STRETCH * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-        length = np.minimum(STRETCH, own[doc] - offset)
-        order = np.argsort(-length, kind="stable")
-        at, length = (place[doc] + offset)[order], length[order]
-        column = self.symbol[symbols]
-        width = self.next.shape[1]
-        follow, gain = self.next.ravel(), self.logp.ravel()
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
-        live = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
-        for t in range(-DEPTH, 0):
-            state = follow[state * width + column[at + t]]
-        for t, n in enumerate(live):
-            i = state[:n] * width + column[at[:n] + t]
-            total[:n] += gain[i]
-            state[:n] = follow[i]
-        return np.bincount(doc[order], total, minlength=len(own))
+        code, back = np.unique(grams(symbols, place, own), return_inverse=True)
+        return np.bincount(np.repeat(np.arange(len(own)), own), self.log(code)[back], minlength=len(own))
+
+    @property
+    def states(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The automaton's states: their codes and lengths, the first of each length, and the bytes of all columns."""
+        size = [len(c) for c in self.contexts]
+        byte = np.append(np.flatnonzero(self.symbol < self.symbol.max()), np.flatnonzero(self.symbol == self.symbol.max())[:1]).astype(np.uint64)
+        return np.concatenate(self.contexts), np.repeat(np.arange(len(size)), size), np.cumsum([0, *size]), byte
+
+    @property
+    def logp(self) -> np.ndarray:
+        """log10 probability for each state and symbol, in full: only for small trees."""
+        every, depth, _, byte = self.states
+        return np.concatenate([self.log((every[depth == k][:, None] << np.uint64(8) | byte).ravel(), k).reshape(-1, len(byte)) for k in range(len(self.contexts))])
+
+    @property
+    def next(self) -> np.ndarray:
+        """The next state for each state and symbol, in full: only for small trees."""
+        every, depth, first, byte = self.states
+        longer = every[:, None] << np.uint64(8) | byte[None, :]
+        follow = np.zeros(longer.shape, np.int32)
+        for k in range(1, len(self.contexts)):
+            at, found = _find(self.contexts[k], longer & np.uint64((1 << 8 * k) - 1))
+            found &= (depth[:, None] >= k - 1) & (self.symbol[byte.astype(np.int64)] < self.symbol.max())
+            follow[found] = first[k] + at[found]
+        return follow
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x is in a sorted table, and whether it is."""
+    if not len(table):
+        return np.zeros(x.shape, np.int64), np.zeros(x.shape, bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
 def build(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> Tree:
@@ -144,50 +176,28 @@ def build(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence:
     seen = np.flatnonzero(root)
     symbol = np.full(256, len(seen), np.int64)
     symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
+    most = (root + 1) / (root.sum() + 256)
     known = [np.zeros(1, np.uint64), *(c for _, _, c in contexts[1:])]
-    # smoothed distributions of all candidates, and which of them tell something new; some rows at a time
-    most = (np.append(root[seen], 0) + 1) / (root.sum() + 256)
-    smooth, keep = [most.astype(np.float32)[None]], [np.ones(1, bool)]
+    # smoothed probabilities of all that was seen, and which candidates tell something new
+    smooth, spare, keep, shorter = [most[code.astype(np.int64)]], [np.zeros(1)], [np.ones(1, bool)], code
     for k, (code, count, own) in enumerate(contexts[1:], 1):
-        up = np.searchsorted(known[k - 1], own & np.uint64((1 << 8 * (k - 1)) - 1))
         row = np.searchsorted(own, code >> np.uint64(8))
-        column = symbol[(code & np.uint64(255)).astype(np.int64)]
-        smooth.append(np.empty((len(own), width), np.float32))
-        keep.append(np.empty(len(own), bool))
-        for lo in range(0, len(own), ROWS):
-            a, b = np.searchsorted(row, (lo, lo + ROWS))
-            table = np.zeros((min(ROWS, len(own) - lo), width))
-            table[row[a:b] - lo, column[a:b]] = count[a:b]
-            shorter = smooth[k - 1][up[lo : lo + ROWS]].astype(float)
-            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            smooth[k][lo : lo + ROWS] = (table + kinds * shorter) / (total + kinds)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(table > 0, table * np.log(table / total / shorter), 0).sum(1)
-            keep[k][lo : lo + ROWS] = 2 * gain > divergence * kinds[:, 0]
+        before = smooth[k - 1][np.searchsorted(shorter, code & np.uint64((1 << 8 * k) - 1))]
+        total, kinds = np.bincount(row, count, len(own)), np.bincount(row, minlength=len(own))
+        smooth.append((count + kinds[row] * before) / (total + kinds)[row])
+        spare.append(np.log10(kinds / (total + kinds)))
+        gain = np.bincount(row, count * np.log(count / total[row] / before), len(own))
+        keep.append(2 * gain > divergence * kinds)
+        shorter = code
     for k in range(len(keep) - 1, 1, -1):  # suffixes and prefixes of what is kept
         kept = known[k][keep[k]]
         for x in (kept & np.uint64((1 << 8 * (k - 1)) - 1), kept >> np.uint64(8)):
             keep[k - 1][np.searchsorted(known[k - 1], x)] = True
-    codes = [c[m] for c, m in zip(known, keep, strict=True)]
-    first = np.cumsum([0, *map(len, codes)])
-    logp = np.log10(np.vstack([s[m] for s, m in zip(smooth, keep, strict=True)]))
-    del smooth
-    follow = np.zeros((first[-1], width), np.int32)
-    depth = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    every = np.concatenate(codes)
-    byte = np.append(seen, 0).astype(np.uint64)
-    for lo in range(0, len(every), ROWS):
-        longer = every[lo : lo + ROWS, None] << np.uint64(8) | byte[None, :]
-        for k in range(1, len(codes)):
-            if not len(codes[k]):
-                continue
-            part = longer & np.uint64((1 << 8 * k) - 1)
-            at = np.minimum(np.searchsorted(codes[k], part), len(codes[k]) - 1)
-            found = (codes[k][at] == part) & (depth[lo : lo + ROWS, None] >= k - 1)
-            found[:, -1] = False
-            follow[lo : lo + ROWS][found] = first[k] + at[found]
-    return Tree(symbol, follow, logp, depth)
+    left = [m[np.searchsorted(x, c >> np.uint64(8))] for (c, _, _), x, m in zip(contexts, known, keep, strict=True)]
+    return Tree(
+        symbol, np.log10(most), [x[m] for x, m in zip(known, keep, strict=True)], [x[m].astype(np.float32) for x, m in zip(spare, keep, strict=True)],
+        [c[m] for (c, _, _), m in zip(contexts, left, strict=True)], [np.log10(x[m]).astype(np.float32) for x, m in zip(smooth, left, strict=True)],
+    )
 
 
 @dataclass
@@ -220,12 +230,14 @@ def train(df: DataFrame, text: str = "text", least: float = LEAST, divergence: f
 def _contexts(counted: DataFrame, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each context length the candidates and the counts of what follows them."""
     whole = counted.where("kind = 1").select("key", "c")
-    total = whole.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) if k < 7 else F.col("key")).alias("code")) for k in range(DEPTH + 1)]))
-    grams_ = cut(whole.select(orders.alias("x"), "c").groupBy("x.k", "x.code").agg(F.sum("c").alias("c")))
-    contexts = grams_.groupBy("k", F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("c").alias("n")).where(F.col("n") >= max(1, least * total))
-    same = [F.col("g.k") == F.col("s.k"), F.shiftrightunsigned("g.code", 8) == F.col("s.context")]
-    table = grams_.alias("g").join(contexts.alias("s"), same).select("g.k", "g.code", "g.c").toArrow()
+    grams_ = whole.select(orders.alias("x"), "c").groupBy("x.k", "x.code").agg(F.sum("c").alias("c"))
+    if least > 1:
+        grams_ = cut(grams_)
+        contexts = grams_.groupBy("k", F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+        same = [F.col("g.k") == F.col("s.k"), F.shiftrightunsigned("g.code", 8) == F.col("s.context")]
+        grams_ = grams_.alias("g").join(contexts.alias("s"), same).select("g.k", "g.code", "g.c")
+    table = grams_.toArrow()
     k, code, c = table["k"].to_numpy(), table["code"].to_numpy().view(np.uint64), table["c"].to_numpy()
     out = []
     for i in range(DEPTH + 1):
