@@ -82,3 +82,17 @@ def test_band_keys_meet_at_the_least_similarity():
         k = similar.band_keys(both, np.array([90, 90]))
         met += (k[0] == k[1]).any()
     assert met == 2000
+
+
+def test_different_texts_with_null_or_repeated_ids_stay(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    text = " ".join
+    rows = [
+        (None, text(a)), (None, text(b)), (7, text(c)), (7, text(d)), (7, text(d)),
+        (1, text(changed(rng, c, 1))),  # 7's text c goes, its text d stays
+        (None, text(e)), (9, text(e)), (None, text(a)),
+    ]
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, table(spark, rows), "").collect()), key=repr)
+    assert got == sorted([(None, text(a)), (None, text(b)), (7, text(d)), (1, rows[5][1]), (9, text(e))], key=repr)
+    assert got == sorted(survivors(rows), key=repr)
