@@ -217,7 +217,7 @@ def month_smoothing(spark, d):
 @register("weather_file_lines")
 def weather_file(spark, d):
     place = weather_files.Place("Example", 1, 37.5, -121.5, "CA", -8.0, 12.0, (1995, 1997))
-    h = hourly(spark, d).where("station = 3").groupBy("station", F.date_trunc("hour", "time").alias("time")).agg(F.avg("t2").alias("t2"), F.avg("rh").alias("rh"), F.avg("psfc").alias("psfc"))
+    h = hourly(spark, d).groupBy("station", F.date_trunc("hour", "time").alias("time")).agg(F.avg("t2").alias("t2"), F.avg("rh").alias("rh"), F.avg("psfc").alias("psfc"))
     given = {"t_c": F.round(_c("t2") - 273.15, 2), "rh": F.round("rh", 1), "pressure_pa": F.round("psfc", 0)}
     return weather_files.lines(h.select("station", "time", *[given.get(c, F.lit(None).cast("double")).alias(c) for c in weather_files.VALUES]), ["station"], place)
 

@@ -204,3 +204,10 @@ def test_catalog_inference_and_stations(spark, tmp_path):
     assert catalog.resolve("cadcta", ["cadcat", "hdp"]) == "cadcat" and catalog.resolve("zzz", ["hdp"]) is None
     (tmp_path / "s.csv").write_text("ID,LON_X,LAT_Y\nKSFO,-122.4,37.6\nNone,nan,1\n")
     assert [tuple(r) for r in catalog.read_stations(spark, str(tmp_path / "s.csv")).select("ID", "lon", "lat").collect()] == [("KSFO", -122.4, 37.6)]
+
+
+def test_weather_file_has_the_lines_of_all_stations(spark):
+    lines = catalogue.QUERIES["weather_file_lines"](spark, SF)
+    got = {r.station: r["count"] for r in lines.groupBy("station").count().collect()}
+    hourly = catalogue.hourly(spark, SF).groupBy("station").agg(F.count_distinct(F.date_trunc("hour", "time")).alias("n"))
+    assert got == {r.station: r.n + 8 for r in hourly.collect()} and len(got) > 1
