@@ -432,12 +432,12 @@ register(
 @register("return_value_gev")
 def return_value_gev(spark, d):
     blocks = aggregate.block_extremes(grid(spark, d), ["sim", "cell_id"], "v").groupBy("sim", "block").agg(F.max("v").alias("v"))
-    return kernels.return_values(blocks, ["sim"], "v", [2, 10, 50], "gev", runs=50)
+    return kernels.return_values(blocks, ["sim"], "v", [2, 10, 50], "gev")
 
 
 @register("return_period_gumbel")
 def return_value_gumbel(spark, d):
-    return kernels.return_values(aggregate.block_extremes(daily(spark, d), ["sim"], "v"), ["sim"], "v", [2, 10, 50], "gumbel", runs=50)
+    return kernels.return_values(aggregate.block_extremes(daily(spark, d), ["sim"], "v"), ["sim"], "v", [2, 10, 50], "gumbel")
 
 
 @register("ess")

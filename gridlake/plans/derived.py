@@ -200,12 +200,12 @@ def hour_nearest_quantile(spark, d):
 def tmy_months(spark, d):
     daily_stats = daily(spark, d).groupBy("sim", F.date_trunc("day", "time").alias("time")).agg(F.max("v").alias("t_max"), F.min("v").alias("t_min"), F.avg("v").alias("t_mean"))
     weights = {c: float(profiles.TMY_WEIGHTS[c]) for c in ("t_max", "t_min", "t_mean")}
-    return rounded(climate.top_months(profiles.skip_last_month(profiles.weighted_fs(daily_stats, ["sim"], weights, bins=64), ["sim"]), ["sim"]), "fs", places=6)
+    return rounded(climate.top_months(profiles.skip_last_month(profiles.weighted_fs(daily_stats, ["sim"], weights), ["sim"]), ["sim"]), "fs", places=6)
 
 
 @register("top_month_rows")
 def top_month_rows(spark, d):
-    top = climate.top_months(climate.fs_statistic(series(spark, d), ["sim"], "v", bins=64), ["sim"])
+    top = climate.top_months(climate.fs_statistic(series(spark, d), ["sim"], "v"), ["sim"])
     return profiles.assemble(series(spark, d), top, ["sim"]).select("sim", "month", "year", day(), "v")
 
 
@@ -235,9 +235,9 @@ register(
     )
 )
 for _n in ("genpareto", "weibull", "gamma", "pearson3"):
-    register(f"return_value_{_n}")(lambda s, d, k=_n: kernels.one_in_x(aggregate.block_extremes(daily(s, d), ["sim"], "v"), ["sim"], "v", [2, 10], "value", k, runs=20))
-register("return_probability")(lambda s, d: kernels.one_in_x(aggregate.block_extremes(daily(s, d), ["sim"], "v"), ["sim"], "v", [400000.0, 450000.0], "probability", "gumbel", runs=20))
-register("one_in_x_query")(lambda s, d: query.Query(daily(s, d)).step("one_in_x", key=["sim"], return_values=[400000.0], distribution="gev", runs=20).plan())
+    register(f"return_value_{_n}")(lambda s, d, k=_n: kernels.one_in_x(aggregate.block_extremes(daily(s, d), ["sim"], "v"), ["sim"], "v", [2, 10], "value", k))
+register("return_probability")(lambda s, d: kernels.one_in_x(aggregate.block_extremes(daily(s, d), ["sim"], "v"), ["sim"], "v", [400000.0, 450000.0], "probability", "gumbel"))
+register("one_in_x_query")(lambda s, d: query.Query(daily(s, d)).step("one_in_x", key=["sim"], return_values=[400000.0], distribution="gev").plan())
 
 
 @register("qdm_by_day")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.operators import aggregate, clock, kernels, levels, profiles, space
+from gridlake.operators import aggregate, climate, clock, kernels, levels, profiles, space
 from gridlake.plans import catalogue, checks, derived, registry
 from gridlake.plans.query import PRIORITY, RUN, Query, register_step
 from gridlake.sources import catalog, exports, weather_files
@@ -211,3 +211,21 @@ def test_weather_file_has_the_lines_of_all_stations(spark):
     got = {r.station: r["count"] for r in lines.groupBy("station").count().collect()}
     hourly = catalogue.hourly(spark, SF).groupBy("station").agg(F.count_distinct(F.date_trunc("hour", "time")).alias("n"))
     assert got == {r.station: r.n + 8 for r in hourly.collect()} and len(got) > 1
+
+
+def test_queries_take_all_bins_and_bootstrap_runs(spark, monkeypatch):
+    fs = {tuple(r)[:3]: r.fs for r in climate.fs_statistic(catalogue.series(spark, SF), ["sim"], "v", bins=1023).collect()}
+    best = {(s, m): min((v, y) for (a, b, y), v in fs.items() if (a, b) == (s, m))[1] for s, m, _ in fs}
+    got = catalogue.QUERIES["top_month_rows"](spark, SF).select("sim", "month", "year").distinct().collect()
+    assert {(r.sim, r.month): r.year for r in got} == best
+    seen, real = [], climate.fs_statistic
+    monkeypatch.setattr(climate, "fs_statistic", lambda df, key, value, bins=1023, *a: seen.append(bins) or real(df, key, value, bins, *a))
+    catalogue.QUERIES["tmy_months"](spark, SF)
+    assert seen == [1023]
+    blocks = aggregate.block_extremes(catalogue.daily(spark, SF), ["sim"], "v")
+    for name, want in [
+        ("return_value_gamma", kernels.one_in_x(blocks, ["sim"], "v", [2, 10], "value", "gamma", runs=100)),
+        ("return_probability", kernels.one_in_x(blocks, ["sim"], "v", [400000.0, 450000.0], "probability", "gumbel", runs=100)),
+        ("return_period_gumbel", kernels.return_values(blocks, ["sim"], "v", [2, 10, 50], "gumbel", runs=100)),
+    ]:
+        assert sorted(map(repr, catalogue.QUERIES[name](spark, SF).collect())) == sorted(map(repr, want.collect()))
