@@ -96,3 +96,64 @@ def test_different_texts_with_null_or_repeated_ids_stay(spark):
     got = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, table(spark, rows), "").collect()), key=repr)
     assert got == sorted([(None, text(a)), (None, text(b)), (7, text(d)), (1, rows[5][1]), (9, text(e))], key=repr)
     assert got == sorted(survivors(rows), key=repr)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_language_id_rejects_what_cannot_be_told(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = table(spark, [(-1, None), (-2, ""), (-3, "12 34 !"), (-4, "ʘǂǁ ǃʘǀ " * 60)])
+    got = pipeline.language_id(spark, docs.unionByName(odd), SF)
+    assert got.columns == pipeline.COLUMNS
+    kept = texts(got)
+    assert not {-1, -2, -3, -4} & set(kept)
+    lettered = {k: t for k, t in texts(docs).items() if any(c.isalpha() for c in t or "")}
+    assert kept.items() <= lettered.items() and all(k in kept for k, t in lettered.items() if len(t) < pipeline.ENOUGH)
+
+
+def test_decontaminate_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    passage = next(t for t in items.values() if len((t or "").split()) >= 12)
+    whole = table(spark, [(-1, passage), (-2, "before it " + passage + " after it")])
+    docs = docs.unionByName(whole)
+    before, after = texts(docs), texts(pipeline.decontaminate(spark, docs, SF))
+    found = brute.contamination(before, items)
+    for k, (words, hit, *_, contaminated) in found.items():
+        if contaminated and hit == words:
+            assert k not in after
+        else:
+            assert contaminated != (after[k] == before[k])
+    assert -1 not in after and after[-2].split()[:2] == ["before", "it"] and found[-2][4]
+    assert not any(x[4] for x in brute.contamination(after, items).values())
+
+
+def test_redaction_leaves_no_base_finding(spark):
+    rows = [(1, "write to ann.lee@example.org or call +1 (415) 555-0132 now"), (2, "from 10.1.2.3 with 4111 1111 1111 1111"), (3, "nothing here"), (None, "bob@example.org")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(table(spark, rows))
+    got = pipeline.redact_pii(spark, docs, SF).collect()
+    assert len(got) == docs.count() and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+    assert not any(brute.personal(r.text) for r in got)
+    after = {r.doc_id: r.text for r in got if r.doc_id in (1, None)}
+    assert "ann.lee" not in after[1] and "write to" in after[1] and "bob" not in after[None]
+
+
+def test_run_over_a_small_folder(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(None, "the first text without an id " * 3 + "one two three four"), (None, "quite another text that has no id " * 3 + "five six seven")]
+    docs.unionByName(table(spark, extra)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = str(tmp_path)
+    told = pipeline.language_id(spark, spark.read.parquet(f"{d}/documents.parquet"), d).cache()
+    want = survivors([(r.doc_id, r.text) for r in told.collect()])
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, told, d).collect()), key=repr)
+    assert got == sorted(want, key=repr) and len(got) < told.count()
+    out = pipeline.run(spark, d).collect()
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
+    ids = [k for k, _ in want]
+    assert sum(r.doc_id is None for r in out) == 2 and {r.doc_id for r in out} <= set(ids) and len(out) <= len(ids)
