@@ -105,6 +105,20 @@ KNOWN = [
     ("Zlib", _ZLIB),
 ]
 
+#: Digests of whole public licence texts, too long to keep here (fixed values; a GPL text names no "or later").
+FULL = [
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0-only", "88c0d32b6685976f91edcbb228c50498a7324b47880b82b90b4b86377ca82e38"),
+    ("GPL-2.0-only", "5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a"),
+    ("GPL-3.0-only", "44ab9faa2710e701e5bf01d35505a460bcc74f29e108f844fcb015f4feafe4b5"),
+    ("LGPL-2.0-only", "11e3c6b677207da4051366e158907dd6f7209ed89198cf2dcbadb81b40ad29b1"),
+    ("LGPL-2.1-only", "0ef3b42e72472128abbdf18e99fa5bc9e149587020f3081179d818e4ad7abb3f"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"\n[^a-z0-9\n]*(copyright[^a-z\n]|\(c\)|©)[^\n]*"
 _BLANK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}\x{2010}-\x{2015}\x{2018}-\x{201F}]+"
@@ -128,10 +142,14 @@ def canonical_sql(text: str) -> str:
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license_id): one row for each form; known has columns license_id and text."""
-    if known is None:
+    own = known is None
+    if own:
         known = spark.createDataFrame(KNOWN, "license_id string, text string")
     form = canonical(F.col("text"))
-    return known.where(form != "").groupBy(F.sha2(form, 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    table = known.where(form != "").select(F.sha2(form, 256).alias("digest"), "license_id")
+    if own:
+        table = table.union(spark.createDataFrame(FULL, "license_id string, digest string").select("digest", "license_id"))
+    return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(df: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
