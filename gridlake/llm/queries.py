@@ -80,11 +80,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    back = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, decoded="decoded")
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return tokens.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

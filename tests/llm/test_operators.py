@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridlake.llm import decontam, fmindex, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity, vp8l, webp, xxh
@@ -117,6 +118,10 @@ def test_bpe_round_trip(spark, documents, edges):
     both = tokens.decode(tokens.encode(edges, path, p.PATTERN), path, p.PATTERN)
     for r in both.collect():
         assert bytes(r.decoded) == (r.text or "").encode() and r.ids == plain.encode_ordinary(r.text or "")
+    assert all(r.round_trip for r in tokens.encode(edges, path, p.PATTERN, round_trip="round_trip").collect())
+    for r in tokens.digests(edges.withColumn("again", F.col("text")), path, p.PATTERN).collect():
+        ids = plain.encode_ordinary(r.again or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(r.again or ""))
 
 
 def test_language_id(spark, edges):
