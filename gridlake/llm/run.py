@@ -1,23 +1,30 @@
-"""Shared plumbing of the operators: checkpoints, splits and batch mapping."""
+"""Shared plumbing of the operators: checkpoints and splits."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder of spark.checkpoint.dir; without one, a temporary folder in local mode and RuntimeError elsewhere."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this job, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there."""
     checkpoint_dir(df.sparkSession)
@@ -27,13 +34,3 @@ def cut(df: DataFrame) -> DataFrame:
 def held_out(doc_id: str, mod: int, rest: int):
     """Whether crc32 of doc_id as text leaves `rest` modulo `mod`; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))
-
-
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """step on each Arrow batch of df."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from step(batch)
-
-    return df.mapInArrow(run, schema)

@@ -6,7 +6,6 @@ Python worker holds a bounded block and never loops over single words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,18 +114,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-_GAP = re.compile(rb"[\x20\x09-\x0D]+")
-
-
-def pieces(text: bytes, most: int) -> Iterator[bytes]:
-    """A long text in parts of about `most` bytes, cut at white space only."""
-    at = 0
-    while len(text) - at > most:
-        m = _GAP.search(text, at + most)
-        if not m:
-            break
-        yield text[at : m.start()]
-        at = m.end()
-    yield text[at:]
