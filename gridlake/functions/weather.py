@@ -46,7 +46,7 @@ def rotate(u: Column, v: Column, sine: Column, cosine: Column) -> tuple[Column,
 
 
 def heat_index_f(t: Column, rh: Column) -> Column:
-    """Degrees F: the regression with its two adjustments from 80 F on, the air temperature below."""
+    """Degrees F: the air temperature below 80 F; from there on the simple formula where that is below 80, else the regression with its two adjustments."""
     #: Coefficients of the published regression (fixed values).
     full = (
         -42.379 + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh - 0.00683783 * t * t
@@ -55,8 +55,8 @@ def heat_index_f(t: Column, rh: Column) -> Column:
     dry = (13 - rh) / 4 * F.sqrt((17 - F.abs(t - 95)) / 17)
     damp = (rh - 85) / 10 * (87 - t) / 5
     adjusted = F.when((rh < 13) & t.between(80, 112), full - dry).when((rh > 85) & t.between(80, 87), full + damp).otherwise(full)
-    return F.when(t < 80, t).otherwise(adjusted)
-
+    simple = 0.5 * (t + 61 + (t - 68) * 1.2 + rh * 0.094)
+    return F.when(t < 80, t).when(simple < 80, simple).otherwise(adjusted)
 
 def wind_chill_f(t: Column, mph: Column) -> Column:
     """Degrees F where it is at most 50 F and the wind over 3 mph; the air temperature elsewhere."""
@@ -81,9 +81,11 @@ def degree_days(t: Column, heating: float, cooling: float) -> tuple[Column, Colu
     return F.when(some, F.greatest(heating - t, F.lit(0.0))), F.when(some, F.greatest(t - cooling, F.lit(0.0)))
 
 
-def sea_level_pressure(p_pa: Column, t_k: Column, q: Column, elevation_m: Column) -> Column:
-    """By the hypsometric equation with the virtual temperature."""
-    return p_pa * F.exp(elevation_m * 9.80665 / (287.04 * t_k * (1 + 0.608 * q)))
+def sea_level_pressure(p_pa: Column, t_k: Column, q: Column, elevation_m: Column, lapse: float = 0.0065) -> Column:
+    """Pa, by the hypsometric equation with the mean virtual temperature between the surface and the sea; q is a mixing ratio in kg/kg."""
+    virtual = t_k * (1 + 1.609 * q) / (1 + q)
+    mean = (2 * virtual + lapse * elevation_m) / 2
+    return p_pa * F.exp(elevation_m * 9.81 / (287.04 * mean))
 
 
 def relative_humidity_mixing(p_hpa: Column, t_c: Column, w: Column) -> Column:

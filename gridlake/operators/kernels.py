@@ -293,17 +293,42 @@ def kolmogorov(t: float) -> float:
     return float(np.clip(2 * ((-1.0) ** (k - 1) * np.exp(-2 * k * k * t * t)).sum(), 0, 1)) if t > 0.2 else 1.0
 
 
-def effective_size(x: np.ndarray) -> float:
-    """n / (1 + 2 sum (1 - k/n) r_k), the autocorrelations by FFT, up to the first that is not positive."""
-    x = np.asarray(x, float) - np.mean(x)
+def effective_size(x: np.ndarray, positive_only: bool = False) -> float:
+    """n / (1 + 2 sum (1 - k/n) r_k), the autocorrelations by FFT.
+
+    The sum runs over all lags; positive_only ends it at the first that is not
+    positive, which is less noisy.
+    """
+    x = np.asarray(x, float) - np.mean(x) if len(x) else np.zeros(0)
     n = len(x)
     if n < 2 or not x.any():
         return float(n)
     f = np.fft.rfft(x, 2 * n)
     r = np.fft.irfft(f * np.conj(f))[:n]
     r = r[1:] / r[0]
-    end = int(np.argmax(r <= 0)) if (r <= 0).any() else len(r)
-    return float(n / (1 + 2 * ((1 - np.arange(1, end + 1) / n) * r[:end]).sum()))
+    if positive_only and (r <= 0).any():
+        r = r[: int(np.argmax(r <= 0))]
+    return float(n / (1 + 2 * ((1 - np.arange(1, len(r) + 1) / n) * r).sum()))
+
+
+def effective_size_sampled(x: np.ndarray, samples: int = 20, most: int = 100) -> float:
+    """As effective_size for long series, from a sample of lags evenly spaced in their logarithm.
+
+    The longest lag is a quarter of the series, at most `most`; a short lag that
+    the spacing hits several times counts as often. Each correlation is that of
+    the two overlapping parts.
+    """
+    x = np.asarray(x, float)
+    n, longest = len(x), min(len(x) // 4, most)
+    if longest < 1:
+        return float(n)
+    total = 0.0
+    for k in np.geomspace(1, longest, samples).astype(int):
+        a, b = x[: n - k] - x[: n - k].mean(), x[k:] - x[k:].mean()
+        size = np.sqrt((a * a).sum() * (b * b).sum())
+        if k < n - 1 and size > 0:
+            total += (a * b).sum() / size * (n - k) / n
+    return float(n / (1 + 2 * total))
 
 
 def _fields(df: DataFrame, key: list[str]) -> str:
@@ -369,13 +394,13 @@ def two_sample_ks(df: DataFrame, key: list[str], value: str, sample: str, first,
     return found.select(*key, "statistic", "n_first", "n_second", p.alias("p_value"))
 
 
-def sample_sizes(df: DataFrame, key: list[str], value: str, time: str = "time") -> DataFrame:
-    """Effective sample size of each series."""
+def sample_sizes(df: DataFrame, key: list[str], value: str, time: str = "time", sampled: bool = False) -> DataFrame:
+    """Effective sample size of each series, from all lags or from a sample of them."""
     fields = _fields(df, key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values([time, value])[value].dropna().to_numpy(float)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "n": [len(x)], "ess": [effective_size(x)]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "n": [len(x)], "ess": [(effective_size_sampled if sampled else effective_size)(x)]})
 
     return df.select(*key, time, value).groupBy(*key).applyInPandas(run, f"{fields}, n long, ess double")
 

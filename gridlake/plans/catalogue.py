@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import units, weather
 from ..operators import aggregate, climate, kernels, select
 from ..sources import catalog
-from . import query
+from . import query, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -389,7 +389,7 @@ _F = "((t2 - 273.15) * 1.8 + 32)"
 _SCALARS = {
     "unit_k_to_f": (lambda: units.convert(C(), "K", "degF"), f"{_F}"),
     "unit_pa_to_hpa": (lambda: units.convert(P(), "Pa", "hPa"), "psfc / 100"),
-    "unit_ms_to_mph": (lambda: units.convert(U(), "m/s", "mph"), "u10 * 2.23694"),
+    "unit_ms_to_mph": (lambda: units.convert(U(), "m/s", "mph"), "u10 * 2.236936"),
     "wind_speed": (lambda: weather.wind_speed(U(), V()), "sqrt(u10 * u10 + v10 * v10)"),
     "wind_dir": (lambda: weather.wind_direction(U(), V()), "CASE WHEN 270 - degrees(atan2(v10, u10)) >= 360 THEN 270 - degrees(atan2(v10, u10)) - 360 ELSE 270 - degrees(atan2(v10, u10)) END"),
     "dew_point": (
@@ -408,7 +408,7 @@ _SCALARS = {
         lambda: weather.wind_chill_f(units.convert(C(), "K", "degF"), weather.wind_speed(U(), V()) * 2.237),
         f"CASE WHEN {_F} <= 50 AND sqrt(u10 * u10 + v10 * v10) * 2.237 > 3 THEN 35.74 + 0.6215 * {_F} - 35.75 * pow(sqrt(u10 * u10 + v10 * v10) * 2.237, 0.16) + 0.4275 * {_F} * pow(sqrt(u10 * u10 + v10 * v10) * 2.237, 0.16) ELSE {_F} END",
     ),
-    "slp": (lambda: weather.sea_level_pressure(P(), C(), R() / 10000, F.lit(100.0)), "psfc * exp(100.0 * 9.80665 / (287.04 * t2 * (1 + 0.608 * rh / 10000)))"),
+    "slp": (lambda: weather.sea_level_pressure(P(), C(), R() / 10000, F.lit(100.0)), "psfc * exp(100.0 / (287.04 * ((2 * ((1 + 1.609 * rh / 10000) / (1 + rh / 10000)) * t2 + 0.0065 * 100) / 2) / 9.81))"),
 }
 for _n, (_c, _sql) in _SCALARS.items():
     register(_n, f"WITH {HOURLY} SELECT id, round({_sql}, 3) AS value FROM hourly")(lambda s, d, c=_c: hourly(s, d).select("id", F.round(c(), 3).alias("value")))
@@ -416,8 +416,8 @@ for _n, (_c, _sql) in _SCALARS.items():
 _HI = """-42.379 + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh - 0.00683783 * t * t - 0.05481717 * rh * rh + 0.00122874 * t * t * rh + 0.00085282 * t * rh * rh - 0.00000199 * t * t * rh * rh"""
 register(
     "heat_index",
-    f"""WITH {HOURLY}, f AS (SELECT id, rh, {_F} AS t FROM hourly), g AS (SELECT *, {_HI} AS hi FROM f)
-    SELECT id, round(CASE WHEN t < 80 THEN t WHEN rh < 13 AND t BETWEEN 80 AND 112 THEN hi - (13 - rh) / 4 * sqrt((17 - abs(t - 95)) / 17) WHEN rh > 85 AND t BETWEEN 80 AND 87 THEN hi + (rh - 85) / 10 * (87 - t) / 5 ELSE hi END, 2) AS value FROM g""",
+    f"""WITH {HOURLY}, f AS (SELECT id, rh, {_F} AS t FROM hourly), g AS (SELECT *, {_HI} AS hi, 0.5 * (t + 61.0 + (t - 68.0) * 1.2 + rh * 0.094) AS low FROM f)
+    SELECT id, round(CASE WHEN t < 80 THEN t WHEN low < 80 THEN low WHEN rh < 13 AND t BETWEEN 80 AND 112 THEN hi - (13 - rh) / 4 * sqrt((17 - abs(t - 95)) / 17) WHEN rh > 85 AND t BETWEEN 80 AND 87 THEN hi + (rh - 85) / 10 * (87 - t) / 5 ELSE hi END, 2) AS value FROM g""",
 )(lambda s, d: hourly(s, d).select("id", F.round(weather.heat_index_f(units.convert(C(), "K", "degF"), R()), 2).alias("value")))
 register(
     "fosberg",
@@ -426,6 +426,14 @@ register(
     SELECT id, round(least(greatest((1 - 2 * m + 1.5 * m * m - 0.5 * m * m * m) * sqrt(1 + w * w) / 0.3002, 0), 100), 3) AS value FROM m""",
 )(lambda s, d: hourly(s, d).select("id", F.round(weather.fosberg(units.convert(C(), "K", "degF"), R(), weather.wind_speed(U(), V()) * 2.23694), 3).alias("value")))
 
+register(
+    "fosberg_by_name",
+    f"""WITH {HOURLY}, f AS (SELECT id, {_F} AS t, sqrt(u10 * u10 + v10 * v10) * 2.23694 AS w,
+      least(greatest(rh / 10000 * psfc / (0.622 + 0.378 * rh / 10000) / (611.2 * exp(17.67 * (t2 - 273.15) / (t2 - 273.15 + 243.5))) * 100, 0), 100) AS rh FROM hourly),
+    m AS (SELECT *, CASE WHEN rh < 10 THEN 0.03229 + 0.281073 * rh - 0.000578 * rh * t WHEN rh <= 50 THEN 2.22749 + 0.160107 * rh - 0.01478 * t ELSE 21.0606 + 0.005565 * rh * rh - 0.00035 * rh * t - 0.483199 * rh END / 30 AS m FROM f)
+    SELECT id, round(least(greatest((1 - 2 * m + 1.5 * m * m - 0.5 * m * m * m) * sqrt(1 + w * w) / 0.3002, 0), 100), 3) AS value FROM m""",
+)(lambda s, d: registry.BUILT_IN.apply(hourly(s, d).withColumn("q2", R() / 10000), "fosberg_fire_weather_index").select("id", F.round("fosberg_fire_weather_index", 3).alias("value")))
+
 # Kernels
 
 
@@ -440,7 +448,12 @@ def return_value_gumbel(spark, d):
     return kernels.return_values(aggregate.block_extremes(daily(spark, d), ["sim"], "v"), ["sim"], "v", [2, 10, 50], "gumbel")
 
 
-@register("ess")
+@register(
+    "ess",
+    f"""WITH {SERIES}, x AS (SELECT sim, v - avg(v) OVER (PARTITION BY sim) AS d, row_number() OVER (PARTITION BY sim ORDER BY "time") AS i, count(*) OVER (PARTITION BY sim) AS n FROM series),
+    s AS (SELECT sim, n, sum(d * d) AS s FROM x GROUP BY ALL), p AS (SELECT a.sim, sum(a.d * b.d * (1 - (b.i - a.i) / a.n::DOUBLE)) AS p FROM x a JOIN x b ON a.sim = b.sim AND a.i < b.i GROUP BY a.sim)
+    SELECT sim, n, round(n / (1 + 2 * p / s), 4) AS ess FROM s JOIN p USING (sim)""",
+)
 def ess(spark, d):
     return rounded(kernels.sample_sizes(series(spark, d), ["sim"], "v"), "ess")
 

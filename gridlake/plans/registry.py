@@ -98,7 +98,10 @@ BUILT_IN.add("dew_point_2m", ["t2", "rh"], weather.dew_point, "K", "inverse Magn
 BUILT_IN.add("specific_humidity_2m", ["t2", "rh", "psfc"], weather.specific_humidity, "kg/kg", "from relative humidity")
 BUILT_IN.add("heat_index", ["t2", "rh"], lambda t, rh: units.convert(weather.heat_index_f(units.convert(t, "K", "degF"), rh), "degF", "K"), "K", "regression with adjustments")
 BUILT_IN.add("wind_chill", ["t2", "u10", "v10"], lambda t, u, v: units.convert(weather.wind_chill_f(units.convert(t, "K", "degF"), weather.wind_speed(u, v) * 2.237), "degF", "K"), "K", "in cold and wind only")
-BUILT_IN.add("fosberg_fire_weather_index", ["t2", "rh", "u10", "v10"], lambda t, rh, u, v: weather.fosberg(units.convert(t, "K", "degF"), rh, weather.wind_speed(u, v) * 2.23694), "[0 to 100]", "fire weather")
+BUILT_IN.add(
+    "fosberg_fire_weather_index", ["t2", "q2", "psfc", "u10", "v10"],
+    lambda t, q, p, u, v: weather.fosberg(units.convert(t, "K", "degF"), weather.relative_humidity(t, q, p), weather.wind_speed(u, v) * 2.23694), "[0 to 100]", "fire weather",
+)
 BUILT_IN.add("diurnal_temperature_range_loca", ["tasmax", "tasmin"], lambda a, b: a - b, "K", "maximum less minimum")
 BUILT_IN.add("diurnal_temperature_range_wrf", ["t2max", "t2min"], lambda a, b: a - b, "K", "maximum less minimum")
 BUILT_IN.add("HDD_wrf", ["t2"], lambda t: weather.degree_masks(t)[0], "", "1 on steps that need heating")

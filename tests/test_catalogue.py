@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridlake.functions import units, weather
 from gridlake.operators import aggregate, kernels, select
-from gridlake.plans import catalogue
+from gridlake.plans import catalogue, registry
 from gridlake.plans.query import Query
 from gridlake.sources import catalog
 from gridlake.streaming import live
@@ -29,7 +30,7 @@ def same(v):
     return round(v, 4) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["flagship_monthly_max", "clip_points", "nearest_3x3_fill", "metric_sum", "metric_percentiles", "block_max_sustained", "exceed_sustained", "multi_model_stats", "hist_cdf", "rolling_centred_even", "paired_difference", "heat_index"])
+@pytest.mark.parametrize("name", ["flagship_monthly_max", "clip_points", "nearest_3x3_fill", "metric_sum", "metric_percentiles", "block_max_sustained", "exceed_sustained", "multi_model_stats", "hist_cdf", "rolling_centred_even", "paired_difference", "heat_index", "ess", "slp", "fosberg_by_name", "unit_ms_to_mph"])
 def test_twin(spark, duck, name):
     df, rel = catalogue.QUERIES[name](spark, SF), duck.sql(catalogue.ORACLE_SQL[name])
     cols = sorted(df.columns)
@@ -77,7 +78,33 @@ def test_kolmogorov_and_effective_size():
     y = np.zeros(4000)
     for i in range(1, 4000):
         y[i] = 0.5 * y[i - 1] + x[i]
-    assert math.isclose(kernels.effective_size(y), 4000 / 3, rel_tol=0.25)
+    assert math.isclose(kernels.effective_size(y, positive_only=True), 4000 / 3, rel_tol=0.25)
+    z = [3.0, 1.0, 4.0, 1.0, 5.0]
+    d = np.array(z) - np.mean(z)
+    r = [(d[: 5 - k] * d[k:]).sum() / (d * d).sum() for k in range(1, 5)]
+    assert math.isclose(kernels.effective_size(z), 5 / (1 + 2 * sum((1 - k / 5) * r[k - 1] for k in range(1, 5))))
+    w = y[:40]
+    lags = np.geomspace(1, 10, 20).astype(int)
+    assert math.isclose(kernels.effective_size_sampled(w), 40 / (1 + 2 * sum(np.corrcoef(w[:-k], w[k:])[0, 1] * (40 - k) / 40 for k in lags)))
+    assert kernels.effective_size(np.ones(4)) == 4.0 and kernels.effective_size(np.zeros(0)) == 0.0 and kernels.effective_size_sampled(np.ones(40)) == 40.0
+
+
+def test_formulas_by_hand(spark):
+    df = spark.createDataFrame([(80.0, 10.0), (81.0, 5.0), (79.9, 90.0), (90.0, 70.0), (82.0, 95.0), (None, 5.0)], "t double, rh double")
+    got = [r.x for r in df.select(weather.heat_index_f(F.col("t"), F.col("rh")).alias("x")).collect()]
+    assert abs(got[0] - 78.17) < 1e-9 and abs(got[1] - 79.035) < 1e-9 and got[2] == 79.9 and round(got[3], 1) == 105.9 and round(got[4], 1) == 93.7 and got[5] is None
+    one = spark.createDataFrame([(90000.0, 290.0, 0.005, 1000.0)], "p double, t double, q double, z double")
+    assert abs(one.select(weather.sea_level_pressure(*map(F.col, "ptqz")).alias("x")).first().x / 100 - 1010.89) < 0.01
+    assert set(registry.BUILT_IN.info("fosberg_fire_weather_index").depends_on) == {"t2", "q2", "psfc", "u10", "v10"}
+    v, days = F.lit(2.0), F.lit(31)
+    wanted = {("m s-1", "knots"): 3.887689, ("m/s", "mph"): 4.473872, ("Pa", "inHg"): 0.0005906, ("mm/h", "inches/h"): 2 / 25.4, ("kg kg-1", "g kg-1"): 2000.0, ("mm", "kg m-2 s-1"): 2 / 86400}
+    for (a, b), x in wanted.items():
+        assert math.isclose(spark.range(1).select(units.convert(v, a, b).alias("x")).first().x, x)
+    assert math.isclose(spark.range(1).select(units.convert(v, "kg m-2 s-1", "inches", days).alias("x")).first().x, 2 * 31 * 86400 / 25.4)
+    assert math.isclose(spark.range(1).select(units.convert(v, "mm", "kg m-2 s-1", days).alias("x")).first().x, 2 / 86400 / 31)
+    assert spark.range(1).select(units.convert(v, "hPa", "Pa", compat=True).alias("x"), units.convert(v, "hPa", "Pa").alias("y")).first()[:] == (0.02, 200.0)
+    with pytest.raises(ValueError):
+        units.convert(v, "K", "mm")
 
 
 def test_stream_equals_batch(spark, tmp_path):
