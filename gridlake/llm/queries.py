@@ -72,8 +72,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = webp.store(table(spark, sf_dir, "documents").select("doc_id", "text"), payload="payload").drop("text")
-    return webp.digests(stored).withColumnRenamed("features", "feature")
+    return webp.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 `pixels` decodes any lossless WebP file (vp8l.py). `store` and `restore` keep
 byte strings as grey pictures of 64 samples a row, one file for each strip of up
 to STRIP bytes, so a very long text takes bounded memory and many strips are
-worked on side by side. A strip's picture uses the subtract-green transform,
-which makes red and blue nothing, and a prefix code of its own samples.
-
-Strips in that layout are decoded together: a lane for each strip, a symbol of
-every lane at a time by table look-up. Whatever else is met goes to the general
-decoder, and tests hold the two together.
+worked on side by side. Of each strip's picture the writer tries what can make it
+smaller: a palette where there are at most 16 samples, which bundles pixels; the
+predictors from the left and from above where they lower the entropy; and always
+back-references and prefix codes of what is left. Else the subtract-green
+transform makes red and blue nothing. A colour cache and the cross-colour
+transform say nothing new of grey pixels and are not written; the decoder has
+them. Files are read back by the decoder of vp8l.py, whoever wrote them.
 
 Defined results: null bytes or texts are empty ones; an empty payload has one
 row of zeros; equal payloads have equal files; a file that is no lossless WebP
@@ -17,24 +18,29 @@ raises ValueError.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vp8l
-from .text import blocks, parts
+from .text import blocks, mix, parts
+from .xxh import loads
 
 WIDTH, STRIP = 64, 1 << 14
 MOST = 11  # bits of the longest code
-BLOCK, ENCODED = 2 << 20, 1 << 18
-_REVERSE = np.array([int(f"{i:011b}"[::-1], 2) for i in range(1 << MOST)], np.int64)
+#: Bytes of texts that a worker decodes, and encodes, at once.
+BLOCK, ENCODED = 4 << 20, 1 << 18
+#: Least and greatest pixels of a back-reference, and the share of entropy that a predictor must save.
+LEAST, LONGEST, SAVED = 5, 4096, 0.03
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
+def code_lengths(counts: np.ndarray, most: int = MOST) -> np.ndarray:
     """Lengths of complete prefix codes for rows of symbol counts; at least two symbols have one.
 
     Each starts at the whole number of bits above its information, which leaves
@@ -43,147 +49,293 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     """
     c = counts.astype(float).copy()
     c[:, :2] = np.maximum(c[:, :2], 1e-9)
-    c = np.where(c > 0, np.maximum(c, c.sum(1, keepdims=True) / 1024), 0)
+    c = np.where(c > 0, np.maximum(c, c.sum(1, keepdims=True) / (1 << most - 1)), 0)
     with np.errstate(divide="ignore"):
-        bits = np.where(c > 0, np.clip(np.ceil(np.log2(c.sum(1, keepdims=True) / c)), 1, MOST), 0).astype(np.int64)
-    room = (1 << MOST) - np.where(bits > 0, 1 << (MOST - bits), 0).sum(1)
+        bits = np.where(c > 0, np.clip(np.ceil(np.log2(c.sum(1, keepdims=True) / c)), 1, most), 0).astype(np.int64)
+    room = (1 << most) - np.where(bits > 0, 1 << (most - bits), 0).sum(1)
     order, lane = np.argsort(-c, axis=1, kind="stable"), np.arange(len(c))
     used = int((c > 0).sum(1).max(initial=0))
     while room.any():
         for k in range(used):
             s = order[:, k]
             n = bits[lane, s]
-            gain = np.where(n > 1, 1 << (MOST - n), 1 << MOST + 1)
+            gain = np.where(n > 1, 1 << (most - n), 1 << most + 1)
             short = gain <= room
             bits[lane, s] -= short
             room -= np.where(short, gain, 0)
     return bits
 
 
-def _sorted_codes(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols by (length, symbol), unused ones last; the span of each of them in a table of 2**MOST; its begin."""
+@lru_cache(2)
+def _reverse(most: int) -> np.ndarray:
+    return np.array([int(f"{i:0{most}b}"[::-1], 2) for i in range(1 << most)], np.uint64)
+
+
+def codes(bits: np.ndarray, most: int = MOST) -> np.ndarray:
+    """The canonical codes of rows of lengths, the first bit lowest."""
     order = np.argsort(np.where(bits > 0, bits, 99), axis=1, kind="stable")
     n = np.take_along_axis(bits, order, 1)
-    span = np.where(n > 0, 1 << (MOST - n), 0)
-    return order, span, np.cumsum(span, 1) - span
+    span = np.where(n > 0, 1 << (most - n), 0)
+    first = np.zeros_like(bits)
+    np.put_along_axis(first, order, np.where(n > 0, np.cumsum(span, 1) - span, 0), 1)
+    return _reverse(most)[first]
 
 
-class _Writer:
+class Writer:
+    """Bits, the first lowest, as one integer."""
+
     def __init__(self):
-        self.bits: list[int] = []
+        self.value = self.size = 0
 
-    def put(self, value: int, n: int) -> _Writer:
-        self.bits += [value >> k & 1 for k in range(n)]
+    def put(self, *pairs: int) -> Writer:
+        """(value, bits) pairs, one after the other."""
+        for v, n in zip(pairs[::2], pairs[1::2], strict=True):
+            self.value |= v << self.size
+            self.size += n
         return self
 
+    def one(self, symbol: int) -> Writer:
+        """A code of one symbol."""
+        return self.put(1, 1, 0, 1, 1, 1, symbol, 8)
+
+    def code(self, runs: list[tuple[int, int, int]], bits: list[int], words: list[int]) -> Writer:
+        """A code from the runs of its lengths, and the code of these."""
+        self.put(0, 1, 15, 4)
+        for k in vp8l.CODE_LENGTH_ORDER:
+            self.put(bits[k], 3)
+        self.put(0, 1)
+        for s, extra, n in runs:
+            self.put(words[s], bits[s], extra, n)
+        return self
+
+
+def runs_of(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, extra, bits of extra), zeros in runs."""
+    out, at, end = [], 0, len(lengths)
+    while at < end:
+        if lengths[at]:
+            out.append((lengths[at], 0, 0))
+            at += 1
+            continue
+        stop = at
+        while stop < end and not lengths[stop]:
+            stop += 1
+        while (n := stop - at) > 0:
+            if n < 3:
+                out += [(0, 0, 0)] * n
+            elif n <= 10:
+                out.append((17, n - 3, 3))
+            else:
+                n = min(n, 138)
+                out.append((18, n - 11, 7))
+            at += n
+    return out
+
+
+def _write_codes(writers: list[Writer], lengths: list[list[int]]) -> None:
+    """To each writer the code of some lengths."""
+    runs = [runs_of(x) for x in lengths]
+    counts = np.zeros((len(runs), 19), np.int64)
+    for row, r in zip(counts, runs, strict=True):
+        for s, _, _ in r:
+            row[s] += 1
+    bits = code_lengths(counts, 7)
+    for w, r, b, c in zip(writers, runs, bits.tolist(), codes(bits, 7).tolist(), strict=True):
+        w.code(r, b, c)
+
+
+def _palette(w: Writer, colours: np.ndarray) -> None:
+    """The palette transform of some grey colours."""
+    w.put(1, 1, 3, 2, len(colours) - 1, 8, 0, 1)
+    steps = np.diff(colours.astype(np.int64), prepend=0) & 255
+    counts = np.zeros((2, 280), np.int64)
+    np.add.at(counts, (0, steps), 1)
+    counts[1, [255, 0]] = 1, len(colours) - 1
+    bits = code_lengths(counts)
+    word = codes(bits).tolist()
+    _write_codes([w, w, w, w], [bits[0].tolist(), bits[0, :256].tolist(), bits[0, :256].tolist(), bits[1, :256].tolist()])
+    w.one(0)
+    for k, s in enumerate(steps.tolist()):
+        a = 0 if k else 255
+        w.put(*[word[0][s], int(bits[0, s])] * 3, word[1][a], int(bits[1, a]))
+
+
+@lru_cache(8)
+def _near(width: int) -> np.ndarray:
+    """The code of each short distance in a picture of that width; 0 where it has none."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for k in range(len(vp8l.NEAR), 0, -1):
+        dx, dy = vp8l.NEAR[k - 1]
+        if 0 < (d := dx + dy * width) < len(out):
+            out[d] = k
+    return out
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and how many of them, of lengths or distances from 1."""
+    n = np.maximum(np.floor(np.log2(np.maximum(v - 1, 1))).astype(np.int64) - 1, 0)
+    prefix = np.where(v <= 4, v - 1, 2 * n + 2 + ((v - 1 >> n) & 1))
+    return prefix, (v - 1) & ((1 << n) - 1), n
 
-def _before() -> np.ndarray:
-    """The bits from the end of the sizes to the first code length."""
-    w = _Writer()
-    w.put(0, 1).put(0, 3)  # no alpha, version 0
-    w.put(1, 1).put(2, 2).put(0, 1)  # subtract green, no more transforms
-    w.put(0, 1).put(0, 1)  # no colour cache, one group of codes
-    w.put(0, 1).put(15, 4)  # a normal code; 19 code length codes
-    for s in vp8l.CODE_LENGTH_ORDER:
-        w.put(4 if s < 16 else 0, 3)
-    w.put(1, 1).put(3, 3).put(256 - 2, 8)  # 256 lengths follow
-    return np.array(w.bits, np.uint8)
 
+def matches(data: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place how many bytes equal those after the last place where its four bytes came in its lane, and the distance; 0 where none."""
+    n = len(data)
+    key = loads(data) & np.uint64(0xFFFFFFFF)
+    whole = np.zeros(n, bool)
+    whole[: max(0, n - 3)] = lane[3:] == lane[: max(0, n - 3)]
+    h = (mix(key + (lane.astype(np.uint64) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32)
+    # two radix sorts of 16 bits keep equal hashes in the order of their places
+    order = np.argsort((h & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    order = order[np.argsort((h >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+    a, b = order[:-1], order[1:]
+    same = (key[a] == key[b]) & (lane[a] == lane[b]) & whole[a] & whole[b]
+    away = np.zeros(n, np.int64)
+    away[b[same]] = (b - a)[same]
+    # places in a row with one distance are one match, four bytes beyond the last of them
+    last = np.append(np.flatnonzero(np.diff(away)), n - 1)
+    end = np.repeat(last, np.diff(last, prepend=-1))
+    return np.where(away > 0, np.minimum(end - np.arange(n) + 4, LONGEST), 0), away
 
-def _after() -> np.ndarray:
-    """The bits of the other codes, one symbol each: red 0, blue 0, alpha 255, distance 0."""
-    w = _Writer()
-    for s in (0, 0, 255, 0):
-        w.put(1, 1).put(0, 1)
-        w.put(1, 1).put(s, 8) if s > 1 else w.put(0, 1).put(s, 1)
-    return np.array(w.bits, np.uint8)
 
+_LOG = np.log2(np.maximum(np.arange(STRIP + 1), 1))
 
-#: The 4-bit codes of lengths 0-15, as bits in stream order.
-_NIBBLE = np.array([[v >> (3 - k) & 1 for k in range(4)] for v in range(16)], np.uint8)
-_BEFORE, _AFTER = _before(), _after()
-_HEADER = 36 + len(_BEFORE) + 1024 + len(_AFTER)  # bits before the samples, the signature and sizes included
+
+def _entropy(lane: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that each lane's symbols take, and their counts."""
+    counts = np.bincount(lane << 8 | data, minlength=256 * n).reshape(n, 256)
+    total = counts.sum(1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * _LOG[counts]).sum(1), counts
+
+
+def _residuals(rows: np.ndarray, top: np.ndarray) -> list[np.ndarray]:
+    """What is left of rows of pixels after the predictors from the left and from above; top: where pictures begin."""
+    above = np.vstack((rows[:1], rows[:-1]))
+    left = np.hstack((np.zeros((len(rows), 1), np.uint8), rows[:, :-1]))
+    by_left, by_top = rows - left, rows - above
+    by_left[~top, 0] = by_top[~top, 0]
+    by_top[top] = rows[top] - left[top]
+    return [by_left, by_top]
 
 
 def encode(strips: list[bytes]) -> list[bytes]:
     """A WebP file of each strip, whose length is a positive multiple of WIDTH."""
     if not strips:
         return []
+    n = len(strips)
     data = np.frombuffer(b"".join(strips), np.uint8)
-    size = np.fromiter(map(len, strips), np.int64, len(strips))
-    lane = np.repeat(np.arange(len(strips)), size)
-    counts = np.bincount(lane * 256 + data, minlength=256 * len(strips)).reshape(-1, 256)
-    bits = code_lengths(counts)
-    order, _, begin = _sorted_codes(bits)
-    first = np.zeros_like(begin)
-    np.put_along_axis(first, order, begin, 1)
-    n = bits[lane, data]
-    code = _REVERSE[first[lane, data]]  # left-justified, so that reversed its first bit is the lowest
-    total = np.bincount(lane, n, minlength=len(strips)).astype(np.int64)
-    lengths = _NIBBLE[bits].reshape(len(strips), -1)
-    at = np.cumsum(n) - n
-    flat = (np.repeat(code.astype(np.int32), n) >> (np.arange(int(n.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), n)) & 1).astype(np.uint8)
-    out, done = [], 0
-    for i, m in enumerate(total):
-        head = np.unpackbits(np.frombuffer((0x2F | (WIDTH - 1) << 8 | (int(size[i]) // WIDTH - 1) << 22).to_bytes(5, "little"), np.uint8), bitorder="little")[:36]
-        stream = np.packbits(np.concatenate((head, _BEFORE, lengths[i], _AFTER, flat[done : done + m])), bitorder="little").tobytes()
-        done += m
+    size = np.fromiter(map(len, strips), np.int64, n)
+    lane = np.repeat(np.arange(n), size)
+    plain, counts = _entropy(lane, data, n)
+    begin = np.cumsum(size) - size
+    top = np.zeros(len(data) // WIDTH, bool)
+    top[begin // WIDTH] = True
+    tried = [r.ravel() for r in _residuals(data.reshape(-1, WIDTH), top)]
+    cost = np.stack([plain * (1 - SAVED), *(_entropy(lane, r, n)[0] for r in tried)])
+    mode = cost.argmin(0)
+    few = (counts > 0).sum(1) <= 16
+    mode[few] = 3
+    pixels = data.copy()
+    for i in np.flatnonzero((mode == 1) | (mode == 2)):
+        pixels[begin[i] : begin[i] + size[i]] = tried[mode[i] - 1][begin[i] : begin[i] + size[i]]
+    writers, width = [Writer() for _ in strips], np.full(n, WIDTH)
+    if few.any():
+        parts_ = np.split(pixels, begin[1:])
+        for i in np.flatnonzero(few):
+            colours = np.flatnonzero(counts[i])
+            per = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2
+            index = np.searchsorted(colours, parts_[i]).reshape(-1, per)
+            parts_[i] = (index << (8 // per * np.arange(per))).sum(1).astype(np.uint8)
+            width[i] = WIDTH // per
+        pixels = np.concatenate(parts_)
+    for i, w in enumerate(writers):
+        w.put(0x2F, 8, WIDTH - 1, 14, int(size[i]) // WIDTH - 1, 14, 0, 4)
+        if mode[i] == 3:
+            _palette(w, np.flatnonzero(counts[i]))
+        else:
+            if mode[i]:
+                w.put(1, 1, 0, 2, 7, 3, 0, 1).one(int(mode[i])).one(0).one(0).one(0).one(0)
+            w.put(1, 1, 2, 2)
+        w.put(0, 1, 0, 1, 0, 1)  # no more transforms, no colour cache, one group of codes
+    size = size * width // WIDTH
+    lane = np.repeat(np.arange(n), size)
+    # tokens: the longest match that begins where the last token ended, or a literal
+    length, away = matches(pixels, lane)
+    take = np.where(length >= LEAST, length, 1)
+    after, at, tokens, end = (np.arange(len(pixels)) + take).tolist(), 0, [], len(pixels)
+    put = tokens.append
+    while at < end:
+        put(at)
+        at = after[at]
+    tokens = np.array(tokens)
+    of, symbol = lane[tokens], pixels[tokens].astype(np.int64)
+    copy = np.flatnonzero(take[tokens] > 1)
+    prefix, extra, more = _prefix(take[tokens[copy]])
+    symbol[copy] = 256 + prefix
+    d, w_of, code = away[tokens[copy]], width[of[copy]], away[tokens[copy]] + 120
+    for w in np.unique(w_of):
+        table = _near(int(w))
+        short = np.flatnonzero((w_of == w) & (d < len(table)))
+        known = table[d[short]]
+        code[short[known > 0]] = known[known > 0]
+    far, far_extra, far_more = _prefix(code)
+    bits = code_lengths(np.bincount(of * 280 + symbol, minlength=280 * n).reshape(n, 280))
+    far_counts = np.bincount(of[copy] * 40 + far, minlength=40 * n).reshape(n, 40)
+    copies = far_counts.any(1)
+    far_bits = np.zeros((n, 40), np.int64)
+    if copies.any():
+        far_bits[copies] = code_lengths(far_counts[copies])
+    _write_codes(writers, bits.tolist())
+    for w, m in zip(writers, mode, strict=True):
+        w.one(0).one(0).one(0 if m in (1, 2) else 255)
+    _write_codes([w for w, c in zip(writers, copies, strict=True) if c], far_bits[copies].tolist())
+    for w, c in zip(writers, copies, strict=True):
+        if not c:
+            w.one(0)
+    value, taken = codes(bits)[of, symbol], bits[of, symbol]
+    for v, k in ((extra, more), (codes(far_bits)[of[copy], far], far_bits[of[copy], far]), (far_extra, far_more)):
+        value[copy] |= v.astype(np.uint64) << taken[copy].astype(np.uint64)
+        taken[copy] += k
+    return _files_of(writers, of, value, taken)
+
+
+def _scatter(words: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+    """Put values of less than 64 bits at rising places of bits."""
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    over = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] |= np.bitwise_or.reduceat(value << shift, first)
+    words[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+
+
+def _files_of(writers: list[Writer], of: np.ndarray, value: np.ndarray, taken: np.ndarray) -> list[bytes]:
+    """Files of what is written already and the tokens that follow."""
+    head = np.array([w.size for w in writers])
+    total = head + np.bincount(of, taken, minlength=len(writers)).astype(np.int64)
+    room = -(-total // 64) * 64
+    begin = np.cumsum(room) - room
+    words = np.zeros(int(room.sum()) // 64 + 2, np.uint64)
+    if len(of):
+        upto = np.cumsum(taken) - taken
+        first = np.searchsorted(of, np.arange(len(writers)))
+        _scatter(words, begin[of] + head[of] + upto - upto[first][of], value)
+    raw, out = words.view(np.uint8), []
+    for w, at, m in zip(writers, (begin // 8).tolist(), total.tolist(), strict=True):
+        n = -(-w.size // 8)
+        raw[at : at + n] |= np.frombuffer(w.value.to_bytes(n, "little"), np.uint8)
+        stream = raw[at : at + -(-m // 8)].tobytes()
         body = b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + bytes(len(stream) & 1)
         out.append(b"RIFF" + len(body).to_bytes(4, "little") + body)
     return out
 
 
-def _lanes(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of streams in the layout of encode()."""
-    size = np.fromiter(map(len, streams), np.int64, len(streams))
-    base = np.cumsum(size + 16) - size - 16
-    buf = np.frombuffer(b"".join(x + bytes(16) for x in streams), np.uint8)
-    head = np.unpackbits(buf[base[:, None] + np.arange(-(-_HEADER // 8))], axis=1, bitorder="little")
-    height = head[:, 22:36].astype(np.int64) @ (1 << np.arange(14)) + 1
-    lengths = head[:, 36 + len(_BEFORE) : 36 + len(_BEFORE) + 1024].reshape(len(streams), 256, 4).astype(np.int64) @ np.array([8, 4, 2, 1])
-    order, span, _ = _sorted_codes(lengths)
-    if ((lengths > MOST).any(1) | (span.sum(1) != 1 << MOST)).any():
-        raise ValueError("a prefix code is not complete")
-    table = np.repeat((order << 4 | np.take_along_axis(lengths, order, 1)).astype(np.uint16).ravel(), span.ravel())
-    samples = height * WIDTH
-    lane = np.argsort(-samples, kind="stable")
-    live = np.searchsorted(-samples[lane], -np.arange(int(samples.max())), "left")
-    at, row = (base * 8 + _HEADER)[lane], lane << MOST
-    out = np.empty((int(samples.max()), len(streams)), np.uint8)
-    wide = buf[:-3].astype(np.uint32) | buf[1:-2].astype(np.uint32) << 8 | buf[2:-1].astype(np.uint32) << 16 | buf[3:].astype(np.uint32) << 24
-    for t, n in enumerate(live):
-        here = at[:n]
-        entry = table[row[:n] + _REVERSE[wide[here >> 3] >> (here & 7) & ((1 << MOST) - 1)]]
-        out[t, :n] = entry >> 4
-        here += entry & 15
-    if (at > (base + size)[lane] * 8).any():
-        raise ValueError("image data ends early")
-    back = np.argsort(lane)
-    return [out[: samples[i], back[i]] for i in range(len(streams))]
-
-
 def decode(files: list[bytes]) -> list[bytes]:
     """The samples of grey WebP files: the green of each pixel, row by row."""
-    streams = [vp8l.chunk(f) for f in files]
-    fixed = np.concatenate((np.zeros(36, np.uint8), _BEFORE))
-    out: list[bytes] = [b""] * len(files)
-    own = []
-    for i, s in enumerate(streams):
-        start = np.unpackbits(np.frombuffer(s[: -(-_HEADER // 8)].ljust(-(-_HEADER // 8), bytes(1)), np.uint8), bitorder="little")
-        end = 36 + len(_BEFORE) + 1024
-        if s[0] == 0x2F and int.from_bytes(s[1:3], "little") & 0x3FFF == WIDTH - 1 and (start[36 : len(fixed)] == _BEFORE).all() and (start[end:_HEADER] == _AFTER).all():
-            own.append(i)
-        else:
-            image = vp8l.decode_stream(s)
-            if (image[..., 1:] != image[..., 2:3]).any():
-                raise ValueError("not a grey image")
-            out[i] = image[..., 2].tobytes()
-    # strips of like length together, in groups of bounded size
-    own.sort(key=lambda i: len(streams[i]))
-    for lo in range(0, len(own), 512):
-        part = own[lo : lo + 512]
-        for i, x in zip(part, _lanes([streams[i] for i in part]), strict=True):
-            out[i] = x.tobytes()
+    out = []
+    for image in vp8l.decode_streams([vp8l.chunk(f) for f in files]):
+        if (image[..., 1] != image[..., 2]).any() or (image[..., 3] != image[..., 2]).any():
+            raise ValueError("not a grey image")
+        out.append(image[..., 2].tobytes())
     return out
 
 
@@ -191,41 +343,36 @@ def _padded(data: bytes) -> bytes:
     return data + bytes(max(-len(data) % WIDTH, 0 if data else WIDTH))
 
 
-def store(df: DataFrame, text: str = "text", media: str = "media", payload: str | None = None) -> DataFrame:
-    """df with n_bytes of its texts and an array of WebP files that hold them, padded to rows of WIDTH bytes.
-
-    With a name for `payload` the files are read back in the same pass, as
-    restore() does, which needs one Python worker a task instead of two.
-    """
+def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
+    """df with n_bytes of its texts and an array of WebP files that hold them, padded to rows of WIDTH bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in parts(batch[text], BLOCK):
-                files = _files(texts)
-                more = {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), media: pa.array(files, pa.list_(pa.binary()))}
-                if payload:
-                    more |= _restored(files, payload)
+                more = {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), media: pa.array(_files(texts), pa.list_(pa.binary()))}
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more.values()], [*batch.schema.names, *more])
 
-    more = {"n_bytes": T.LongType(), media: T.ArrayType(T.BinaryType())} | ({payload: T.BinaryType(), "features": T.StringType()} if payload else {})
-    return df.mapInArrow(run, _added(df, **more))
+    return df.mapInArrow(run, _added(df, **{"n_bytes": T.LongType(), media: T.ArrayType(T.BinaryType())}))
 
 
 def _files(texts: list[bytes]) -> list[list[bytes]]:
-    """The files of some texts; encoded a few at a time, as the bits of a code take many times its bytes."""
+    """The files of some texts, encoded a few at a time."""
     out = []
     for lo, hi in blocks(texts, ENCODED):
         strips = [[p[k : k + STRIP] for k in range(0, len(p), STRIP)] for p in map(_padded, texts[lo:hi])]
         flat = [s for x in strips for s in x]
-        files = iter([f for k in range(0, len(flat), 64) for f in encode(flat[k : k + 64])])
-        out += [[next(files) for _ in x] for x in strips]
+        files = []
+        for a, b in blocks(flat, ENCODED):
+            files += encode(flat[a:b])
+        each = iter(files)
+        out += [[next(each) for _ in x] for x in strips]
     return out
 
 
-def _restored(files: list[list[bytes]], payload: str) -> dict[str, pa.Array]:
+def _payloads(files: list[list[bytes]]) -> list[bytes]:
+    """The bytes that arrays of files hold."""
     samples = iter(decode([f for x in files for f in x]))
-    data = [b"".join(next(samples) for _ in x) for x in files]
-    return {payload: pa.array(data, pa.binary()), "features": pa.array([features(d) for d in data], pa.string())}
+    return [b"".join(next(samples) for _ in x) for x in files]
 
 
 def restore(df: DataFrame, media: str = "media", payload: str = "payload") -> DataFrame:
@@ -239,7 +386,8 @@ def restore(df: DataFrame, media: str = "media", payload: str = "payload") -> Da
         for batch in batches:
             files = [x or [] for x in batch[media].to_pylist()]
             for lo, hi in blocks([b"".join(x) for x in files], BLOCK):
-                more = _restored(files[lo:hi], payload)
+                data = _payloads(files[lo:hi])
+                more = {payload: pa.array(data, pa.binary()), "features": pa.array([features(d) for d in data], pa.string())}
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more.values()], [*batch.schema.names, *more])
 
     return df.mapInArrow(run, _added(df, **{payload: T.BinaryType(), "features": T.StringType()}))
@@ -262,7 +410,9 @@ def pixels(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if f is None else vp8l.decode_stream(vp8l.chunk(f)) for f in batch[media].to_pylist()]
+            files = batch[media].to_pylist()
+            images = iter(vp8l.decode_streams([vp8l.chunk(f) for f in files if f is not None]))
+            found = [None if f is None else next(images) for f in files]
             columns = [
                 pa.array([None if x is None else x.shape[1] for x in found], pa.int32()),
                 pa.array([None if x is None else x.shape[0] for x in found], pa.int32()),
@@ -273,14 +423,35 @@ def pixels(df: DataFrame, media: str = "media") -> DataFrame:
     return df.mapInArrow(run, _added(df, width=T.IntegerType(), height=T.IntegerType(), argb=T.BinaryType()))
 
 
-def digests(df: DataFrame, media: str = "media", payload: str = "payload") -> DataFrame:
-    """df with lengths and digests of its payloads and files, without these."""
-    files = F.aggregate(media, F.lit(b""), lambda a, x: F.concat(a, x))
-    p = F.col(payload)
-    return df.select(
-        *[c for c in df.columns if c not in (media, payload)], F.length(p).cast("long").alias("payload_bytes"), F.sha2(p, 256).alias("payload_sha256"),
-        F.crc32(F.substring(p, -64, 64)).alias("tail_crc32"), F.length(files).cast("long").alias("media_bytes"), F.sha2(files, 256).alias("media_sha256"),
-    )
+#: Columns that digests() adds.
+DIGESTS = {
+    "n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(),
+    "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType(),
+}
+
+
+def digests(df: DataFrame, text: str = "text") -> DataFrame:
+    """df without its texts, with sizes and digests of their payloads and files, and features of what is read back.
+
+    Files are written, read back and hashed in one worker, so neither they nor payloads travel.
+    """
+    names = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in parts(batch[text], BLOCK):
+                files = _files(texts)
+                rows = []
+                for t, f, data in zip(texts, files, _payloads(files), strict=True):
+                    whole = hashlib.sha256()
+                    for x in f:
+                        whole.update(x)
+                    rows.append((len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), sum(map(len, f)), whole.hexdigest(), features(data)))
+                own = batch.slice(lo, hi - lo)
+                more = [pa.array(x, pa.int64() if isinstance(x[0], int) else pa.string()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(own[c] for c in names), *more], [*names, *DIGESTS])
+
+    return df.mapInArrow(run, _added(df.drop(text), **DIGESTS))
 
 
 def _added(df: DataFrame, **columns: T.DataType) -> T.StructType:

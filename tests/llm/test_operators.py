@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridlake.llm import decontam, fmindex, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity, vp8l, webp, xxh
+from gridlake.llm import decontam, fmindex, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity, xxh
 
 from . import brute
 
@@ -205,96 +205,3 @@ def test_toxicity_held_out(spark):
 def test_toxicity_edges(spark, edges):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(edges, toxicity.train(edges, labels)).collect()} == {0.0}
-
-
-def test_webp_round_trip(spark, edges):
-    for r in webp.store(edges, payload="payload").collect():
-        raw = (r.text or "").encode()
-        assert bytes(r.payload)[: len(raw)] == raw and not any(bytes(r.payload)[len(raw) :]) and len(r.payload) % 64 == 0 and len(r.payload) > 0
-        image = np.concatenate([vp8l.decode_stream(vp8l.chunk(bytes(f))) for f in r.media[:2]])
-        assert image[..., 2].tobytes() == bytes(r.payload)[: image[..., 2].size]
-
-
-class Put:
-    """A bit writer, to build streams the batch encoder never makes."""
-
-    def __init__(self):
-        self.bits = []
-
-    def put(self, v, n):
-        self.bits += [v >> k & 1 for k in range(n)]
-
-    def one(self, s):
-        self.put(1, 1), self.put(0, 1), self.put(1, 1), self.put(s, 8)
-
-    def two(self, a, b):
-        self.put(1, 1), self.put(1, 1), self.put(1, 1), self.put(a, 8), self.put(b, 8)
-
-    def head(self, w, h):
-        self.put(0x2F, 8), self.put(w - 1, 14), self.put(h - 1, 14), self.put(0, 4)
-
-    def image(self, green, red, blue, alpha, main=False, pixels=()):
-        """Channels of one symbol, or of two and then a bit for each pixel."""
-        self.put(0, 1)
-        if main:
-            self.put(0, 1)
-        for c in (green, red, blue, alpha):
-            self.two(*c) if isinstance(c, tuple) else self.one(c)
-        self.one(0)
-        for p in pixels:
-            self.put(p, 1)
-
-    def data(self):
-        return np.packbits(np.array(self.bits, np.uint8), bitorder="little").tobytes()
-
-
-def test_webp_palette_predictor_and_cross_colour():
-    w = Put()
-    w.head(4, 2)
-    w.put(1, 1), w.put(3, 2), w.put(1, 8)  # a palette of two colours: 8 pixels in one
-    w.image((10, 20), 0, 0, 255, pixels=[0, 1])  # 10, then 10 + 20
-    w.put(0, 1)
-    w.image((5, 6), 0, 0, 255, main=True, pixels=[0, 1])
-    assert vp8l.decode_stream(w.data())[..., 2].tolist() == [[30, 10, 30, 10], [10, 30, 30, 10]]
-    w = Put()
-    w.head(3, 3)
-    w.put(1, 1), w.put(0, 2), w.put(0, 3), w.image(2, 0, 0, 255)  # predict from above
-    w.put(0, 1)
-    w.image((1, 2), 3, 0, 0, main=True, pixels=[0] * 9)
-    got = vp8l.decode_stream(w.data())
-    assert got[..., 2].tolist() == [[1, 2, 3], [2, 3, 4], [3, 4, 5]] and got[..., 0].min() == 255
-    w = Put()
-    w.head(2, 1)
-    w.put(1, 1), w.put(1, 2), w.put(0, 3), w.image(32, 0, 64, 255)  # green to blue 32, green to red 64
-    w.put(0, 1)
-    w.image((7, 200), 1, 2, 255, main=True, pixels=[0, 1])
-    assert vp8l.decode_stream(w.data())[0].tolist() == [[255, 15, 7, 9], [255, (1 - 112) & 255, 200, (2 - 56) & 255]]
-
-
-def test_webp_back_reference_and_cache():
-    w = Put()
-    w.head(8, 1)
-    w.put(0, 1)
-    w.put(1, 1), w.put(1, 4)  # a colour cache of two
-    w.put(0, 1)
-    # green: literal 9, length prefix 259 (4 pixels), and both places of the cache, two bits each
-    w.put(0, 1), w.put(15, 4)
-    for s in vp8l.CODE_LENGTH_ORDER:
-        w.put({0: 2, 2: 2, 17: 2, 18: 2}.get(s, 0), 3)
-    w.put(0, 1)
-    code = {0: "00", 2: "01", 17: "10", 18: "11"}
-    lengths = [0] * 282
-    for s in (9, 259, 280, 281):
-        lengths[s] = 2
-    for v in lengths:
-        for b in code[v]:
-            w.put(int(b), 1)
-    w.one(1), w.one(1), w.one(255), w.one(1)
-    for bits in ("00", "01"):
-        for b in bits:
-            w.put(int(b), 1)
-    place = (0xFF010901 * vp8l.MULTIPLIER & 0xFFFFFFFF) >> 31
-    for _ in range(3):
-        for b in ("10", "11")[place]:
-            w.put(int(b), 1)
-    assert vp8l.decode_stream(w.data()).tolist() == [[[255, 1, 9, 1]] * 8]
