@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from .xxh import loads
-
 #: Order of code length codes, and the multiplier of the colour cache's hash (fixed values of the format).
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 MULTIPLIER = 0x1E35A7BD
@@ -199,80 +197,90 @@ def pixels_of(images: list[Coded]) -> list[np.ndarray]:
     far, far_bits = tables([c.groups[0][4] for c in images])
     rest = [[c.groups[0][k] for c in images] for k in (1, 2, 3)]
     plain = all(c.single is not None for codes in rest for c in codes)
-    other = [(tables(codes), shift) for codes, shift in zip(rest, (16, 0, 24), strict=True)] if not plain else []
-    base = np.array([codes[0].single << 16 | codes[1].single | codes[2].single << 24 for codes in zip(*rest, strict=True)], np.uint32) if plain else np.zeros(n, np.uint32)
+    other = [] if plain else [(tables(codes), shift) for codes, shift in zip(rest, (16, 0, 24), strict=True)]
+    base = np.array([r.single << 16 | b.single | a.single << 24 for r, b, a in zip(*rest, strict=True)], np.uint32) if plain else np.zeros(n, np.uint32)
     size = np.array([len(c.bits.data) for c in images])
     start = np.cumsum(size) - size
     # a token takes less than 16 bytes, so lanes stay within the buffer until they are looked at
     buf = np.frombuffer(b"".join(c.bits.data for c in images) + bytes(16 * CHECKED), np.uint8)
-    word = loads(buf)
-    lane = np.arange(n)
+    word = buf[:-3].astype(np.uint32)
+    for k in (1, 2, 3):
+        word |= buf[k : len(buf) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+    lane, mask, far_mask = np.arange(n, dtype=np.int32), np.uint32((1 << green_bits) - 1), np.uint32((1 << far_bits) - 1)
     at, end = start * 8 + np.array([c.bits.at for c in images]), start * 8 + np.array([c.bits.size for c in images])
-    left, width = np.array([c.total for c in images]), np.array([c.width for c in images])
-    look = lambda at: word[at >> 3] >> (at & 7).astype(np.uint64)
-    lanes, values, distances = [], [], []
+    left, row = np.array([c.total for c in images]), lane.astype(np.int64) << green_bits
+    width = np.array([c.width for c in images])
+
+    def look(at):
+        """25 bits or more from each place on."""
+        return word[at >> 3] >> (at & 7).astype(np.uint32)
+
+    def extra(at, prefix):
+        more = _MORE[prefix]
+        return _FIRST[prefix] + (look(at) & ((np.uint32(1) << more.astype(np.uint32)) - np.uint32(1))), at + more
+
+    lanes, entries, colours, copies = [], [], [], []
     while len(lane):
-        w = look(at)
-        entry = green[(lane << green_bits) + (w & np.uint64((1 << green_bits) - 1)).astype(np.int64)].astype(np.int64)
-        symbol = entry >> 4
+        entry = green[row + (look(at) & mask)]
         at += entry & 15
-        took, away = np.ones(len(lane), np.int64), np.zeros(len(lane), np.int64)
-        copy = np.flatnonzero(symbol >= 256)
-        value = symbol.astype(np.uint32) << np.uint32(8) | base[lane]
-        for (table, most), shift in other:
-            lit = np.flatnonzero(symbol < 256)
-            e = table[(lane[lit] << most) + (look(at[lit]) & np.uint64((1 << most) - 1)).astype(np.int64)].astype(np.int64)
-            at[lit] += e & 15
-            value[lit] |= (e >> 4).astype(np.uint32) << np.uint32(shift)
+        left -= 1
+        copy = (entry >= 256 << 4).nonzero()[0]
+        if other:
+            colour, lit = np.zeros(len(lane), np.uint32), (entry < 256 << 4).nonzero()[0]
+            for (table, most), shift in other:
+                e = table[(lane[lit].astype(np.int64) << most) + (look(at[lit]) & np.uint32((1 << most) - 1))]
+                at[lit] += e & 15
+                colour[lit] |= (e >> 4).astype(np.uint32) << np.uint32(shift)
+            colours.append(colour)
         if len(copy):
-            prefix = symbol[copy] - 256
-            here = at[copy]
-            more = _MORE[prefix]
-            took[copy] = _FIRST[prefix] + (look(here) & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            here += more
-            e = far[(lane[copy] << far_bits) + (look(here) & np.uint64((1 << far_bits) - 1)).astype(np.int64)].astype(np.int64)
-            here += e & 15
-            more = _MORE[e >> 4]
-            code = _FIRST[e >> 4] + (look(here) & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            at[copy] = here + more
-            near = _NEAR[np.minimum(code, 120) - 1]
-            away[copy] = np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[copy]))
-            value[copy] = took[copy]
+            of = lane[copy]
+            took, here = extra(at[copy], (entry[copy] >> 4) - 256)
+            e = far[(of.astype(np.int64) << far_bits) + (look(here) & far_mask)]
+            code, at[copy] = extra(here + (e & 15), e >> 4)
+            left[copy] -= took - 1
+            copies.append((of, np.full(len(copy), len(lanes)), took, code))
         lanes.append(lane)
-        values.append(value)
-        distances.append(away)
-        left = left - took
-        if (done := left <= 0).any() or not len(lanes) % CHECKED:
+        entries.append(entry)
+        if not left.all() or not len(lanes) % CHECKED:
             if (at > end).any():
                 raise ValueError("image data ends early")
             if (left < 0).any():
                 raise ValueError("a back-reference leaves the image")
-            on = ~done
-            lane, at, end, left, width = lane[on], at[on], end[on], left[on], width[on]
+            on = left > 0
+            lane, at, end, left, row = lane[on], at[on], end[on], left[on], row[on]
+    # a lane has one token each step until it ends, so tokens fall into place by lane and step
+    alive = np.fromiter(map(len, lanes), np.int64, len(lanes))
     of = np.concatenate(lanes)
-    order = np.argsort(of.astype(np.uint16), kind="stable") if n <= 1 << 16 else np.argsort(of, kind="stable")
-    of, value, away = of[order], np.concatenate(values)[order], np.concatenate(distances)[order]
-    took = np.where(away > 0, value, 1).astype(np.int64)
-    first = np.cumsum(took) - took
+    count = np.bincount(of, minlength=n)
+    begin_token = np.cumsum(count) - count
+    place = begin_token[of] + np.repeat(np.arange(len(lanes)), alive)
+    value = np.empty(len(of), np.uint32)
+    value[place] = (np.concatenate(entries).astype(np.uint32) >> np.uint32(4) << np.uint32(8)) | (np.concatenate(colours) if other else base[of])
+    took = np.ones(len(of), np.int64)
+    if copies:
+        lane_of, step, length, code = (np.concatenate(x) for x in zip(*copies, strict=True))
+        token = begin_token[lane_of] + step
+        took[token] = length
+        near = _NEAR[np.minimum(code, 120) - 1]
+        away = np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[lane_of]))
     total = np.array([c.total for c in images])
     begin = np.cumsum(total) - total
-    if (first - away < begin[of]).any():
+    if not copies:
+        return np.split(value, begin[1:])
+    out = np.repeat(value, took)
+    first = (np.cumsum(took) - took)[token]
+    if (first - away < begin[lane_of]).any():
         raise ValueError("a back-reference leaves the image")
-    out = np.zeros(int(total.sum()), np.uint32)
-    literal = away == 0
-    out[first[literal]] = value[literal]
-    copied = np.flatnonzero(~literal)
-    length = took[copied]
-    place = np.repeat(first[copied], length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    place = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
     source = np.arange(len(out))
-    source[place] -= np.repeat(away[copied], length)
-    rest_ = place
-    while len(rest_):
-        next_ = source[source[rest_]]
-        moved = next_ != source[rest_]
-        source[rest_] = next_
-        rest_ = rest_[moved]
-    out = out[source]
+    source[place] -= np.repeat(away, length)
+    going = place
+    while len(going):
+        now = source[going]
+        further = source[now]
+        source[going] = further
+        going = going[further != now]
+    out[place] = out[source[place]]
     return np.split(out, begin[1:])
 
 

@@ -32,10 +32,10 @@ from . import vp8l
 from .text import blocks, mix, parts
 from .xxh import loads
 
-WIDTH, STRIP = 64, 1 << 14
+WIDTH, STRIP = 64, 1 << 12
 MOST = 11  # bits of the longest code
 #: Bytes of texts that a worker decodes, and encodes, at once.
-BLOCK, ENCODED = 4 << 20, 1 << 18
+BLOCK, ENCODED = 2 << 20, 1 << 18
 #: Least and greatest pixels of a back-reference, and the share of entropy that a predictor must save.
 LEAST, LONGEST, SAVED = 5, 4096, 0.03
 
@@ -101,11 +101,16 @@ class Writer:
     def code(self, runs: list[tuple[int, int, int]], bits: list[int], words: list[int]) -> Writer:
         """A code from the runs of its lengths, and the code of these."""
         self.put(0, 1, 15, 4)
+        value, size = self.value, self.size
         for k in vp8l.CODE_LENGTH_ORDER:
-            self.put(bits[k], 3)
-        self.put(0, 1)
+            value |= bits[k] << size
+            size += 3
+        size += 1
         for s, extra, n in runs:
-            self.put(words[s], bits[s], extra, n)
+            k = bits[s]
+            value |= (words[s] | extra << k) << size
+            size += k + n
+        self.value, self.size = value, size
         return self
 
 
@@ -198,14 +203,11 @@ def matches(data: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(away > 0, np.minimum(end - np.arange(n) + 4, LONGEST), 0), away
 
 
-_LOG = np.log2(np.maximum(np.arange(STRIP + 1), 1))
-
-
 def _entropy(lane: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits that each lane's symbols take, and their counts."""
     counts = np.bincount(lane << 8 | data, minlength=256 * n).reshape(n, 256)
     total = counts.sum(1)
-    return total * np.log2(np.maximum(total, 1)) - (counts * _LOG[counts]).sum(1), counts
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1), counts
 
 
 def _residuals(rows: np.ndarray, top: np.ndarray) -> list[np.ndarray]:
@@ -259,15 +261,20 @@ def encode(strips: list[bytes]) -> list[bytes]:
         w.put(0, 1, 0, 1, 0, 1)  # no more transforms, no colour cache, one group of codes
     size = size * width // WIDTH
     lane = np.repeat(np.arange(n), size)
-    # tokens: the longest match that begins where the last token ended, or a literal
+    # tokens: the match that begins where the last token ended, or a literal
     length, away = matches(pixels, lane)
-    take = np.where(length >= LEAST, length, 1)
-    after, at, tokens, end = (np.arange(len(pixels)) + take).tolist(), 0, [], len(pixels)
-    put = tokens.append
-    while at < end:
-        put(at)
-        at = after[at]
-    tokens = np.array(tokens)
+    able, end, chosen = np.flatnonzero(length >= LEAST), 0, []
+    for p, m in zip(able.tolist(), length[able].tolist(), strict=True):
+        if p >= end:
+            chosen.append(p)
+            end = p + m
+    chosen = np.array(chosen, np.int64)
+    edge = np.zeros(len(pixels) + 1, np.int8)
+    edge[chosen + 1] += 1
+    edge[chosen + length[chosen]] -= 1
+    tokens = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8) == 0)
+    take = np.ones(len(pixels), np.int64)
+    take[chosen] = length[chosen]
     of, symbol = lane[tokens], pixels[tokens].astype(np.int64)
     copy = np.flatnonzero(take[tokens] > 1)
     prefix, extra, more = _prefix(take[tokens[copy]])
