@@ -31,6 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key with more than 1 / HOT of all rows is hot; so there are fewer than HOT of them.
+HOT = 1024
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The hot keys of df, fewer than HOT rows, which may be broadcast whatever the size of df."""
+    return cut(df.groupBy(key).count().where(F.col("count") > max(1, df.count() // HOT)).select(key))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """many joined with one, which has one row a key at most; the rows of hot keys stay where they are and meet a broadcast."""
+    hot = F.broadcast(hot_keys(many, key) if hot is None else hot)
+    near = F.broadcast(one.join(hot, key, "left_semi"))
+    return many.join(hot, key, "left_semi").join(near, key, how).unionByName(many.join(hot, key, "left_anti").join(one, key, how))
+
+
 def held_out(doc_id: str, mod: int, rest: int):
     """Whether crc32 of doc_id as text leaves `rest` modulo `mod`; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))

@@ -20,9 +20,12 @@ A fingerprint is segments A and B (23 bits each) and C (18 bits). With at most
 * b >= 3: the same with A.
 
 Rows with equal keys meet by one shuffle; true distances are then verified.
-Inside a key no pairs are emitted beyond a spanning forest; a key with more than
-SPLIT fingerprints is dealt again in blocks of SPLIT x SPLIT. Only distinct
-fingerprints are keyed, so copies cost nothing.
+Inside a key no pairs are emitted beyond a spanning forest. Keys are counted
+before their rows meet, and those of too many fingerprints are dealt in blocks
+instead. Only distinct fingerprints are keyed, so copies cost nothing. Joins by
+label or fingerprint set apart the keys that hold more than a thousandth of the
+rows, so neither a large component nor a text with very many copies meets in one
+task.
 
 Defined results: a null or empty text has no words and fingerprint 0, which
 links like any other; a text of fewer words than a shingle is one shingle;
@@ -41,7 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .run import cut
+from .run import cut, spread_join
+from .run import hot_keys as hot_keys_of
 from .text import NOT_SPACE, Words, blocks, mix, utf8
 from .xxh import xxh64
 
@@ -239,12 +243,36 @@ def _dealt(bits: int):
     return run
 
 
+def hot_keys(keyed: DataFrame, n: int) -> DataFrame | None:
+    """(k, m) of the keys of n fingerprints that more than SPLIT and more than n / 120 of them have, if any.
+
+    A fingerprint has 136 keys at most, so there are fewer than 16,384 of them.
+    Keys are counted by their last 20 bits first, so that what is counted stays
+    small, and one by one only in those counts that are large enough.
+    """
+    most, part = max(SPLIT, n // 120), F.col("k").bitwiseAND((1 << 20) - 1)
+    parts = cut(keyed.groupBy(part.alias("b")).count().where(F.col("count") > most).select("b"))
+    if parts.isEmpty():
+        return None
+    near = keyed.withColumn("b", part).join(F.broadcast(parts), "b", "left_semi")
+    return cut(near.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > most))
+
+
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): links between the distinct fingerprints fp, enough for the same components as all links."""
+    """(u, v): links between the distinct fingerprints fp, enough for the same components as all links.
+
+    The rows of hot keys never meet in one task: they are dealt in blocks where they are.
+    """
     if bits > 4:
         raise ValueError("the keys hold up to 4 differing bits")
-    met = cut(_keyed(fps).repartition("k").sortWithinPartitions("k").mapInArrow(_within(bits), "u long, v long, m long"))
-    large = met.where("m > 0").selectExpr("u AS k", "v AS fp", f"cast(ceil(m / {SPLIT // 2}) AS int) AS n")
+    keyed, dealt = _keyed(fps), None
+    hot = hot_keys(keyed, fps.count())
+    if hot is not None:
+        dealt = keyed.join(F.broadcast(hot), "k")
+        keyed = keyed.join(F.broadcast(hot), "k", "left_anti")
+    met = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_within(bits), "u long, v long, m long"))
+    large = met.where("m > 0").selectExpr("u AS k", "v AS fp", "m")
+    large = (large if dealt is None else large.unionByName(dealt)).withColumn("n", F.ceil(F.col("m") / (SPLIT // 2)).cast("int"))
     pairs = (
         large.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -261,14 +289,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels fall to the smallest among the neighbours and then to their label's
     label, until nothing changes; each round is written to the shared folder.
+    Nodes of very many edges and labels of very many nodes are hot keys.
     """
     both = cut(edges.union(edges.select("v", "u")))
+    hubs = hot_keys_of(both, "v")
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).select("node", F.least("node", "root").alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
+        near = spread_join(both, labels.withColumnRenamed("node", "v"), "v", hot=hubs).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        lower = cut(labels.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was")))
         up = labels.select(F.col("node").alias("next"), F.col("root").alias("over"))
-        after = cut(lower.join(up, "next").select("node", F.least("next", "over").alias("root"), (F.least("next", "over") != F.col("was")).alias("moved")))
+        after = spread_join(lower, up, "next").select("node", F.least("next", "over").alias("root"), (F.least("next", "over") != F.col("was")).alias("moved"))
+        after = cut(after)
         labels = after.select("node", "root")
         if after.where("moved").isEmpty():
             return labels
@@ -277,9 +308,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) of each row: component_id is the smallest id reachable over links of at most `bits` bits."""
     docs = cut(fingerprints(df, text, id, shingle))
-    fps = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    fps = cut(docs.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(fps.select("fp"), bits))
-    of_fp = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_fp = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_fp.join(of_root, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("id", "fp", "component_id")
+    named = cut(spread_join(of_fp, of_root, "root").select("fp", "component_id"))
+    return spread_join(docs, named, "fp").select("id", "fp", "component_id")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridlake.llm import decontam, fmindex, langid, licenses, pii, secret_scan, simhash, suffix_lm, tokens, toxicity, xxh
+from gridlake.llm import decontam, fmindex, langid, licenses, pii, run, secret_scan, simhash, suffix_lm, tokens, toxicity, xxh
 
 from . import brute
 
@@ -205,3 +205,21 @@ def test_toxicity_held_out(spark):
 def test_toxicity_edges(spark, edges):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(edges, toxicity.train(edges, labels)).collect()} == {0.0}
+
+
+def test_simhash_hot_keys_and_large_components(spark, monkeypatch):
+    """A text of very many copies, and chains and stars of fingerprints, whatever counts as hot."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "the same words over and over again") for i in range(60)] + [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 50, 30))) for i in range(20)]
+    df = spark.createDataFrame([*rows, (7, None)], "doc_id long, text string")
+    want = brute.components({k: brute.fingerprint(t) for k, t in rows}, 4)
+    base = int(rng.integers(0, 2**62))
+    fps = {base} | {base ^ (1 << a) ^ (1 << b) for a in range(0, 40, 2) for b in range(41, 60, 3)} | {base ^ ((1 << 3 * k) - 1) for k in range(20)}
+    of_fps = brute.components(dict.fromkeys(fps) | {x: x for x in fps}, 4)
+    for split, hot in ((8192, 1024), (16, 4)):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        monkeypatch.setattr(run, "HOT", hot)
+        got = {r.id: r.component_id for r in simhash.near_duplicates(df).collect() if r.id != 7}
+        assert {k: v for k, v in got.items()} == {k: v for k, v in want.items() if k != 7}
+        roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))).collect()}
+        assert {x: roots.get(x, x) for x in fps} == of_fps
