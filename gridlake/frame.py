@@ -19,6 +19,12 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floating else F.col(c) for c in df.columns])
 
 
+def joined_back(df: DataFrame, per_key: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of a table of one row a key; a NULL key is a key."""
+    apart = per_key.withColumnsRenamed({k: f"_{k}" for k in key})
+    return df.join(apart, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], how).drop(*[f"_{k}" for k in key])
+
+
 def by_time(key: list[str], time: str = "time") -> WindowSpec:
     return Window.partitionBy(*key).orderBy(time)
 

@@ -36,6 +36,8 @@ CONVERSIONS: dict[tuple[str, str], Callable[[Column], Column]] = {
 SPELLINGS = {"m s-1": "m/s", "kg kg-1": "kg/kg", "g kg-1": "g/kg"}
 #: Millimetres in the units of depth that a flux in kg m-2 s-1 makes in a step.
 DEPTHS = {"mm": 1.0, "inches": 25.4}
+#: All pairs that convert() knows, in the first of their spellings.
+PAIRS = {*CONVERSIONS, *((a, "kg m-2 s-1") for a in ("mm", "mm/d", "mm/h")), *(("kg m-2 s-1", b) for b in DEPTHS)}
 
 
 def convert(value: Column, unit: str, to: str, days: Column | None = None, compat: bool = False) -> Column:

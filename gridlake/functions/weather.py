@@ -144,3 +144,8 @@ def monthly_precipitation(flux: Column, time: Column, least: float = 0.1) -> Col
     """mm in the month of a mean flux in kg m-2 s-1, not below `least`."""
     total = flux * 86400 * F.dayofmonth(F.last_day(time))
     return F.when(total.isNotNull(), F.greatest(total, F.lit(least)))
+
+
+def date_of_year_day(year: Column, day: Column) -> Column:
+    """The date of a day of the year, 1 being 1 January."""
+    return F.date_add(F.make_date(year, F.lit(1), F.lit(1)), (day - 1).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import by_time, days_in_month
+from ..frame import by_time, days_in_month, joined_back
 
 METRICS = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0))}
 
@@ -43,8 +43,8 @@ def resample(df: DataFrame, key: list[str], value: str, unit: str, kind: str, ti
 
 def bins_of_days(df: DataFrame, key: list[str], value: str, n: int, kind: str, time: str = "time") -> DataFrame:
     """One value for each n days, counted from the first day of the series."""
-    first = F.min(F.to_date(time)).over(Window.partitionBy(*key))
-    return metric(df.withColumn("bin", F.floor(F.datediff(F.to_date(time), first) / n)), [*key, "bin"], value, kind)
+    first = df.groupBy(*key).agg(F.to_date(F.min(time)).alias("_first"))
+    return metric(joined_back(df, first, key).withColumn("bin", F.floor(F.datediff(F.to_date(time), "_first") / n)), [*key, "bin"], value, kind)
 
 
 def rolling(df: DataFrame, key: list[str], value: str, n: int, kind: str, centred: bool = False, time: str = "time") -> Column:
@@ -54,20 +54,37 @@ def rolling(df: DataFrame, key: list[str], value: str, n: int, kind: str, centre
     return F.when(F.count(value).over(w) == n, {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum}[kind](value).over(w))
 
 
-def block_extremes(df: DataFrame, key: list[str], value: str, kind: str = "max", years: int = 1, duration: int = 1, how: str = "sustained", time: str = "time") -> DataFrame:
-    """Extremes of blocks of calendar years that begin with the series' first, partial ones included.
+def block_extremes(
+    df: DataFrame, key: list[str], value: str, kind: str = "max", years: int = 1, duration: int = 1, how: str = "sustained",
+    time: str = "time", group_days: int | None = None, group_duration: int = 1,
+) -> DataFrame:
+    """Extremes of blocks of calendar years that begin with the series' first, partial ones included; blocks without a value go.
 
-    duration > 1 first rolls: sustained takes the opposite extreme over the
-    steps, cumulative their sum, average their mean.
+    In stages: steps are rolled over `duration` of them, then reduced to one
+    extreme for each `group_days` days, then rolled over `group_duration` such
+    groups, then reduced to blocks. Rolling that is sustained takes the opposite
+    extreme, cumulative the sum, average the mean; it is NULL unless all steps are there.
     """
+    roll = {"cumulative": "sum", "average": "mean", "sustained": "min" if kind == "max" else "max"}[how]
     if duration > 1:
-        roll = {"cumulative": "sum", "average": "mean", "sustained": "min" if kind == "max" else "max"}[how]
         df = df.withColumn(value, rolling(df, key, value, duration, roll, time=time))
+    if group_days is None and group_duration > 1:
+        raise ValueError("groups are rolled only if there are any: give group_days")
+    if group_days is not None:
+        start = df.groupBy(*key).agg(F.to_date(F.min(time)).alias("_start"))
+        day = F.floor(F.datediff(F.to_date(time), "_start") / group_days) * group_days
+        df = joined_back(df, start, key).withColumn(time, F.date_add("_start", day.cast("int")).cast("timestamp_ntz"))
+        df = metric(df, [*key, time], value, kind)
+        if group_duration > 1:
+            df = df.withColumn(value, rolling(df, key, value, group_duration, roll, time=time))
     year = F.year(time)
-    # the year in which the block ends, from the first year of each series
-    first = F.min(year).over(Window.partitionBy(*key))
-    block = (year if years == 1 else first + years * (F.floor((year - first) / years) + 1) - 1).cast("int")
-    return df.withColumn("block", block).groupBy(*key, "block").agg(METRICS[kind](value).alias(value)).where(F.col(value).isNotNull())
+    if years == 1:
+        df = df.withColumn("block", year.cast("int"))
+    else:
+        # the year in which the block ends, from the first year of each series
+        first = df.groupBy(*key).agg(F.min(year).alias("_first"))
+        df = joined_back(df, first, key).withColumn("block", (F.col("_first") + years * (F.floor((year - F.col("_first")) / years) + 1) - 1).cast("int"))
+    return df.groupBy(*key, "block").agg(METRICS[kind](value).alias(value)).where(F.col(value).isNotNull())
 
 
 def exceedance(df: DataFrame, key: list[str], value: str, threshold: float, above: bool = True, duration: int = 1, period: str = "year", time: str = "time") -> DataFrame:

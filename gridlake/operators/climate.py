@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import by_time, season
+from ..frame import by_time, joined_back, season
 from . import aggregate
 
 
 def anomaly(df: DataFrame, key: list[str], value: str, years: tuple[int, int], time: str = "time") -> DataFrame:
     """Values less the series' mean over the reference years."""
-    mean = F.avg(F.when(F.year(time).between(*years), F.col(value))).over(Window.partitionBy(*key))
-    return df.withColumn(value, F.col(value) - mean)
+    return _less_mean(df, df.where(F.year(time).between(*years)), key, value)
+
+
+def _less_mean(df: DataFrame, reference: DataFrame, key: list[str], value: str) -> DataFrame:
+    """df less the means of reference: a partial aggregation joined back, so no series is held as a whole. Null keys match."""
+    means = reference.groupBy(*key).agg(F.avg(value).alias("_mean"))
+    return joined_back(df, means, key, "left").withColumn(value, F.col(value) - F.col("_mean")).select(*df.columns)
 
 
 def without_season(df: DataFrame, key: list[str], value: str, time: str = "time") -> DataFrame:
     """Values less the series' mean of their month."""
-    return df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*key, F.month(time))))
+    dated = df.withColumn("_month", F.month(time))
+    return _less_mean(dated, dated, [*key, "_month"], value).drop("_month")
 
 
 def within_season(df: DataFrame, key: list[str], value: str, n: int, time: str = "time") -> DataFrame:
@@ -63,6 +69,36 @@ def concat_time(df: DataFrame, key: list[str], scenario: str, historical: str) -
     return future.unionByName(past.drop(scenario).join(models, key).select(*df.columns))
 
 
+def merge_variables(frames: list[DataFrame], key: list[str], time: str = "time") -> DataFrame:
+    """The variables of several frames side by side: every series and time that any of them has, NULL where one lacks it."""
+    out = frames[0]
+    for f in frames[1:]:
+        if both := (set(f.columns) & set(out.columns)) - {*key, time}:
+            raise ValueError(f"variables that come twice: {sorted(both)}")
+        out = out.join(f, [*key, time], "full")
+    return out
+
+
+def concat_frames(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """Rows of several frames under each other, each with its label in a column; columns that one lacks are NULL."""
+    out = None
+    for label, f in frames.items():
+        f = f.withColumn(name, F.lit(label))
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def snapshot_mean(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The mean of each series over the window of each warming level; missing values count nothing."""
+    return df.groupBy("warming_level", *key).agg(F.avg(value).alias(value))
+
+
+def first_where(df: DataFrame, key: list[str], condition: Column, time: str = "time", else_first: bool = False) -> DataFrame:
+    """(key, at): when a condition first holds; never is NULL, or the first time of the series."""
+    at = F.min(F.when(condition, F.col(time)))
+    return df.groupBy(*key).agg((F.coalesce(at, F.min(time)) if else_first else at).alias("at"))
+
+
 def paired_difference(future: DataFrame, historic: DataFrame, key: list[str], value: str, step: str) -> DataFrame:
     """Future less historic by key and step; a key without one takes the mean of all historic keys at that step."""
     h = historic.dropDuplicates([*key, step]).withColumnRenamed(value, "then")
@@ -85,9 +121,11 @@ def warming_slice(df: DataFrame, centres: DataFrame, key: list[str], window: int
 
 def nearest_to_quantile(df: DataFrame, key: list[str], value: str, q: float, by: str = "year") -> DataFrame:
     """For each key, the actual value nearest to the quantile over `by`; of equals (to six places) that of the smallest `by`."""
-    w = Window.partitionBy(*key)
-    off = F.round(F.abs(F.col(value) - F.percentile(value, q).over(w)), 6)
-    return df.where(F.col(value).isNotNull()).withColumn("off", off).withColumn("r", F.row_number().over(w.orderBy("off", by))).where("r = 1").drop("r", "off")
+    some = df.where(F.col(value).isNotNull())
+    near = joined_back(some, some.groupBy(*key).agg(F.percentile(value, q).alias("_q")), key)
+    order = F.struct(F.round(F.abs(F.col(value) - F.col("_q")), 6).alias("off"), F.col(by).alias("by"))
+    rest = [c for c in df.columns if c not in key]
+    return near.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_x")).select(*[F.col("_x")[c].alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def fs_statistic(df: DataFrame, key: list[str], value: str, bins: int = 1023, time: str = "time") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import season
@@ -63,26 +63,43 @@ def clip_separated(df: DataFrame, bridge: DataFrame, names: list[str]) -> DataFr
     return df.join(bridge.where(F.col("name").isin(names)).select("cell_id", "name").distinct(), "cell_id")
 
 
-def nearest_cells(cells: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
+def nearest_cells(cells: DataFrame, points: DataFrame | list[tuple[float, float]]) -> DataFrame:
     """(point, cell_id): the cell of the nearest row and the nearest column of a regular grid.
 
-    cells is the small dimension of distinct cells (lat, lon, cell_id); the
-    points are a stated set, met with it by broadcast. Ties go to the smaller coordinate.
+    points are (lat, lon) pairs, numbered, or a table (point, at, on) of any
+    size. The two axes of the grid, as long as its sides, are one row that every
+    point sees; a point looks through them, so points are neither sorted nor met
+    with all cells. Ties go to the smaller coordinate.
     """
-    spark = cells.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "point int, at double, on double"))
+    if not isinstance(points, DataFrame):
+        points = cells.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "point int, at double, on double")
+    axes = cells.agg(F.collect_set("lat").alias("_lat"), F.collect_set("lon").alias("_lon"))
 
-    def pick(axis: str, to: str) -> DataFrame:
-        values = cells.select(axis).distinct().join(wanted)
-        w = Window.partitionBy("point").orderBy(F.abs(F.col(axis) - F.col(to)), axis)
-        return values.withColumn("r", F.row_number().over(w)).where("r = 1").select("point", axis)
+    def nearest(axis: str, to: str) -> Column:
+        return F.array_min(F.transform(axis, lambda a: F.struct(F.abs(a - F.col(to)).alias("off"), a.alias("a"))))["a"]
 
-    return pick("lat", "at").join(pick("lon", "on"), "point").join(cells.select("lat", "lon", "cell_id").distinct(), ["lat", "lon"]).select("point", "cell_id")
+    placed = points.join(F.broadcast(axes)).select("point", nearest("_lat", "at").alias("lat"), nearest("_lon", "on").alias("lon"))
+    return placed.join(cells.select("lat", "lon", "cell_id").distinct(), ["lat", "lon"]).select("point", "cell_id")
 
 
-def clip_points(df: DataFrame, cells: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
+def clip_points(df: DataFrame, cells: DataFrame, points: DataFrame | list[tuple[float, float]]) -> DataFrame:
     """Rows of the nearest cell of each point, with the point's number."""
-    return df.join(F.broadcast(nearest_cells(cells, points)), "cell_id")
+    found = nearest_cells(cells, points)
+    return df.join(found if isinstance(points, DataFrame) else F.broadcast(found), "cell_id")
+
+
+def batch_points(df: DataFrame, cells: DataFrame, points: DataFrame, time: str = "time") -> DataFrame:
+    """The series of many points at once, without leap days."""
+    return drop_leap_days(clip_points(df, cells, points), time)
+
+
+def months(df: DataFrame, wanted: list[int], time: str = "time") -> DataFrame:
+    return df.where(F.month(time).isin(wanted))
+
+
+def shared(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that both have, once each; null is a key like any other."""
+    return left.select(*key).intersect(right.select(*key))
 
 
 def fill_from_neighbours(df: DataFrame, key: list[str], value: str, y: str = "y_idx", x: str = "x_idx") -> DataFrame:

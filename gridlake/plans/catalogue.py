@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import units, weather
 from ..operators import aggregate, climate, kernels, select
 from ..sources import catalog
-from . import query, registry
+from . import query, recipes, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -136,7 +136,7 @@ register("time_slice_closed", f"WITH {GRID} {_COUNTED} grid WHERE \"time\" BETWE
 register("time_slice_year", f'WITH {DAILY} {_COUNTED} daily WHERE year("time") BETWEEN 1997 AND 1998 GROUP BY sim')(lambda s, d: counted(select.time_slice(daily(s, d), 1997, "1998")))
 register("season_djf", f'WITH {GRID} {_COUNTED} grid WHERE year("time") BETWEEN 1995 AND 1999 AND month("time") IN (12, 1, 2) GROUP BY sim')(lambda s, d: counted(select.time_slice(grid(s, d), 1995, 1999, ["DJF"])))
 register("drop_leap_days", f'WITH {GRID} {_COUNTED} grid WHERE NOT (month("time") = 2 AND day("time") = 29) GROUP BY sim')(lambda s, d: counted(select.drop_leap_days(grid(s, d))))
-register("month_filter", f'WITH {DAILY} {_COUNTED} daily WHERE month("time") IN (6, 7, 8) GROUP BY sim')(lambda s, d: counted(daily(s, d).where(F.month("time").isin(6, 7, 8))))
+register("month_filter", f'WITH {DAILY} {_COUNTED} daily WHERE month("time") IN (6, 7, 8) GROUP BY sim')(lambda s, d: counted(select.months(daily(s, d), [6, 7, 8])))
 register("deny_models", f"WITH {GRID} {_COUNTED} grid WHERE sim NOT IN ('AF', 'RF') GROUP BY sim")(lambda s, d: counted(select.deny(grid(s, d), ["sim"], ["AF", "RF"])))
 register("allow_models", f"WITH {GRID} {_COUNTED} grid WHERE sim LIKE '%O%' OR sim LIKE '%R%' GROUP BY sim")(lambda s, d: counted(select.allow(grid(s, d), "sim", ["O", "R"])))
 register("clip_bbox", f"WITH {GRID} {_COUNTED} grid WHERE lat BETWEEN 32 AND 33.5 AND lon BETWEEN -123 AND -121 GROUP BY sim")(lambda s, d: counted(select.clip_box(grid(s, d), (32, 33.5), (-123, -121))))
@@ -146,8 +146,8 @@ register("clip_region", f"WITH {GRID}, {BRIDGE} {_COUNTED} grid WHERE cell_id IN
 register("clip_union", f"WITH {GRID}, {BRIDGE} {_COUNTED} grid WHERE cell_id IN (SELECT cell_id FROM bridge WHERE name IN ('NATION_1', 'NATION_2', 'NATION_11')) GROUP BY sim")(
     lambda s, d: counted(select.clip_region(grid(s, d), bridge(s, d), ["NATION_1", "NATION_2", "NATION_11"]))
 )
-register("clip_separated", f"WITH {GRID}, {BRIDGE} SELECT name, count(*) AS n, max(v) AS high FROM grid JOIN bridge USING (cell_id) WHERE name < 'NATION_2' GROUP BY name")(
-    lambda s, d: grid(s, d).join(bridge(s, d).where("name < 'NATION_2'"), "cell_id").groupBy("name").agg(F.count("*").alias("n"), F.max("v").alias("high"))
+register("clip_separated", f"WITH {GRID}, {BRIDGE} SELECT name, count(*) AS n, max(v) AS high FROM grid JOIN bridge USING (cell_id) WHERE name IN ('NATION_1', 'NATION_11', 'NATION_12') GROUP BY name")(
+    lambda s, d: select.clip_separated(grid(s, d), bridge(s, d), ["NATION_1", "NATION_11", "NATION_12"]).groupBy("name").agg(F.count("*").alias("n"), F.max("v").alias("high"))
 )
 
 _POINTS = [(32.3, -123.1), (33.9, -121.2), (40.0, -119.9)]
@@ -271,11 +271,11 @@ register("rolling_centred_even", f"WITH {SERIES} SELECT sim, {DAY_SQL}, CASE WHE
 register("effective_temp", f"WITH {SERIES} SELECT sim, {DAY_SQL}, round(0.5 * v + 0.25 * lag(v, 1) OVER w + 0.125 * lag(v, 2) OVER w + 0.125 * lag(v, 3) OVER w, 5) AS v FROM series WINDOW w AS ({_W})")(
     lambda s, d: rounded(climate.effective_temperature(series(s, d), ["sim"], "v").select("sim", day(), "v"), "v", places=5)
 )
-register("anomaly", f"""WITH {SERIES} SELECT sim, {DAY_SQL}, round(v - avg(v) FILTER (year("time") BETWEEN 1995 AND 1997) OVER (PARTITION BY sim), 3) AS v FROM series""")(
-    lambda s, d: rounded(climate.anomaly(series(s, d), ["sim"], "v", (1995, 1997)).select("sim", day(), "v"), "v", places=3)
+register("anomaly", f"""WITH {SERIES} SELECT sim, {DAY_SQL}, round(v - avg(v) FILTER (year("time") BETWEEN 1995 AND 1997) OVER (PARTITION BY sim) + 1e-7, 3) AS v FROM series""")(
+    lambda s, d: rounded(climate.anomaly(series(s, d), ["sim"], "v", (1995, 1997)).select("sim", day(), (F.col("v") + 1e-7).alias("v")), "v", places=3)
 )
-register("remove_season_cycle", f"""WITH {SERIES} SELECT sim, {DAY_SQL}, round(v - avg(v) OVER (PARTITION BY sim, month("time")), 3) AS v FROM series""")(
-    lambda s, d: rounded(climate.without_season(series(s, d), ["sim"], "v").select("sim", day(), "v"), "v", places=3)
+register("remove_season_cycle", f"""WITH {SERIES} SELECT sim, {DAY_SQL}, round(v - avg(v) OVER (PARTITION BY sim, month("time")) + 1e-7, 3) AS v FROM series""")(
+    lambda s, d: rounded(climate.without_season(series(s, d), ["sim"], "v").select("sim", day(), (F.col("v") + 1e-7).alias("v")), "v", places=3)
 )
 register(
     "season_separated",
@@ -308,23 +308,108 @@ def profile_value(spark, d):
     return rounded(climate.nearest_to_quantile(y, ["sim", "month"], "v", 0.5).select("sim", "month", "year", "v"), "v")
 
 
-@register("top_months_fs")
+_MY = """m AS (SELECT sim, month("time")::INT AS month, year("time")::INT AS year, "time", v FROM series)"""
+
+
+def _cdf_sql(name: str, by: str, bins: int = 1023) -> str:
+    """Counts of the bins that occur, as shares."""
+    return f"""{name}_e AS (SELECT {by}, min(v) AS lo, max(v) AS hi, count(*) AS n FROM m GROUP BY ALL HAVING count(*) > 1),
+    {name} AS (SELECT {by}, lo, hi, CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / {bins})) + 1, {bins}) ELSE {bins} END::INT AS bin, count(*)::DOUBLE / any_value(n) AS p FROM m JOIN {name}_e USING ({by}) GROUP BY ALL)"""
+
+
+_FS = f"""{_MY}, {_cdf_sql('own', 'sim, month, year')}, {_cdf_sql('whole', 'sim, month')},
+    bins AS (SELECT sim, month, year, unnest(range(1, 1024)) AS bin FROM own_e),
+    cum AS (SELECT e.sim, e.month, e.year, sum(coalesce(o.p, 0)) OVER w AS own, sum(coalesce(a.p, 0)) OVER w AS whole FROM bins e LEFT JOIN own o USING (sim, month, year, bin) LEFT JOIN whole a ON a.sim = e.sim AND a.month = e.month AND a.bin = e.bin
+      WINDOW w AS (PARTITION BY e.sim, e.month, e.year ORDER BY e.bin)),
+    fs AS (SELECT sim, month, year, sum(abs(own - whole)) / list_extract([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31], month) AS fs FROM cum GROUP BY sim, month, year),
+    top AS (SELECT sim, month, year, fs FROM (SELECT *, row_number() OVER (PARTITION BY sim, month ORDER BY round(fs, 9), year) AS r FROM fs) WHERE r = 1)"""
+
+
+@register("top_months_fs", f"WITH {SERIES}, {_FS} SELECT sim, month, year, round(fs, 6) AS fs FROM top")
 def top_months(spark, d):
     return rounded(climate.top_months(climate.fs_statistic(series(spark, d), ["sim"], "v"), ["sim"]), "fs", places=6)
 
 
-@register("fs_statistic")
+@register("fs_statistic", f"WITH {SERIES}, {_FS} SELECT sim, month, year, round(fs, 6) AS fs FROM fs")
 def fs_statistic(spark, d):
     return rounded(climate.fs_statistic(series(spark, d), ["sim"], "v"), "fs", places=6)
 
 
-@register("warming_slice")
+@register(
+    "warming_slice",
+    f"""WITH {SERIES}, c AS (SELECT sim, l.level, year(min("time") FILTER (v >= l.level)) + 3 AS centre FROM series, (VALUES (200000.0::DOUBLE), (300000.0::DOUBLE)) l(level) GROUP BY ALL),
+    w AS (SELECT s.sim, level AS warming_level, "time", v FROM series s JOIN c ON s.sim = c.sim AND year("time") BETWEEN centre - 2 AND centre + 1 WHERE centre - 2 >= 1990 AND centre + 1 <= 2100 AND NOT (month("time") = 2 AND day("time") = 29))
+    SELECT sim, warming_level, {DAY_SQL}, (row_number() OVER (PARTITION BY sim, warming_level ORDER BY "time") - 1 + floor(-count(*) OVER (PARTITION BY sim, warming_level) / 2))::INT AS time_delta, v FROM w""",
+)
 def warming(spark, d):
     centres = climate.first_crossing(series(spark, d), ["sim"], "v", [200000.0, 300000.0]).select("sim", "level", (F.year("at") + 3).alias("year")).where("year IS NOT NULL")
     return climate.warming_slice(series(spark, d), centres, ["sim"], 2, (1990, 2100)).select("sim", "warming_level", day(), "time_delta", "v")
 
 
-# Combinations
+# Combinations, discovery and whole analyses
+
+register("snapshot_mean", f"""WITH {SERIES}, c(level, lo, hi) AS (VALUES (1.5::DOUBLE, 1993, 1996), (2.0::DOUBLE, 1995, 1998)) SELECT level AS warming_level, sim, round(avg(v), 4) AS v FROM series JOIN c ON year("time") BETWEEN lo AND hi WHERE NOT (month("time") = 2 AND day("time") = 29) GROUP BY ALL""")(
+    lambda s, d: rounded(climate.snapshot_mean(climate.warming_slice(series(s, d), series(s, d).select("sim").distinct().crossJoin(s.createDataFrame([(1.5, 1995), (2.0, 1997)], "level double, year int")), ["sim"], 2), ["sim"], "v"), "v")
+)
+register("first_true", f"""WITH {SERIES} SELECT sim, strftime(coalesce(min("time") FILTER (v > 400000), min("time")), '%Y-%m-%d') AS at FROM series GROUP BY sim""")(
+    lambda s, d: climate.first_where(series(s, d), ["sim"], F.col("v") > 400000, else_first=True).select("sim", F.date_format("at", "yyyy-MM-dd").alias("at"))
+)
+register(
+    "category_order", """SELECT p_brand, row_number() OVER (ORDER BY CASE p_brand WHEN 'Brand#33' THEN 1 WHEN 'Brand#12' THEN 2 ELSE 3 END, p_brand)::INT AS rank FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)"""
+)(lambda s, d: catalog.ranked(s.read.parquet(f"{d}/part.parquet"), "p_brand", ["Brand#33", "Brand#12"]))
+register("first_options", "SELECT p_brand, p_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS r FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_type IS NOT NULL)) WHERE r <= 3")(
+    lambda s, d: catalog.first_options(s.read.parquet(f"{d}/part.parquet"), ["p_brand"], "p_type", 3)
+)
+register("facet_regex", "SELECT DISTINCT p_brand FROM part WHERE regexp_matches(lower(p_type), '^eco|l$')")(lambda s, d: catalog.options(s.read.parquet(f"{d}/part.parquet"), "p_brand", p_type=["^ECO", "l$"]))
+register("year_day_date", "SELECT event_id AS id, strftime(make_date(1996, 1, 1) + (event_id % 366)::INT, '%Y-%m-%d') AS at FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.date_format(weather.date_of_year_day(F.lit(1996), F.col("event_id") % 366 + 1), "yyyy-MM-dd").alias("at"))
+)
+register("batch_concat", f"""WITH {DAILY} SELECT part, sim, count(*) AS n, count(k) AS keys FROM (SELECT 'early' AS part, sim, k FROM daily WHERE year("time") < 1995 UNION ALL SELECT 'late', sim, NULL FROM daily WHERE year("time") >= 1995) GROUP BY ALL""")(
+    lambda s, d: climate.concat_frames({"early": daily(s, d).where(F.year("time") < 1995), "late": daily(s, d).where(F.year("time") >= 1995).drop("k")}, "part").groupBy("part", "sim").agg(F.count("*").alias("n"), F.count("k").alias("keys"))
+)
+register(
+    "batch_points",
+    f"""WITH {GRID}, c AS (SELECT s_suppkey AS cell_id, 32 + 0.5::DOUBLE * (s_suppkey // 10) AS lat, -124 + 0.5::DOUBLE * (s_suppkey % 10) AS lon FROM supplier),
+    p AS (SELECT c_custkey AS point, 32 + (c_custkey % 97) / 10.0::DOUBLE AS pa, -124 + (c_custkey % 41) / 8.0::DOUBLE AS po FROM customer),
+    la AS (SELECT point, min_by(lat, (abs(lat - pa), lat)) AS lat FROM p, (SELECT DISTINCT lat FROM c) GROUP BY point), lo AS (SELECT point, min_by(lon, (abs(lon - po), lon)) AS lon FROM p, (SELECT DISTINCT lon FROM c) GROUP BY point)
+    SELECT point, count(*) AS n, max(v) AS high FROM la JOIN lo USING (point) JOIN c USING (lat, lon) JOIN grid USING (cell_id) WHERE NOT (month("time") = 2 AND day("time") = 29) GROUP BY point""",
+)(
+    lambda s, d: select.batch_points(
+        grid(s, d), cells(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point"), (32 + F.col("c_custkey") % 97 / 10).alias("at"), (-124 + F.col("c_custkey") % 41 / 8).alias("on"))
+    ).groupBy("point").agg(F.count("*").alias("n"), F.max("v").alias("high"))
+)
+register(
+    "block_max_grouped",
+    f"""WITH {DAILY}, f AS (SELECT sim, v, "time"::DATE AS d, min("time"::DATE) OVER (PARTITION BY sim) AS d0 FROM daily), g AS (SELECT sim, d0 + (date_diff('day', d0, d) // 3 * 3)::INT AS "time", max(v) AS v FROM f GROUP BY ALL),
+    r AS (SELECT sim, "time", CASE WHEN count(v) OVER w = 2 THEN min(v) OVER w END AS v FROM g WINDOW w AS (PARTITION BY sim ORDER BY "time" ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) SELECT sim, year("time")::INT AS block, max(v) AS v FROM r WHERE v IS NOT NULL GROUP BY ALL""",
+)(lambda s, d: aggregate.block_extremes(daily(s, d), ["sim"], "v", group_days=3, group_duration=2))
+register(
+    "vulnerability_days", f"""WITH {DAILY}, a AS (SELECT sim, "time"::DATE AS d, max(v) AS v FROM daily WHERE month("time") IN (6, 7, 8) GROUP BY ALL), y AS (SELECT sim, sum((v > 250000)::INT) AS n FROM a GROUP BY sim, year(d)) SELECT sim, round(avg(n), 4) AS v FROM y GROUP BY sim"""
+)(lambda s, d: rounded(recipes.vulnerability(daily(s, d), ["sim"], "v", "max", [6, 7, 8], threshold=250000), "v"))
+register("vulnerability_percentile", f"""WITH {DAILY}, a AS (SELECT sim, "time"::DATE AS d, min(v) AS v FROM daily WHERE month("time") IN (12, 1, 2) GROUP BY ALL) SELECT sim, round(quantile_cont(v, 0.05), 4) AS v FROM a GROUP BY sim""")(
+    lambda s, d: rounded(recipes.vulnerability(daily(s, d), ["sim"], "v", "min", [12, 1, 2], percentile=5), "v")
+)
+register(
+    "vulnerability_table",
+    f"""WITH {DAILY}, a AS (SELECT sim, "time"::DATE AS d, max(v) AS hi, min(v) AS lo FROM daily GROUP BY ALL), p AS (SELECT sim, year(d) < 1996 AS early, hi, lo, d FROM a WHERE year(d) BETWEEN 1993 AND 1998),
+    y AS (SELECT sim, early, year(d) AS y, sum((hi > 250000)::INT) AS n FROM p GROUP BY ALL), m AS (SELECT sim, 'hot days' AS metric, early, avg(n) AS x FROM y GROUP BY ALL UNION ALL SELECT sim, 'low', early, quantile_cont(lo, 0.1) FROM p GROUP BY ALL)
+    SELECT sim, metric, round(max(x) FILTER (early), 4) AS first, round(max(x) FILTER (NOT early), 4) AS second FROM m GROUP BY ALL""",
+)(
+    lambda s, d: rounded(recipes.vulnerability_table(daily(s, d), ["sim"], "v", {"hot days": {"metric": "max", "threshold": 250000}, "low": {"metric": "min", "percentile": 10}}, {"first": (1993, 1995), "second": (1996, 1998)}), "first", "second")
+)
+_HOURS = """i AS (SELECT l_returnflag AS sim, l_extendedprice AS v, l_quantity AS w, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+    y AS (SELECT sim, v, w, i % 8760 + 1 AS hour, i // 8760 AS year FROM i WHERE i < n // 8760 * 8760), q AS (SELECT *, round(abs(v - quantile_cont(v, 0.9) OVER (PARTITION BY sim, hour)), 6) AS off FROM y)"""
+
+
+@register("persistence_year", f"WITH {_HOURS} SELECT sim, hour::BIGINT AS hour, year::BIGINT AS year, round(v, 4) AS v, w FROM (SELECT *, row_number() OVER (PARTITION BY sim, hour ORDER BY off, year) AS r FROM q) WHERE r = 1")
+def persistence_year(spark, d):
+    placed = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")
+    # one row an hour from a first of March on, so that no leap day falls among the first 8,760 hours of any year kept
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("sim"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("w"), F.row_number().over(placed).alias("i"))
+    return rounded(recipes.persistence_year(recipes.common_hours(rows, "i"), ["sim"], "v", 0.9).select("sim", F.col("hour").cast("long").alias("hour"), F.col("year").cast("long").alias("year"), "v", "w"), "v")
+
+
+# Scenarios
 
 register("concat_sim", "SELECT lower(replace(o_orderpriority, ' ', '')) || '_' || lower(o_orderstatus) AS sim, count(*) AS n FROM orders GROUP BY 1")(
     lambda s, d: climate.concat_sim(s.read.parquet(f"{d}/orders.parquet"), ["o_orderpriority", "o_orderstatus"]).groupBy("sim").agg(F.count("*").alias("n"))
@@ -340,7 +425,7 @@ register("concat_time", f"WITH {_SCEN}, m AS (SELECT DISTINCT cell_id, scenario
     lambda s, d: climate.concat_time(scenarios(s, d), ["cell_id"], "scenario", "historical").groupBy("scenario").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
 )
 register("scenario_intersect", f"WITH {_SCEN} SELECT cell_id FROM x WHERE scenario = 'historical' INTERSECT SELECT cell_id FROM x WHERE scenario = 'ssp370'")(
-    lambda s, d: scenarios(s, d).where("scenario = 'historical'").select("cell_id").intersect(scenarios(s, d).where("scenario = 'ssp370'").select("cell_id"))
+    lambda s, d: select.shared(scenarios(s, d).where("scenario = 'historical'"), scenarios(s, d).where("scenario = 'ssp370'"), ["cell_id"])
 )
 register("leap_except", f"""WITH {SERIES} SELECT sim, {DAY_SQL} FROM series EXCEPT SELECT sim, {DAY_SQL} FROM series WHERE month("time") = 2 AND day("time") = 29""")(
     lambda s, d: series(s, d).select("sim", day()).exceptAll(series(s, d).where(select.leap_day()).select("sim", day()))
@@ -358,9 +443,14 @@ def paired(spark, d):
     return rounded(climate.paired_difference(by(o.where(F.year("time") >= 1998)), by(o.where((F.year("time") < 1998) & (F.col("sim") != "1-URGENT"))), ["sim"], "v", "month"), "v", places=3)
 
 
-@register("merge_variables", f"""WITH {GRID} SELECT cell_id, sim, year("time")::INT AS year, max(v) AS high, min(v) AS low FROM grid GROUP BY ALL""")
+@register(
+    "merge_variables",
+    f"""WITH {SERIES}, low AS (SELECT sim, date_trunc('day', "time") AS "time", min(v) AS low FROM daily WHERE v < 100000 GROUP BY ALL)
+    SELECT sim, {DAY_SQL}, s.v, low FROM (SELECT * FROM series WHERE v > 200000) s FULL JOIN low USING (sim, "time")""",
+)
 def merge_variables(spark, d):
-    return grid(spark, d).groupBy("cell_id", "sim", F.year("time").alias("year")).agg(F.max("v").alias("high"), F.min("v").alias("low"))
+    low = daily(spark, d).where("v < 100000").groupBy("sim", F.date_trunc("day", "time").alias("time")).agg(F.min("v").alias("low"))
+    return climate.merge_variables([series(spark, d).where("v > 200000"), low], ["sim"]).select("sim", day(), "v", "low")
 
 
 # Scalar functions

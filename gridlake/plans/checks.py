@@ -60,13 +60,14 @@ def time_slice(start, end, seasons=None) -> None:
 
 
 def convert_units(unit: str, to: str) -> None:
-    if unit != to and (unit, to) not in units.CONVERSIONS:
+    a, b = (units.SPELLINGS.get(x, x) for x in (unit, to))
+    if a != b and (a, b) not in units.PAIRS:
         raise ValueError(f"{unit} converts to {unit_options(unit)}")
 
 
 def unit_options(unit: str) -> list[str]:
     """The unit and all that it converts to."""
-    return [unit, *sorted(b for a, b in units.CONVERSIONS if a == unit)]
+    return [unit, *sorted(b for a, b in units.PAIRS if a == units.SPELLINGS.get(unit, unit))]
 
 
 def box(lat, lon) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import weather
 from ..operators import aggregate, climate, clock, kernels, levels, profiles, select, space
 from ..sources import catalog, weather_files
-from . import query, registry
+from . import catalogue, query, registry
 from .catalogue import DAILY, DAY_SQL, GRID, HOURLY, SERIES, cells, counted, daily, day, grid, hourly, register, rounded, series
 
 # Formulas
@@ -130,6 +130,12 @@ register(
 register("local_time", f"""WITH {HOURLY} SELECT id, strftime("time" - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS at FROM hourly""")(
     lambda s, d: clock.to_local(hourly(s, d).select("id", "time"), [], "America/Los_Angeles").select("id", F.date_format("time", "yyyy-MM-dd HH:mm").alias("at"))
 )
+register(
+    "local_time_summer", f"""WITH {DAILY} SELECT k, strftime("time" + INTERVAL 12 HOUR - CASE WHEN "time" + INTERVAL 12 HOUR >= make_timestamp(year("time"), 4, 1, 10, 0, 0) + ((7 - dayofweek(make_date(year("time"), 4, 1))) % 7)::INT * INTERVAL 1 DAY
+      AND "time" + INTERVAL 12 HOUR < make_timestamp(year("time"), 10, 31, 9, 0, 0) - dayofweek(make_date(year("time"), 10, 31))::INT * INTERVAL 1 DAY THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END, '%Y-%m-%d %H:%M') AS at FROM daily"""
+)(
+    lambda s, d: clock.to_local(daily(s, d).select("k", (F.col("time").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOUR")).alias("time")), [], "America/Los_Angeles").select("k", F.date_format("time", "yyyy-MM-dd HH:mm").alias("at"))
+)
 register("fixed_offset", f"""WITH {HOURLY} SELECT id, strftime("time" - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS at FROM hourly""")(
     lambda s, d: clock.fixed_offset(hourly(s, d).select("id", "time"), -8).select("id", F.date_format("time", "yyyy-MM-dd HH:mm").alias("at"))
 )
@@ -180,7 +186,13 @@ register("window_range_join", f'WITH {SERIES}, c(level, lo, hi) AS (VALUES (1.5:
 # Representative years
 
 
-@register("shock_month")
+@register(
+    "shock_month",
+    f"""WITH {SERIES}, {catalogue._MY}, {catalogue._cdf_sql('own', 'sim, month, year')}, {catalogue._cdf_sql('whole', 'sim, month')},
+    oc AS (SELECT *, sum(p) OVER (PARTITION BY sim, month, year ORDER BY bin) AS c FROM own), wc AS (SELECT *, sum(p) OVER (PARTITION BY sim, month ORDER BY bin) AS c FROM whole),
+    om AS (SELECT sim, month, year, min_by(lo + bin * ((hi - lo) / 1023), (round(abs(c - 0.5), 9), bin)) AS o FROM oc GROUP BY ALL), wm AS (SELECT sim, month, min_by(lo + bin * ((hi - lo) / 1023), (round(abs(c - 0.5), 9), bin)) AS w FROM wc GROUP BY ALL)
+    SELECT sim, month, year, round(anomaly, 3) AS anomaly FROM (SELECT sim, month, year, o - w AS anomaly, row_number() OVER (PARTITION BY sim, month ORDER BY o - w DESC, year) AS r FROM om JOIN wm USING (sim, month)) WHERE r = 1""",
+)
 def shock_month(spark, d):
     return rounded(profiles.shock_months(series(spark, d), ["sim"], "v", "hot"), "anomaly", places=3)
 
@@ -203,7 +215,7 @@ def tmy_months(spark, d):
     return rounded(climate.top_months(profiles.skip_last_month(profiles.weighted_fs(daily_stats, ["sim"], weights), ["sim"]), ["sim"]), "fs", places=6)
 
 
-@register("top_month_rows")
+@register("top_month_rows", f"WITH {SERIES}, {catalogue._FS} SELECT sim, month, year, {DAY_SQL}, v FROM m JOIN top USING (sim, month, year)")
 def top_month_rows(spark, d):
     top = climate.top_months(climate.fs_statistic(series(spark, d), ["sim"], "v"), ["sim"])
     return profiles.assemble(series(spark, d), top, ["sim"]).select("sim", "month", "year", day(), "v")

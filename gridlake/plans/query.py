@@ -17,7 +17,7 @@ from . import checks, registry
 #: Priority of each step: a smaller one runs earlier.
 PRIORITY = {
     "filter_unadjusted_models": 0, "drop_leap_days": 1, "derive": 3, "convert_units": 5, "warming_level": 10, "concat": 50, "bias_adjust": 60, "clip": 65, "local_time": 70,
-    "time_slice": 150, "metric": 7500, "percentiles": 7500, "thresholds": 7500, "one_in_x": 7500, "export": 9999,
+    "time_slice": 150, "metric": 7500, "percentiles": 7500, "thresholds": 7500, "one_in_x": 7500, "update_attributes": 9998, "export": 9999,
 }
 
 
@@ -66,13 +66,54 @@ class Query:
     def reset(self) -> Query:
         return replace(self, facets={}, steps={})
 
+    def facet_names(self) -> list[str]:
+        """Facets that may be asked for."""
+        return [c for c in self.source.columns if c not in (self.value, "time")]
+
+    def describe(self) -> dict:
+        """What is asked for: facets, steps in the order they run, and the facets still open."""
+        return {"facets": dict(self.facets), "steps": self.order(), "open": [c for c in self.facet_names() if c not in self.facets]}
+
+    def order(self) -> list[str]:
+        return sorted(self.steps, key=PRIORITY.__getitem__)
+
+    def copy(self) -> Query:
+        """A query that shares nothing changeable with this one."""
+        return replace(self, facets=dict(self.facets), steps={k: dict(v) for k, v in self.steps.items()})
+
     def plan(self) -> DataFrame:
+        """One lazy DataFrame; each step's options are checked first."""
+        for name in self.order():
+            for f in CHECKS.get(name, ()):
+                f(**self.steps[name])
         df = catalog.search(self.source, **self.facets)
-        for name in sorted(self.steps, key=PRIORITY.__getitem__):
-            df = RUN[name](df, self.value, **self.steps[name])
+        for name in self.order():
+            more = {"history": self.order()} if name == "update_attributes" else {}
+            df = RUN[name](df, self.value, **self.steps[name], **more)
         return df
 
 
+#: Checks of a step's options, by step: functions that raise ValueError.
+CHECKS: dict[str, list[Callable[..., None]]] = {"time_slice": [checks.time_slice], "convert_units": [checks.convert_units]}
+
+
+def register_check(name: str):
+    """Adds a check f(**options) of a step's options, run before any plan with that step is made."""
+
+    def put(f):
+        if name not in PRIORITY:
+            raise ValueError(f"no such step: {name}")
+        CHECKS.setdefault(name, []).append(f)
+        return f
+
+    return put
+
+
+def steps() -> list[tuple[str, int, int]]:
+    """(step, priority, number of its checks) of all steps in the order they run."""
+    return [(n, PRIORITY[n], len(CHECKS.get(n, ()))) for n in sorted(PRIORITY, key=PRIORITY.__getitem__)]
+
+
 def register_step(name: str, priority: int):
     """Adds a step f(df, value, **options) -> DataFrame; a name taken raises ValueError."""
 
@@ -108,12 +149,28 @@ def _concat(df: DataFrame, value: str, dim: str, facets: list[str] | None = None
     return climate.concat_time(df, key, scenario, historical)
 
 
-def _one_in_x(df: DataFrame, value: str, key: list[str], return_periods=None, return_values=None, extreme: str = "max", block: int = 1, duration: int = 1, how: str = "sustained", distribution: str = "gev", **more) -> DataFrame:
-    blocks = aggregate.block_extremes(df, key, value, extreme, block, duration, how)
+def _one_in_x(
+    df: DataFrame, value: str, key: list[str], return_periods=None, return_values=None, extreme: str = "max", block: int = 1, event_duration: tuple[int, str] = (1, "day"),
+    groupby: tuple[int, str] | None = None, grouped_duration: tuple[int, str] | None = None, how: str = "sustained", distribution: str = "gev", **more,
+) -> DataFrame:
+    """An event of hours rolls over its hours; groups are of days, and grouped_duration rolls over groups."""
+    n, unit = event_duration
+    if unit not in ("hour", "day") or (unit == "day" and n > 1) or any(g is not None and g[1] != "day" for g in (groupby, grouped_duration)):
+        raise ValueError("events last hours or one day; groups, and what rolls over them, are of days")
+    days = groupby[0] if groupby else 1 if grouped_duration else None
+    blocks = aggregate.block_extremes(df, key, value, extreme, block, n, how, group_days=days, group_duration=grouped_duration[0] if grouped_duration else 1)
     at, measure = (return_periods, "value") if return_periods is not None else (return_values, "period")
     return kernels.one_in_x(blocks, key, value, at, measure, distribution, block=block, extreme=extreme, **more)
 
 
+def _attributes(df: DataFrame, value: str, history: list[str], **attributes) -> DataFrame:
+    """df whose value column carries its attributes: what is given, as text, and the steps that made it."""
+    if value not in df.columns:
+        return df
+    known = dict(df.schema[value].metadata)
+    return df.withMetadata(value, known | {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in attributes.items()} | {"history": ", ".join(history)})
+
+
 def _export(df: DataFrame, value: str, folder: str, **options) -> DataFrame:
     return exports.export(df, folder, **options)
 
@@ -133,5 +190,6 @@ RUN: dict[str, Callable[..., DataFrame]] = {
     "percentiles": lambda df, value, levels, key: aggregate.percentiles(df, key, value, levels),
     "thresholds": lambda df, value, key, threshold_value, threshold_direction="above", duration=1, period="year": aggregate.exceedance(df, key, value, threshold_value, threshold_direction == "above", duration, period),
     "one_in_x": _one_in_x,
+    "update_attributes": _attributes,
     "export": _export,
 }

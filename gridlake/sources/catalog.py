@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import NA_STRINGS
@@ -27,14 +27,11 @@ def search(catalog: DataFrame, **facets) -> DataFrame:
 
 
 def options(catalog: DataFrame, key: str, **facets) -> DataFrame:
-    """Sorted distinct values of a column; facets ignore case, lists match as substrings."""
+    """Sorted distinct values of a column; facets ignore case, a list matches as substrings or regular expressions."""
     for name, value in facets.items():
         low = F.lower(name)
         if isinstance(value, (list, tuple)):
-            hit = F.lit(False)
-            for v in value:
-                hit = hit | low.contains(v.lower())
-            catalog = catalog.where(hit)
+            catalog = catalog.where(F.col(name).rlike("(?i)" + "|".join(value)))
         else:
             catalog = catalog.where(low == value.lower())
     return catalog.select(key).dropna().distinct().orderBy(key)
@@ -86,3 +83,53 @@ def read_stations(spark: SparkSession, path: str, x: str = "LON_X", y: str = "LA
     """A CSV table of stations, its coordinates as lon and lat; rows without a place are left out."""
     df = read_lookup(spark, path)
     return df.withColumns({"lon": F.col(x).try_cast("double"), "lat": F.col(y).try_cast("double")}).where("lon IS NOT NULL AND lat IS NOT NULL")
+
+
+class Catalogs:
+    """Catalogs by name: tables of assets in CSV, JSON or Parquet, with a path for each asset."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._known = spark, {}
+
+    def register(self, name: str, source: DataFrame | str) -> None:
+        """A catalog under a name; a path is opened by its ending. A name taken is replaced."""
+        if isinstance(source, str):
+            kind = source.rstrip("/").rsplit(".", 1)[-1]
+            source = read_lookup(self.spark, source) if kind == "csv" else self.spark.read.json(source) if kind == "json" else self.spark.read.parquet(source)
+        self._known[name] = source
+
+    def names(self) -> list[str]:
+        return sorted(self._known)
+
+    def open(self, name: str) -> DataFrame:
+        """A catalog by its name, or by the only name close to it."""
+        found = resolve(name, self.names())
+        if found is None:
+            raise KeyError(f"no catalog {name}; there are {self.names()}")
+        return self._known[found]
+
+    def whole(self) -> DataFrame:
+        return merge(*self._known.items())
+
+    def holding(self, **facets) -> list[str]:
+        """Names of the catalogs that have assets for all facets."""
+        fits = lambda df: set(facets) <= set(df.columns) and not search(df, **facets).isEmpty()
+        return [n for n in self.names() if fits(self._known[n])]
+
+
+def ranked(df: DataFrame, column: str, first: list[str]) -> DataFrame:
+    """Distinct values with their rank: the named ones first, in that order, then the others by alphabet."""
+    place = F.nullif(F.array_position(F.array(*[F.lit(x) for x in first]), F.col(column)), F.lit(0))
+    w = Window.orderBy(F.coalesce(place, F.lit(len(first) + 1)), column)
+    return df.select(column).dropna().distinct().withColumn("rank", F.row_number().over(w))
+
+
+def first_options(df: DataFrame, by: list[str], column: str, n: int) -> DataFrame:
+    """The first n options of a column for each group, by alphabet."""
+    d = df.select(*by, column).where(F.col(column).isNotNull()).distinct()
+    return d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(column))).where(F.col("_r") <= n).drop("_r")
+
+
+def variables(dictionary: DataFrame, timescale: str, method: str) -> DataFrame:
+    """Variables that a screen would show: marked so, of that method, and offered at that timescale."""
+    return dictionary.where((F.lower(F.col("show").cast("string")) == "true") & F.lower("timescale").contains(timescale.lower()) & (F.lower("method") == method.lower()))

@@ -30,7 +30,13 @@ def same(v):
     return round(v, 4) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["flagship_monthly_max", "clip_points", "nearest_3x3_fill", "metric_sum", "metric_percentiles", "block_max_sustained", "exceed_sustained", "multi_model_stats", "hist_cdf", "rolling_centred_even", "paired_difference", "heat_index", "ess", "slp", "fosberg_by_name", "unit_ms_to_mph"])
+NEW = (
+    "merge_variables clip_separated month_filter scenario_intersect top_months_fs fs_statistic warming_slice snapshot_mean first_true category_order first_options facet_regex year_day_date batch_concat batch_points "
+    "block_max_grouped vulnerability_days vulnerability_percentile vulnerability_table persistence_year anomaly remove_season_cycle profile_value n_day_resample block_max_two_year facet_contains"
+).split()
+
+
+@pytest.mark.parametrize("name", ["flagship_monthly_max", "clip_points", "nearest_3x3_fill", "metric_sum", "metric_percentiles", "block_max_sustained", "exceed_sustained", "multi_model_stats", "hist_cdf", "rolling_centred_even", "paired_difference", "heat_index", "ess", "slp", "fosberg_by_name", "unit_ms_to_mph", *NEW])
 def test_twin(spark, duck, name):
     df, rel = catalogue.QUERIES[name](spark, SF), duck.sql(catalogue.ORACLE_SQL[name])
     cols = sorted(df.columns)
