@@ -15,7 +15,8 @@ The benchmark is sent to the executors in parts of at most PART_BYTES of text;
 with several parts the documents pass through as many indexes, in one stage.
 
 Defined results: a null or empty text has no words and no hits; null or empty
-items are never hit; items with equal texts are all reported; repeated
+items are never hit; words of an item without an id are hit, but it is not
+reported; items with equal texts are all reported; repeated
 documents are each reported; an empty benchmark hits nothing.
 """
 
@@ -40,18 +41,22 @@ SHARD_BYTES = 4 << 20
 class Phrases:
     """The test phrases of some items: distinct rows of word numbers, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         words = Words([(x or "").encode() for _, x in items], ALNUM)
-        hashes = words.hashes()
-        self.vocabulary, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, self.seed = len({words.word(i) for i in range(len(words.length))}), 0
+        while True:
+            self.vocabulary, first, number = np.unique(words.hashes(self.seed), return_index=True, return_inverse=True)
+            if len(first) == distinct:
+                break
+            self.seed += 1  # two words have the same hash
         self.words = [words.word(i) for i in first]
-        if len({words.word(i) for i in range(len(hashes))}) != len(first):
-            raise ValueError("two benchmark words have the same hash")
         rows: dict[tuple[int, ...], set[int]] = {}
         for (item, _), at, n in zip(items, words.at, words.count, strict=True):
             own = (number[at : at + n] + 1).tolist()
             for i in range(max(1, n - window + 1) if n else 0):
-                rows.setdefault(tuple(own[i : i + window]), set()).add(item)
+                named = rows.setdefault(tuple(own[i : i + window]), set())
+                if item is not None:
+                    named.add(item)
         self.items = [sorted(x) for x in rows.values()]
         self.length = np.array([len(x) for x in rows], np.int64)
         self.rows = np.zeros((len(rows), window), np.int32)
@@ -65,7 +70,7 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(phrases.rows) or not len(words.length):
         return none
-    hashes = words.hashes()
+    hashes = words.hashes(phrases.seed)
     place = np.searchsorted(phrases.vocabulary, hashes)
     place[place == len(phrases.vocabulary)] = 0
     number = np.where(phrases.vocabulary[place] == hashes, place + 1, 0)
@@ -160,7 +165,7 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
 
     def parts() -> Iterator[list]:
         rows, size = [], 0
-        for row in benchmark.select(item, item_text).where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).toLocalIterator():
+        for row in benchmark.select(item, item_text).where(F.col(item_text).isNotNull()).toLocalIterator():
             rows.append((row[0], row[1]))
             size += len(row[1])
             if size > PART_BYTES:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import blocks
 
@@ -130,5 +131,4 @@ def predict(df: DataFrame, prototypes: dict[str, list[float]], text: str = "text
                     value, label = np.zeros(len(part)), ["und"] * len(part)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(label, pa.string()), pa.array(value)], [*batch.schema.names, pred, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))

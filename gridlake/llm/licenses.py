@@ -165,11 +165,12 @@ def scan(df: DataFrame, known: DataFrame | None = None, text: str = "text") -> D
         line = F.transform(F.split(text, "\n"), lambda x: F.element_at(of_line, F.sha2(canonical(x), 256)))
         df = df.withColumn("digest", digest).withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(F.filter(line, lambda x: x.isNotNull()))), F.array().cast("array<string>")))
         return df.join(F.broadcast(table), "digest", "left").select(*[c for c in df.columns if c != "notices"], "license_id", "notices")
-    # many known texts: lines meet them by shuffle, as distinct digests of each row's own key
-    keyed = df.withColumn("digest", digest).withColumn("_row", F.xxhash64(*[F.col(c) for c in df.columns]))
-    lines = keyed.select("_row", F.explode(F.split(text, "\n")).alias("line")).select("_row", F.sha2(canonical(F.col("line")), 256).alias("digest")).distinct()
-    notices = lines.join(table, "digest").groupBy("_row").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
-    out = keyed.join(table, "digest", "left").join(notices, "_row", "left")
+    # many known texts: lines meet them by shuffle, as distinct digests of each row's own key, a digest of the whole row
+    row = next(x for x in (f"_row{i}" for i in range(len(df.columns) + 1)) if x not in df.columns)
+    keyed = df.withColumn("digest", digest).withColumn(row, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256))
+    lines = keyed.select(row, F.explode(F.split(text, "\n")).alias("line")).select(row, F.sha2(canonical(F.col("line")), 256).alias("digest")).distinct()
+    notices = lines.join(table, "digest").groupBy(row).agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
+    out = keyed.join(table, "digest", "left").join(notices, row, "left")
     return out.select(*df.columns, "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 

@@ -5,10 +5,14 @@ forms. Labelers vote on each for (1), against (-1) or not at all (0): the
 pattern's own check, a gazetteer (mail domains, country codes, card issuers,
 address ranges), the words before the span, and its form. Expectation
 maximisation over the counts of all vote patterns in the corpus estimates each
-labeler's reliability for each kind of value and the share of true spans; the
-posteriors then train a logistic span classifier, which decides. The counts are
-made by a distributed aggregation; there are at most some thousands of patterns
-however many documents there are, and only they reach the driver.
+labeler's reliability for each kind of value and the share of true spans. The
+posteriors are the targets of a logistic span classifier, which decides. It sees
+the kind, the votes, and the span itself: its length, its separators and digits,
+and the characters beside it. So what the labelers say of most spans of a shape
+bears on those of that shape on which they are silent. Counts of the patterns of
+votes and shapes are made by a distributed aggregation; the alphabet of both
+bounds them (some thousands occur), however many documents there are, and only
+they reach the driver.
 
 Base findings always stay; the classifier adds other candidates with a score of
 THRESHOLD or more that overlap no base finding.
@@ -124,6 +128,16 @@ def _form(kind: str, text: str, start: int, end: int) -> int:
     return 1
 
 
+def shape(text: str, start: int, end: int) -> str:
+    """Five characters: what stands before and after (^ nothing, s space, w letter or digit, p other), length, separators, share of digits."""
+    beside = (text[start - 1 : start], text[end : end + 1])
+    ends = "".join("^" if not c else "s" if c.isspace() else "w" if c.isalnum() else "p" for c in beside)
+    span = text[start:end]
+    digits = sum(c.isdigit() for c in span)
+    marks = len({c for c in span if not c.isalnum()})
+    return f"{ends}{min(9, (end - start) // 5)}{min(3, marks)}{4 * digits // max(1, end - start)}"
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     """(kind, start, end, base, votes) of every candidate of a text."""
     out = []
@@ -158,21 +172,45 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 
 def _votes_schema() -> T.StructType:
-    return T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean").add("votes", "string")
+    return T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean").add("votes", "string").add("shape", "string")
+
+
+#: A pattern: kind, votes, shape.
+Pattern = tuple[str, str, str]
+
+
+class Classifier:
+    """A logistic classifier of spans by kind, votes and shape."""
 
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self._known = weights, {}
 
-def _scan(df: DataFrame, text: str, score: dict[tuple[str, str], float] | None, name: str) -> DataFrame:
-    """df with its candidates (score None), or with the spans that stand."""
+    @staticmethod
+    def features(pattern: Pattern) -> list[str]:
+        kind, votes, form = pattern
+        return ["all", kind, *(f"vote {j}{c}" for j, c in enumerate(votes) if c != "0"), *(f"shape {j}{c}" for j, c in enumerate(form)), *(f"{kind} {j}{c}" for j, c in enumerate(form))]
+
+    def score(self, pattern: Pattern) -> float:
+        """0 to 1; without any training 0."""
+        if pattern not in self._known:
+            z = sum(self.weights.get(f, 0.0) for f in self.features(pattern))
+            self._known[pattern] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if self.weights else 0.0
+        return self._known[pattern]
+
+
+def _scan(df: DataFrame, text: str, model: Classifier | None, name: str) -> DataFrame:
+    """df with its candidates (model None), or with the spans that stand."""
 
     def of_text(t: str | None) -> list[dict]:
-        found = [{"kind": k, "start": a, "end": b, "base": base, "votes": "".join("-0+"[v + 1] for v in votes)} for k, a, b, base, votes in candidates(t or "")]
-        if score is None:
+        t = t or ""
+        found = [{"kind": k, "start": a, "end": b, "base": base, "votes": "".join("-0+"[v + 1] for v in votes), "shape": shape(t, a, b)} for k, a, b, base, votes in candidates(t)]
+        if model is None:
             return found
         sure = [x for x in found if x["base"]]
-        more = [x for x in found if not x["base"] and score.get((x["kind"], x["votes"]), 0) >= THRESHOLD and not any(x["start"] < y["end"] and y["start"] < x["end"] for y in sure)]
+        more = [x for x in found if not x["base"] and model.score((x["kind"], x["votes"], x["shape"])) >= THRESHOLD and not any(x["start"] < y["end"] and y["start"] < x["end"] for y in sure)]
         return sorted([*sure, *more], key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
-    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string())]))
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("shape", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,30 +250,34 @@ def reliabilities(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], f
     return out
 
 
-def classifier(counts: dict[tuple[str, str], int], belief: dict[tuple[str, str], float], rounds: int = 400) -> dict[tuple[str, str], float]:
-    """A logistic classifier of kind and votes, trained on the beliefs by gradient descent; its score of each pattern."""
-    if not counts:
-        return {}
+def classifier(counts: dict[Pattern, int], belief: dict[tuple[str, str], float], rounds: int = 3000) -> Classifier:
+    """A span classifier trained on the beliefs by gradient descent; a pattern weighs the root of its count."""
     pairs = sorted(counts)
-    x = np.array([[1.0, *(k == kind for kind in KINDS), *(v[j] == c for j in range(len(v)) for c in "-+")] for k, v in pairs])
-    y, n = np.array([belief[p] for p in pairs]), np.array([counts[p] for p in pairs], float)
-    n, w = np.sqrt(n) / np.sqrt(n).sum(), np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (n * (p - y)) + 1e-4 * w)
-    return dict(zip(pairs, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
-
-
-def train(df: DataFrame, text: str = "text") -> dict[tuple[str, str], float]:
-    """The classifier's scores of all vote patterns, from all texts of df."""
+    names = sorted({f for p in pairs for f in Classifier.features(p)})
+    place = {f: i for i, f in enumerate(names)}
+    at = [np.array([place[f] for f in Classifier.features(p)]) for p in pairs]
+    row, column = np.repeat(np.arange(len(pairs)), [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)])
+    y, n = np.array([belief[p[:2]] for p in pairs]), np.sqrt([float(counts[p]) for p in pairs])
+    n, w = n / (n.sum() or 1), np.zeros(len(names))
+    for _ in range(rounds if pairs else 0):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(pairs)), -30, 30)))
+        w -= 0.4 * (np.bincount(column, (n * (p - y))[row], len(names)) + 1e-4 * w)
+    return Classifier(dict(zip(names, w.tolist(), strict=True)))
+
+
+def train(df: DataFrame, text: str = "text") -> Classifier:
+    """The span classifier, from the patterns of all texts of df."""
     found = _scan(df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()), "text", None, "found")
-    rows = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()
-    counts = {(r.kind, r.votes): r["count"] for r in rows}
-    return classifier(counts, reliabilities(counts))
+    rows = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.shape").count().collect()
+    counts = {(r.kind, r.votes, r["shape"]): r["count"] for r in rows}
+    by_votes: dict[tuple[str, str], int] = {}
+    for (kind, votes, _), n in counts.items():
+        by_votes[kind, votes] = by_votes.get((kind, votes), 0) + n
+    return classifier(counts, reliabilities(by_votes))
 
 
-def find(df: DataFrame, scores: dict[tuple[str, str], float], text: str = "text", spans: str = "pii") -> DataFrame:
-    """df with a new column of spans (kind, start, end, base, votes), sorted by start and kind."""
+def find(df: DataFrame, scores: Classifier, text: str = "text", spans: str = "pii") -> DataFrame:
+    """df with a new column of spans (kind, start, end, base, votes, shape), sorted by start and kind."""
     if spans in df.columns:
         raise ValueError(f"column name taken: {spans}")
     return _scan(df, text, scores, spans)

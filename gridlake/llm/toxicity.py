@@ -15,8 +15,10 @@ score is the logistic function of the logit less its threshold, so that 0.5 is
 the threshold everywhere. The language is guessed from the text's own function
 words, never from a column.
 
-Training uses a bounded sample: at most TRAIN_ROWS labelled rows of each class,
-chosen by a hash of their id. Scoring reads every whole text.
+Training uses a bounded sample: at most TRAIN_ROWS labelled ids of each class,
+chosen by a hash of their id, and at most SAME texts of one id. With fewer than
+ten toxic rows kept apart, thresholds are calibrated on all rows of the sample.
+Scoring reads every whole text.
 
 Defined results: a null text is an empty one, whose pooled values are all zero;
 documents with several labels take the largest; without labelled rows every
@@ -30,13 +32,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import ALNUM, Words, blocks, mix, utf8
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS, SAME = 3000, 4
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 12
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 PRECISION = 0.8
@@ -221,7 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     if not sizes.get(0) or not sizes.get(1):
         return None
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("text", "label").mapInArrow(_hashed, "ids array<int>, label int")
+    first = Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")
+    own = texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAME)
+    sample = own.select("text", "label").mapInArrow(_hashed, "ids array<int>, label int")
     table = sample.toArrow()
     found = [np.asarray(x.values, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in table["ids"]]
     y = np.asarray(table["label"], np.int64)
