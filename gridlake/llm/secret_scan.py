@@ -12,7 +12,8 @@ Places of matches come from the lengths of the texts between them, summed by a
 window over the matches of a row. The interval join deals parts to bins of SCOPE
 code points: for each bin the nearest place of a role to the left, within and to
 the right is kept by partial aggregation, and a weak part meets only the row of
-its own bin. So no pairs of parts are made, however many share a scope.
+its own bin. So no pairs of parts are made, however many share a scope. The parts
+found are written to the shared folder, as three branches of the plan read them.
 
 Defined results: a null or empty text has no findings; matches are leftmost and
 do not overlap within their kind, case-insensitive for ASCII letters only;
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .run import cut
+
 SCOPE = 256
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -111,7 +114,8 @@ def scan(df: DataFrame, text: str = "text", id: str = "doc_id", scope: int = SCO
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("text")).withColumn("_n", F.length("text"))
     key = ["id", "_h", "_n"]
     order = F.create_map(*[x for i, (k, _, _) in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])[F.col("kind")]
-    spans = link(parts(rows, "text", key), key, scope).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "kind", "end"))).alias("spans"))
+    found = cut(parts(rows, "text", key))  # the texts are searched once; base, weak and strong parts are read from there
+    spans = link(found, key, scope).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "kind", "end"))).alias("spans"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
     none = F.array().cast("array<struct<start:long,order:int,kind:string,end:long>>")
     return rows.select(*key).alias("r").join(spans.alias("s"), same, "left").select(F.col("r.id").alias("id"), F.coalesce(F.col("spans").cast("array<struct<start:long,order:int,kind:string,end:long>>"), none).alias("spans"))
