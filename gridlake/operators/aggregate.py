@@ -10,14 +10,60 @@ from ..frame import by_time, days_in_month, joined_back
 METRICS = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0))}
 
 
+#: Sketches of quantiles are off by one in ACCURACY of a key's values at most; brackets reach MARGIN times as far.
+ACCURACY, MARGIN = 10_000, 3
+
+
 def metric(df: DataFrame, key: list[str], value: str, kind: str) -> DataFrame:
     """One value a key; the sum of nothing but missing values is 0."""
+    if kind == "median":
+        return quantiles(df, key, value, [0.5]).withColumn("p", F.col("p")[0]).withColumnRenamed("p", value)
     return df.groupBy(*key).agg(METRICS[kind](value).alias(value))
 
 
+def quantiles(df: DataFrame, key: list[str], value: str, q: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(key, p): exact quantiles (0-1) of each key as an array, linear between values, however many values a key has.
+
+    Keys of up to `accuracy` values are gathered. For any other a sketch, merged
+    from partial ones, gives a bracket of values that each quantile must lie in.
+    Values outside all brackets are counted at the next bracket's start, so
+    partial aggregation leaves of them one row a bracket; those inside are
+    ranked. So a task sorts about 2 * MARGIN / accuracy of a large key's values
+    for each quantile. NaN counts as missing; a key of nothing but missing
+    values has NULLs; a NULL key is a key.
+    """
+    if not key:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, q, accuracy).drop("_all")
+    v = F.col(value).cast("double")
+    some = df.select(*key, F.when(~F.isnan(v), v).alias("_v"))
+    large = some.groupBy(*key).agg(F.count("_v").alias("_n")).where(F.col("_n") > accuracy)
+    few = joined_back(some, large, key, "left_anti").groupBy(*key).agg(F.percentile("_v", [float(x) for x in q]).alias("p"))
+    many = joined_back(some.where("_v IS NOT NULL"), large, key)
+    levels, reach = sorted(set(q)), MARGIN / accuracy
+    sketch = many.groupBy(*key).agg(F.percentile_approx("_v", [min(max(x + d, 0.0), 1.0) for x in levels for d in (-reach, reach)], accuracy).alias("_ends"))
+    at, end = F.col("_v"), F.col("_ends")
+    inside, starts = F.lit(False), [F.lit(None), F.lit(None)]
+    for i, x in enumerate(levels):  # a bracket that would begin below 0 or end beyond 1 is open there
+        above = at >= end[2 * i] if x > reach else F.lit(True)
+        inside = inside | (above & (at <= end[2 * i + 1] if x < 1 - reach else F.lit(True)))
+        starts.append(F.when(~above, end[2 * i]))
+    counted_at = F.when(inside, at).otherwise(F.coalesce(F.least(*[s.cast("double") for s in starts]), end[2 * len(levels) - 1]))
+    counted = joined_back(many, sketch, key).groupBy(*key, "_n", counted_at.alias("_at")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+
+    def pick(x: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(float(x))
+        low, high = (F.min(F.when(F.col("_upto") > f(place), F.col("_at"))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+    ranked = counted.withColumn("_upto", F.sum("_c").over(upto)).groupBy(*key).agg(F.array(*[pick(x) for x in q]).alias("p"))
+    return few.unionByName(ranked)
+
+
 def percentiles(df: DataFrame, key: list[str], value: str, levels: list[float]) -> DataFrame:
     """Exact percentiles (0-100), linear between values, one row each."""
-    found = df.groupBy(*key).agg(F.percentile(value, [x / 100 for x in levels]).alias("p"))
+    found = quantiles(df, key, value, [x / 100 for x in levels])
     return found.select(*key, F.posexplode("p").alias("i", value)).select(*key, F.element_at(F.array(*[F.lit(float(x)) for x in levels]), F.col("i") + 1).alias("percentile"), value)
 
 
@@ -38,7 +84,7 @@ def day_weighted_year(df: DataFrame, key: list[str], value: str, time: str = "ti
 
 def resample(df: DataFrame, key: list[str], value: str, unit: str, kind: str, time: str = "time") -> DataFrame:
     """One value a day, month or year, under its first instant."""
-    return metric(df.withColumn(time, F.date_trunc(unit, time)), [*key, time], value, kind)
+    return df.withColumn(time, F.date_trunc(unit, time)).groupBy(*key, time).agg(METRICS[kind](value).alias(value))
 
 
 def bins_of_days(df: DataFrame, key: list[str], value: str, n: int, kind: str, time: str = "time") -> DataFrame:
@@ -155,14 +201,14 @@ def grouped_exceedance(
 
 
 def metric_and_percentiles(df: DataFrame, key: list[str], value: str, kind: str, levels: list[float]) -> DataFrame:
-    """A metric and exact percentiles side by side, from one aggregation: value_kind, value_pLEVEL."""
-    found = df.groupBy(*key).agg(METRICS[kind](value).alias(f"{value}_{kind}"), F.percentile(value, [x / 100 for x in levels]).alias("_p"))
-    return found.select(*key, f"{value}_{kind}", *[F.col("_p")[i].alias(f"{value}_p{x:g}") for i, x in enumerate(levels)])
+    """A metric and exact percentiles side by side: value_kind, value_pLEVEL."""
+    found = joined_back(metric(df, key, value, kind).withColumnRenamed(value, f"{value}_{kind}"), quantiles(df, key, value, [x / 100 for x in levels]), key)
+    return found.select(*key, f"{value}_{kind}", *[F.col("p")[i].alias(f"{value}_p{x:g}") for i, x in enumerate(levels)])
 
 
 def daily_quantile(df: DataFrame, key: list[str], value: str, kind: str, q: float, time: str = "time") -> DataFrame:
     """The quantile over time of daily extremes."""
-    return resample(df, key, value, "day", kind, time).groupBy(*key).agg(F.percentile(value, q).alias(value))
+    return quantiles(resample(df, key, value, "day", kind, time), key, value, [q]).select(*key, F.col("p")[0].alias(value))
 
 
 def day_weighted_rolling(df: DataFrame, key: list[str], value: str, n: int, time: str = "time") -> Column:

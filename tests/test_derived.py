@@ -29,6 +29,24 @@ def hours(spark, start, n):
     return spark.range(n).select(F.lit("a").alias("k"), F.expr(f"timestampadd(HOUR, id, timestamp_ntz'{start}')").alias("time"), F.col("id").cast("double").alias("v"))
 
 
+def test_quantiles_of_large_and_small_keys(spark):
+    rng, q = np.random.default_rng(5), [0.0, 0.0002, 0.05, 0.5, 0.77, 0.9999, 1.0, 0.5]
+    have = {
+        "even": rng.random(5000), "tail": np.exp(rng.normal(0, 4, 5001)), "ties": rng.integers(0, 3, 6000).astype(float), "one": np.full(3000, 7.0),
+        "small": rng.random(9), "two": np.array([1.0, 2.0]), None: rng.normal(0, 1, 4000),
+    }
+    rows = pd.DataFrame([(k, float(x)) for k, v in have.items() for x in v], columns=["k", "v"]).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(rows.astype({"k": object}), "k string, v double").repartition(7)
+    df = df.unionByName(spark.createDataFrame([("none", None), ("none", float("nan")), ("even", None), ("tail", float("nan"))], "k string, v double"))
+    got = {r.k: r.p for r in aggregate.quantiles(df, ["k"], "v", q, accuracy=500).collect()}
+    assert set(got) == {*have, "none"} and (got["none"] is None or set(got["none"]) == {None})
+    for k, v in have.items():
+        assert got[k] == pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-12), k
+    whole = np.concatenate(list(have.values()))
+    assert aggregate.quantiles(df, [], "v", [0.3], accuracy=500).first().p[0] == pytest.approx(np.quantile(whole, 0.3), rel=1e-12)
+    assert aggregate.quantiles(df.limit(0), ["k"], "v", q).isEmpty()
+
+
 def test_local_time_gap_and_repeat(spark):
     spring = clock.to_local(hours(spark, "2020-03-08 06:00:00", 8), ["k"], "America/Los_Angeles", reindex=True).orderBy("time").collect()
     assert [r.time.hour for r in spring] == [22, 23, 0, 1, 2, 3, 4, 5, 6] and [r.v for r in spring][4] is None
