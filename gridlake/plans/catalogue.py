@@ -375,8 +375,9 @@ register(
     SELECT point, count(*) AS n, max(v) AS high FROM la JOIN lo USING (point) JOIN c USING (lat, lon) JOIN grid USING (cell_id) WHERE NOT (month("time") = 2 AND day("time") = 29) GROUP BY point""",
 )(
     lambda s, d: select.batch_points(
-        grid(s, d), cells(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point"), (32 + F.col("c_custkey") % 97 / 10).alias("at"), (-124 + F.col("c_custkey") % 41 / 8).alias("on"))
-    ).groupBy("point").agg(F.count("*").alias("n"), F.max("v").alias("high"))
+        grid(s, d), cells(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point"), (32 + F.col("c_custkey") % 97 / 10).alias("at"), (-124 + F.col("c_custkey") % 41 / 8).alias("on")),
+        stats=[F.count("*").alias("n"), F.max("v").alias("high")],
+    )
 )
 register(
     "block_max_grouped",

@@ -120,3 +120,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, live.window_stats(rows, ["k"], "v").collect()))
+
+
+def test_statistics_of_many_points(spark):
+    rng = np.random.default_rng(8)
+    lats, lons = [30.0, 30.5, 31.0, 33.0, 33.125, 40.0], [-120.0, -119.75, -119.0, -110.0]
+    cells = spark.createDataFrame([(10 * i + j, a, b) for i, a in enumerate(lats) for j, b in enumerate(lons)] + [(99, 30.5, -119.0), (98, None, -119.0)], "cell_id long, lat double, lon double")
+    df = spark.createDataFrame([(int(c), float(c * 7 % 13)) for c in rng.permutation(100)], "cell_id long, v double").withColumn("time", F.lit("1996-03-01 00:00:00").cast("timestamp_ntz"))
+    places = [(float(a), float(b)) for a, b in zip(rng.uniform(25, 45, 300), rng.uniform(-125, -105, 300), strict=True)]
+    places += [(30.25, -119.375), (33.0625, -114.5), (None, -200.0), (1e300, float("nan")), (float("-inf"), 1e17), (30.5, -119.0)]
+    rows = [(i % 290, *p) for i, p in enumerate(places)]  # some points have two places
+    points = spark.createDataFrame(rows, "point int, at double, on double")
+    stats = [F.count("*").alias("n"), F.max("v").alias("high"), F.avg("v").alias("mean")]
+
+    def nearest(axis, x):
+        return min(axis, key=lambda a: (0.0 if x is None or math.isnan(x) else abs(a - x), a))
+
+    of_point = {}
+    for k, a, b in rows:
+        i, j = lats.index(nearest(lats, a)), lons.index(nearest(lons, b))
+        of_point.setdefault(k, []).extend(c * 7 % 13 for c in [10 * i + j, *([99] if (i, j) == (1, 2) else [])])
+    got = {r.point: (r.n, r.high, round(r["mean"], 9)) for r in select.batch_points(df, cells, points, stats=stats).collect()}
+    assert got == {k: (len(v), max(v), round(sum(v) / len(v), 9)) for k, v in of_point.items()}
+    one = spark.createDataFrame([(1, 5.0, 6.0)], "cell_id long, lat double, lon double")
+    assert {r.cell_id for r in select.nearest_cells(one, [(4.0, 9.0), (5.0, 6.0)]).collect()} == {1}
