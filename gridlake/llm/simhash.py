@@ -56,12 +56,16 @@ SMALL, SPLIT = 8, 8192
 GENERATOR = 0xC75
 
 
+def codewords() -> np.ndarray:
+    """The 4,096 words of the code, by their index."""
+    words = np.arange(1 << 12, dtype=np.int64) << 11
+    return words | _syndrome(words)
+
+
 @lru_cache(1)
 def _golay() -> np.ndarray:
     """For each syndrome the patterns that lead from a word to its codewords, -1 after the last."""
-    words = np.arange(1 << 12, dtype=np.int64) << 11
-    codewords = words | _syndrome(words)
-    heavy = codewords[np.bitwise_count(codewords) == 7]
+    heavy = codewords()[np.bitwise_count(codewords()) == 7]
     table = np.full((2048, 6), -1, np.int64)
     bits = [1 << i for i in range(23)]
     for e in [0, *bits, *(a | b for i, a in enumerate(bits) for b in bits[:i])]:

@@ -1,14 +1,21 @@
-"""Near duplicates by exact Jaccard similarity of word-shingle sets.
+"""Near duplicates by exact Jaccard similarity of word-shingle sets, found by SimHash and Golay codes.
 
-Candidates are found by MinHash: BANDS keys of ROWS minima each, so that two sets
-of similarity J share a key with probability 1 - (1 - J**ROWS)**BANDS, which is
-1 - 3e-6 at 0.8 and more above. Every candidate is then verified on the two sets
-themselves; nothing links by a sketch alone.
+The fingerprint of a set is SimHash's, wider: SEGMENTS words of 23 bits, each bit
+with the sum behind it. Bits near a tie are the ones that differ between similar
+sets, so a segment is decoded softly: to the NEAR codewords of the binary Golay
+code that agree best with its sums. Two segments make a table, whose keys are all
+pairs of their codewords. At a similarity of 0.8 two sets share a codeword of a
+segment with probability 0.734, so a key of any of the 16 tables with 1 - 4e-6
+(more above 0.8). Rows with equal keys meet; 128 bits of the sets'
+minima turn away pairs that are far from alike. Every other pair is then
+verified on the two sets themselves; nothing links by a fingerprint alone.
 
-A node is a distinct set, so copies cost nothing. A key of up to SMALL nodes
-gives all its pairs, which are verified once however many keys they share. On a
-larger key each node is compared until a spanning forest of all its links is
-found; beyond SPLIT nodes it is dealt in pairs of blocks.
+A node is a distinct set, so copies cost nothing. The first tables join most of
+what is alike; the others give only pairs that are not joined by then. A key of
+up to SMALL nodes gives its pairs, which are verified once however many keys they
+share. On a larger key with more pairs than nodes each node is compared until a
+spanning forest of all its links is found; beyond SPLIT nodes it is dealt in
+pairs of blocks.
 
 Defined results: words are those of simhash (white space, A-Z lower-cased); a text
 of fewer words than a shingle is one shingle; a null text is an empty one, and
@@ -18,6 +25,7 @@ empty sets are alike. Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .run import cut, spread_join
-from .simhash import components, shingle_hashes
+from .simhash import codewords, components, hot_keys, shingle_hashes
 from .text import blocks, mix, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
+SEGMENTS, NEAR = 32, 3
+KEYS = SEGMENTS // 2 * NEAR * NEAR
+#: One bit of each of 128 minima: sets of similarity 0.8 differ in 12.8, others in half of them; pairs that differ in
+#: more than FAR, 5.5 deviations above, are not verified.
+FAR = 31
+SMALL, SPLIT = 24, 4096
+#: Tables whose links are made first; the others then look only for links between what is not joined yet.
+FIRST = 2
+#: Up to FEW nodes are broadcast to choose their texts, of more the texts are shuffled.
+FEW = 1_000_000
+#: Columns of the 128 bits.
+BITS = ["b0", "b1"]
+#: Words of 64 bits for the segments.
+_WORDS = 12
+_MORE = np.random.default_rng(21).integers(0, 1 << 63, _WORDS).astype(np.uint64)
+_TURN, _BY = np.random.default_rng(22).integers(0, 1 << 63, (2, 128)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: MinHash keys, of which no query makes use; tests measure by them.
 BANDS, ROWS = 24, 4
-SMALL, SPLIT = 8, 4096
 _RNG = np.random.default_rng(20)
 _FLIP, _TIMES = _RNG.integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,8 +79,60 @@ def nodes(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def sums(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash's sums of each set: how many more ones than zeros its hashes have in each of 768 bits."""
+    ones = np.zeros((len(size), _WORDS, 64), np.int32)
+    some = np.flatnonzero(size)
+    if len(some):
+        # eight byte-wide counters in a word, summed over runs of 255 hashes at most
+        runs = -(-size[some] // 255)
+        begun = np.cumsum(runs) - runs
+        before = (np.cumsum(size) - size)[some]
+        starts = np.repeat(before, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(begun, runs))
+        for i in range(_WORDS):
+            x = mix(h ^ _MORE[i])
+            for k in range(8):
+                part = np.add.reduceat((x >> np.uint64(k)) & np.uint64(0x0101010101010101), starts).view(np.uint8).reshape(-1, 8)
+                ones[some, i, k::8] = np.add.reduceat(part, begun, axis=0, dtype=np.int32)
+    return (2 * ones - size[:, None, None]).reshape(len(size), -1)
+
+
+@lru_cache(1)
+def _code() -> np.ndarray:
+    """The codewords as columns of 1 and -1."""
+    return ((codewords()[None, :] >> np.arange(23)[:, None] & 1) * 2 - 1).astype(np.float32)
+
+
+def fingerprints(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the NEAR codewords of each segment, and the 128 bits for FAR."""
+    total = sums(h, size)
+    word = total[:, : SEGMENTS * 23].reshape(-1, 23).astype(np.float32)
+    near = np.zeros((len(word), NEAR), np.int16)
+    for lo in range(0, len(word), 256):
+        agree = word[lo : lo + 256] @ _code()
+        row = np.arange(len(agree))
+        for i in range(NEAR):
+            best = agree.argmax(1)
+            near[lo : lo + 256, i] = best
+            agree[row, best] = -np.inf
+    low = np.zeros((len(size), 128), np.uint8)
+    some = np.flatnonzero(size)
+    at = (np.cumsum(size) - size)[some]
+    for i in range(128 if len(some) else 0):
+        low[some, i] = np.minimum.reduceat((h ^ _TURN[i]) * _BY[i], at) >> np.uint64(32) & np.uint64(1)
+    bits = np.packbits(low, axis=1).view(np.uint64)
+    return near.reshape(len(size), SEGMENTS, NEAR), bits
+
+
+def keys(near: np.ndarray) -> np.ndarray:
+    """The KEYS keys of each set, by the codewords of its segments."""
+    n = near.astype(np.uint64)
+    both = n[:, ::2, :, None] << np.uint64(12) | n[:, 1::2, None, :]
+    return mix(both | (np.arange(SEGMENTS // 2, dtype=np.uint64) << np.uint64(24))[:, None, None]).reshape(len(near), KEYS)
+
+
 def band_keys(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """BANDS keys of each set."""
+    """BANDS MinHash keys of each set, a second way to similar sets to compare with."""
     out = np.zeros((len(size), BANDS), np.uint64)
     some = np.flatnonzero(size)
     at = (np.cumsum(size) - size)[some]
@@ -70,21 +146,91 @@ def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _signed(shingle: int, keys: bool):
-    """id, fp, node and band keys of each row; or node and text."""
+def _signed(shingle: int):
+    """id, fp, node, codewords and bits of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch["text"])
             for lo, hi in blocks(texts):
                 h, size = shingle_sets(texts[lo:hi], shingle)
-                node = pa.array(nodes(h, size).view(np.int64))
+                near, bits = fingerprints(h, size)
                 part = batch.slice(lo, hi - lo)
-                if keys:
-                    k = _lists(band_keys(h, size).ravel(), np.full(hi - lo, BANDS))
-                    yield pa.RecordBatch.from_arrays([part["id"], part["fp"], node, k], ["id", "fp", "node", "k"])
-                else:
-                    yield pa.RecordBatch.from_arrays([node, part["text"]], ["node", "text"])
+                packed = pa.array([x.tobytes() for x in near], pa.binary())
+                more = [pa.array(x) for x in bits.view(np.int64).T.copy()]
+                yield pa.RecordBatch.from_arrays([part["id"], part["fp"], pa.array(nodes(h, size).view(np.int64)), packed, *more], ["id", "fp", "node", "near", *BITS])
+
+    return run
+
+
+def _keyed(tables: range):
+    """(k, node, root, b0, b1) of each key of each node in some of the tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                near = np.frombuffer(b"".join(part["near"].to_pylist()), np.int16).reshape(-1, SEGMENTS, NEAR)
+                k = keys(near).reshape(len(near), SEGMENTS // 2, -1)[:, tables.start : tables.stop].reshape(len(near), -1)
+                rest = (np.repeat(part[c].to_numpy(zero_copy_only=False), k.shape[1]) for c in ("node", "root", *BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *map(pa.array, rest)], ["k", "node", "root", *BITS])
+
+    return run
+
+
+def _within(small: int):
+    """On rows sorted by key: pairs of different roots that may be alike (m = 0); of keys that give many, (key, node) (m: how many nodes)."""
+
+    def complete(k: np.ndarray, node: np.ndarray, root: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(start, len(k)))
+        of = np.repeat(size, size)
+        u, v, m = [], [], []
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)) <= FAR
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            u.append(np.minimum(node[i], node[j]))
+            v.append(np.maximum(node[i], node[j]))
+            m.append(np.zeros(len(i), np.int64))
+
+        for d in range(1, min(small, int(size.max()))):
+            i = np.flatnonzero((k[d:] == k[:-d]) & (of[d:] <= small) & (root[d:] != root[:-d]))
+            i = i[near(i, i + d)]
+            add(i, i + d)
+        for at, n in zip(start[size > small], size[size > small], strict=True):
+            own = np.arange(at, at + n)
+            if (root[own] == root[at]).all():
+                continue
+            if n <= 2048:
+                i, j = np.nonzero(np.triu(near(own[:, None], own) & (root[own][:, None] != root[own])))
+                if len(i) <= n:
+                    add(own[i], own[j])
+                    continue
+                own = own[np.unique(np.concatenate((i, j)))]
+            u.append(k[own])
+            v.append(node[own])
+            m.append(np.full(len(own), len(own)))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v, m)], ["u", "v", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list[np.ndarray]] = []  # the last key so far, of which more may come
+        for batch in batches:
+            x = [batch[c].to_numpy(zero_copy_only=False) for c in ("k", "node", "root", *BITS)]
+            if not len(x[0]):
+                continue
+            if rest and rest[0][0][0] == x[0][-1]:
+                rest.append(x)
+                continue
+            done = int(np.searchsorted(x[0], x[0][-1]))
+            both = [np.concatenate(c) for c in zip(*rest, [c[:done] for c in x], strict=True)]
+            if len(both[0]):
+                yield from complete(*both)
+            rest = [[c[done:] for c in x]]
+        if rest:
+            yield from complete(*(np.concatenate(c) for c in zip(*rest, strict=True)))
 
     return run
 
@@ -94,7 +240,8 @@ def _sets(shingle: int):
         for batch in batches:
             texts = utf8(batch["text"])
             for lo, hi in blocks(texts):
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(lo, hi - lo), _lists(*shingle_sets(texts[lo:hi], shingle))], ["node", "s"])
+                h, size = shingle_sets(texts[lo:hi], shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes(h, size).view(np.int64)), _lists(h, size)], ["node", "s"])
 
     return run
 
@@ -138,25 +285,42 @@ def _dealt(similarity: float):
     return run
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, root) of each row: fp a hash of its text, root the same for all rows joined by links of at least `similarity`."""
-    kind = df.schema[id].dataType.simpleString()
-    docs = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
-    rows = cut(docs.mapInArrow(_signed(shingle, True), f"id {kind}, fp long, node long, k array<long>"))
-    keyed = rows.dropDuplicates(["node"]).select("node", F.explode("k").alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    met = cut(keyed.join(sizes, "k"))
-    some = met.select("node").distinct()
-    texts = docs.mapInArrow(_signed(shingle, False), "node long, text string").join(some, "node", "left_semi").dropDuplicates(["node"])
+def _links(docs: DataFrame, single: DataFrame, tables: range, similarity: float, shingle: int) -> DataFrame:
+    """(u, v): verified links of nodes that have a key of some tables in common and different roots."""
+    keyed = single.mapInArrow(_keyed(tables), "k long, node long, root long, b0 long, b1 long")
+    hot, dealt = hot_keys(keyed, single.count()), None
+    if hot is not None:
+        dealt = keyed.join(F.broadcast(hot), "k")
+        apart = dealt.groupBy("k").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("k")
+        dealt = dealt.join(F.broadcast(apart), "k", "left_semi").select("k", "node", "m")
+        keyed = keyed.join(F.broadcast(hot), "k", "left_anti")
+    met = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_within(min(SMALL, SPLIT)), "u long, v long, m long"))
+    pairs = cut(met.where("m = 0").select("u", "v").distinct())
+    many = met.where("m > 0").select(F.col("u").alias("k"), F.col("v").alias("node"), "m")
+    many = many if dealt is None else many.unionByName(dealt)
+    some = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct()
+    some = cut(single.join(some, "node", "left_semi").select("fp"))
+    some = F.broadcast(some) if some.count() <= FEW else some
+    texts = docs.join(some, "fp", "left_semi").dropDuplicates(["fp"]).select("text")
     sets = cut(texts.mapInArrow(_sets(shingle), "node long, s array<long>"))
-    few = met.where(F.col("m") <= SMALL)
-    pairs = few.alias("a").join(few.alias("b"), "k").where("a.node < b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     both = pairs.join(sets.withColumnsRenamed({"node": "u", "s": "su"}), "u").join(sets.withColumnsRenamed({"node": "v", "s": "sv"}), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     links = both.where(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select("u", "v")
-    many = met.where(F.col("m") > SMALL).withColumn("n", F.ceil(F.col("m") / (SPLIT // 2)).cast("int")).withColumn("n", F.when(F.col("m") <= SPLIT, 1).otherwise(F.col("n")))
+    many = many.withColumn("n", F.ceil(F.col("m") / (SPLIT // 2)).cast("int")).withColumn("n", F.when(F.col("m") <= SPLIT, 1).otherwise(F.col("n")))
     many = many.withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     many = many.select("k", "node", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "node")
-    links = links.union(many.groupBy("k", "i", "j").applyInArrow(_dealt(similarity), "u long, v long")).distinct()
-    roots = components(links)
-    return spread_join(rows.select("id", "fp", "node"), roots, "node", "left").select("id", "fp", F.coalesce("root", "node").alias("root"))
+    return cut(links.union(many.groupBy("k", "i", "j").applyInArrow(_dealt(similarity), "u long, v long")).distinct())
+
+
+def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp, root) of each row: fp a hash of its text, root the same for all rows joined by links of at least `similarity`."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"the keys are made for a similarity of {SIMILARITY} or more")
+    kind = df.schema[id].dataType.simpleString()
+    docs = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+    rows = cut(docs.mapInArrow(_signed(shingle), f"id {kind}, fp long, node long, near binary, " + ", ".join(f"{b} long" for b in BITS)))
+    single = cut(rows.select("node", "fp", "near", *BITS).dropDuplicates(["node"]))
+    links = _links(docs, single.withColumn("root", F.col("node")), range(FIRST), similarity, shingle)
+    joined = single.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links.union(_links(docs, cut(joined), range(FIRST, SEGMENTS // 2), similarity, shingle))
+    return spread_join(rows.select("id", "fp", "node"), components(links), "node", "left").select("id", "fp", F.coalesce("root", "node").alias("root"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as pipeline
-from gridlake.llm import similar
+from gridlake.llm import similar, simhash
 
 from . import brute
 
@@ -84,6 +84,21 @@ def test_band_keys_meet_at_the_least_similarity():
     assert met == 2000
 
 
+def test_golay_keys_meet_at_the_least_similarity():
+    rng = np.random.default_rng(6)
+    for n, lost in [(9, 1), (90, 10), (270, 30)]:  # n - lost shared of n + lost: 0.8
+        pairs = [rng.integers(0, 1 << 63, n + lost).astype(np.uint64) for _ in range(300)]
+        near, bits = similar.fingerprints(np.concatenate([y for x in pairs for y in (x[:n], x[lost:])]), np.full(600, n))
+        k = similar.keys(near)
+        assert all(len(np.intersect1d(a, b)) for a, b in zip(k[::2], k[1::2], strict=True))
+        assert (np.bitwise_count(bits[::2] ^ bits[1::2]).sum(1) <= similar.FAR).all()
+    # the first codeword of a segment is the one that agrees best with the signs and sums of its bits
+    h = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    size = np.array([0, 50])
+    agree = similar.sums(h, size)[:, : similar.SEGMENTS * 23].reshape(2, -1, 23) @ (simhash.codewords()[None, :] >> np.arange(23)[:, None] & 1)
+    assert (similar.fingerprints(h, size)[0][1, :, 0] == np.argmax(2 * agree[1] - similar.sums(h, size)[1, : similar.SEGMENTS * 23].reshape(-1, 23).sum(1)[:, None], axis=1)).all()
+
+
 def test_different_texts_with_null_or_repeated_ids_stay(spark):
     rng = random.Random(5)
     a, b, c, d, e = (prose(rng, 120) for _ in range(5))
