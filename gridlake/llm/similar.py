@@ -7,15 +7,15 @@ code that agree best with its sums. Two segments make a table, whose keys are al
 pairs of their codewords. At a similarity of 0.8 two sets share a codeword of a
 segment with probability 0.734, so a key of any of the 16 tables with 1 - 4e-6
 (more above 0.8). Rows with equal keys meet; 128 bits of the sets'
-minima turn away pairs that are far from alike. Every other pair is then
+minima turn away pairs that are far from alike. All links are
 verified on the two sets themselves; nothing links by a fingerprint alone.
 
-A node is a distinct set, so copies cost nothing. The first tables join most of
-what is alike; the others give only pairs that are not joined by then. A key of
-up to SMALL nodes gives its pairs, which are verified once however many keys they
-share. On a larger key with more pairs than nodes each node is compared until a
-spanning forest of all its links is found; beyond SPLIT nodes it is dealt in
-pairs of blocks.
+A node is a distinct set, so copies cost nothing. What meets with near bits is joined
+into groups by a spanning forest of each key, never by all its pairs: the first
+tables join most of what is alike, the others give only edges between what is not
+joined by then. A group holds all links of its nodes, and more than is alike; so
+within it every two nodes with near bits that no links join yet are compared on
+their sets. A set is sent to its group once, or once for each block of a large one.
 
 Defined results: words are those of simhash (white space, A-Z lower-cased); a text
 of fewer words than a shingle is one shingle; a null text is an empty one, and
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .run import cut, spread_join
-from .simhash import codewords, components, hot_keys, shingle_hashes
+from .simhash import codewords, components, shingle_hashes
 from .text import blocks, mix, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -42,10 +42,15 @@ KEYS = SEGMENTS // 2 * NEAR * NEAR
 #: One bit of each of 128 minima: sets of similarity 0.8 differ in 12.8, others in half of them; pairs that differ in
 #: more than FAR, 5.5 deviations above, are not verified.
 FAR = 31
-SMALL, SPLIT = 24, 4096
-#: Tables whose links are made first; the others then look only for links between what is not joined yet.
+#: Keys of up to SMALL nodes give all their pairs, up to KEY a spanning forest; larger ones join all their nodes.
+SMALL, KEY = 8, 4096
+#: Groups of more than SPLIT nodes are verified in pairs of blocks. A set is sent to as many tasks as there are blocks,
+#: to COPIES at most as long as no block has more than MOST nodes or WEIGHT shingles.
+SPLIT, COPIES, MOST, WEIGHT = 128, 24, 2048, 1 << 20
+#: Tables that are joined first; the others then give only edges between what is not joined yet.
 FIRST = 2
-#: Up to FEW nodes are broadcast to choose their texts, of more the texts are shuffled.
+#: Up to FEW nodes are broadcast to choose their texts, of more the texts are shuffled; up to FEW edges (16 MB) are
+#: joined on the driver, more by label propagation.
 FEW = 1_000_000
 #: Columns of the 128 bits.
 BITS = ["b0", "b1"]
@@ -147,7 +152,7 @@ def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _signed(shingle: int):
-    """id, fp, node, codewords and bits of each row."""
+    """id, fp, node, its number of shingles, codewords and bits of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,67 +163,111 @@ def _signed(shingle: int):
                 part = batch.slice(lo, hi - lo)
                 packed = pa.array([x.tobytes() for x in near], pa.binary())
                 more = [pa.array(x) for x in bits.view(np.int64).T.copy()]
-                yield pa.RecordBatch.from_arrays([part["id"], part["fp"], pa.array(nodes(h, size).view(np.int64)), packed, *more], ["id", "fp", "node", "near", *BITS])
+                own = [pa.array(nodes(h, size).view(np.int64)), pa.array(size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part["id"], part["fp"], *own, packed, *more], ["id", "fp", "node", "size", "near", *BITS])
 
     return run
 
 
+def _table_keys(batch: pa.RecordBatch, tables: range) -> np.ndarray:
+    """The keys of each node in some of the tables."""
+    near = np.frombuffer(b"".join(batch["near"].to_pylist()), np.int16).reshape(-1, SEGMENTS, NEAR)
+    return keys(near).reshape(len(near), SEGMENTS // 2, -1)[:, tables.start : tables.stop].reshape(len(near), -1)
+
+
 def _keyed(tables: range):
-    """(k, node, root, b0, b1) of each key of each node in some of the tables."""
+    """(k, root, b0, b1) of each key of each node in some of the tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                near = np.frombuffer(b"".join(part["near"].to_pylist()), np.int16).reshape(-1, SEGMENTS, NEAR)
-                k = keys(near).reshape(len(near), SEGMENTS // 2, -1)[:, tables.start : tables.stop].reshape(len(near), -1)
-                rest = (np.repeat(part[c].to_numpy(zero_copy_only=False), k.shape[1]) for c in ("node", "root", *BITS))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *map(pa.array, rest)], ["k", "node", "root", *BITS])
+                k = _table_keys(part, tables)
+                rest = (np.repeat(part[c].to_numpy(zero_copy_only=False), k.shape[1]) for c in ("root", *BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *map(pa.array, rest)], ["k", "root", *BITS])
 
     return run
 
 
-def _within(small: int):
-    """On rows sorted by key: pairs of different roots that may be alike (m = 0); of keys that give many, (key, node) (m: how many nodes)."""
+def _often(tables: range, share: float):
+    """Keys that more than `share` of the nodes of a batch have: a key that more than that of all nodes have is one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                k, n = np.unique(_table_keys(batch, tables), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k[n > share * batch.num_rows - 1e-9].view(np.int64))], ["k"])
+
+    return run
 
-    def complete(k: np.ndarray, node: np.ndarray, root: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        size = np.diff(np.append(start, len(k)))
-        of = np.repeat(size, size)
-        u, v, m = [], [], []
 
-        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)) <= FAR
+def _hot_keys(single: DataFrame, keyed: DataFrame, tables: range) -> DataFrame | None:
+    """(k, least) of the keys that more than KEY and more than n / 120 of the n nodes have, if any: their smallest root.
 
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            u.append(np.minimum(node[i], node[j]))
-            v.append(np.maximum(node[i], node[j]))
-            m.append(np.zeros(len(i), np.int64))
+    A node has KEYS keys at most, so there are fewer than 120 * KEYS of them.
+    """
+    n = single.count()
+    most = max(KEY, n // 120)
+    if n <= most:
+        return None
+    often = cut(single.select("near").mapInArrow(_often(tables, most / n), "k long").distinct())
+    if often.isEmpty():
+        return None
+    counted = keyed.join(often, "k", "left_semi") if often.count() > FEW else keyed.join(F.broadcast(often), "k", "left_semi")
+    hot = cut(counted.groupBy("k").agg(F.count("*").alias("m"), F.min("root").alias("least")).where(F.col("m") > most).select("k", "least"))
+    return None if hot.isEmpty() else hot
 
+
+def _apart(b0: np.ndarray, b1: np.ndarray, i: np.ndarray | slice, j: np.ndarray | int) -> np.ndarray:
+    """In how many of the 128 bits i and j differ."""
+    return np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
+
+
+def _within(small: int, most: int):
+    """On rows sorted by key: edges (u, v) between roots that join all that may be alike and has a key in common.
+
+    Of a key of up to `small` rows these are all pairs, beyond that a spanning
+    forest, and beyond `most` rows all of it is joined to its smallest root.
+    """
+
+    def complete(k: np.ndarray, root: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(start, len(k)))
+        of = np.repeat(size, size)
+        u, v = [root[:0]], [root[:0]]
         for d in range(1, min(small, int(size.max()))):
             i = np.flatnonzero((k[d:] == k[:-d]) & (of[d:] <= small) & (root[d:] != root[:-d]))
-            i = i[near(i, i + d)]
-            add(i, i + d)
+            i = i[_apart(b0, b1, i, i + d) <= FAR]
+            u.append(root[i])
+            v.append(root[i + d])
         for at, n in zip(start[size > small], size[size > small], strict=True):
-            own = np.arange(at, at + n)
-            if (root[own] == root[at]).all():
+            own = root[at : at + n]
+            if (own == own[0]).all():
                 continue
-            if n <= 2048:
-                i, j = np.nonzero(np.triu(near(own[:, None], own) & (root[own][:, None] != root[own])))
-                if len(i) <= n:
-                    add(own[i], own[j])
-                    continue
-                own = own[np.unique(np.concatenate((i, j)))]
-            u.append(k[own])
-            v.append(node[own])
-            m.append(np.full(len(own), len(own)))
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v, m)], ["u", "v", "m"])
+            if n > most:
+                u.append(np.full(n, own.min()))
+                v.append(own)
+                continue
+            left = np.arange(at, at + n)
+            while len(left) > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    q = queue.pop()
+                    near = _apart(b0, b1, left, q) <= FAR
+                    found, left = left[near], left[~near]
+                    u.append(np.full(len(found), root[q]))
+                    v.append(root[found])
+                    queue.extend(found)
+        both = np.concatenate(u), np.concatenate(v)
+        pairs = np.stack([np.minimum(*both), np.maximum(*both)], 1)
+        pairs = np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []  # the last key so far, of which more may come
         for batch in batches:
-            x = [batch[c].to_numpy(zero_copy_only=False) for c in ("k", "node", "root", *BITS)]
+            x = [batch[c].to_numpy(zero_copy_only=False) for c in ("k", "root", *BITS)]
             if not len(x[0]):
                 continue
             if rest and rest[0][0][0] == x[0][-1]:
@@ -236,17 +285,20 @@ def _within(small: int):
 
 
 def _sets(shingle: int):
+    """The texts' sets in place of the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch["text"])
             for lo, hi in blocks(texts):
                 h, size = shingle_sets(texts[lo:hi], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes(h, size).view(np.int64)), _lists(h, size)], ["node", "s"])
+                part = batch.slice(lo, hi - lo).drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(h, size)], [*part.schema.names, "s"])
 
     return run
 
 
-def forest(node: np.ndarray, flat: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def forest(node: np.ndarray, flat: np.ndarray, size: np.ndarray, bits: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what links among some sets as all links would."""
     start = np.cumsum(size) - size
     left, u, v = np.arange(len(node)), [], []
@@ -256,7 +308,7 @@ def forest(node: np.ndarray, flat: np.ndarray, size: np.ndarray, similarity: flo
             q = queue.pop()
             a = flat[start[q] : start[q] + size[q]]
             able = np.minimum(size[left], size[q]) >= similarity * np.maximum(size[left], size[q]) - 1e-9
-            other = left[able]
+            other = left[able & (_apart(*bits, left, q) <= FAR)]
             if not len(other):
                 continue
             n = size[other]
@@ -279,37 +331,70 @@ def _dealt(similarity: float):
     def run(group: pa.Table) -> pa.Table:
         s = group["s"].combine_chunks()
         flat, size = s.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(s.offsets.to_numpy()).astype(np.int64)
-        u, v = forest(group["node"].to_numpy(), flat, size, similarity)
+        u, v = forest(group["node"].to_numpy(), flat, size, tuple(group[b].to_numpy() for b in BITS), similarity)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _links(docs: DataFrame, single: DataFrame, tables: range, similarity: float, shingle: int) -> DataFrame:
-    """(u, v): verified links of nodes that have a key of some tables in common and different roots."""
-    keyed = single.mapInArrow(_keyed(tables), "k long, node long, root long, b0 long, b1 long")
-    hot, dealt = hot_keys(keyed, single.count()), None
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and of each the smallest that it is joined with."""
+    node, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(node))
+    while len(a):
+        # the larger root of an edge falls to the smaller, then every node to its root's root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return node, node[root]
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of edges (u, v): on the driver for up to FEW edges, else by the executors."""
+    if edges.count() > FEW:
+        return components(edges)
+    found = edges.select("u", "v").toArrow()
+    node, root = joined(found["u"].to_numpy(), found["v"].to_numpy())
+    return cut(edges.sparkSession.createDataFrame(pa.table({"node": node, "root": root}), "node long, root long"))
+
+
+def _candidates(single: DataFrame, tables: range) -> DataFrame:
+    """(u, v): edges between roots that join all nodes of a key of some tables that may be alike."""
+    keyed, joined = single.mapInArrow(_keyed(tables), "k long, root long, b0 long, b1 long"), None
+    hot = _hot_keys(single, keyed, tables)
     if hot is not None:
-        dealt = keyed.join(F.broadcast(hot), "k")
-        apart = dealt.groupBy("k").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("k")
-        dealt = dealt.join(F.broadcast(apart), "k", "left_semi").select("k", "node", "m")
+        joined = keyed.join(F.broadcast(hot), "k").where("least < root").select(F.col("least").alias("u"), F.col("root").alias("v"))
         keyed = keyed.join(F.broadcast(hot), "k", "left_anti")
-    met = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_within(min(SMALL, SPLIT)), "u long, v long, m long"))
-    pairs = cut(met.where("m = 0").select("u", "v").distinct())
-    many = met.where("m > 0").select(F.col("u").alias("k"), F.col("v").alias("node"), "m")
-    many = many if dealt is None else many.unionByName(dealt)
-    some = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct()
-    some = cut(single.join(some, "node", "left_semi").select("fp"))
-    some = F.broadcast(some) if some.count() <= FEW else some
-    texts = docs.join(some, "fp", "left_semi").dropDuplicates(["fp"]).select("text")
-    sets = cut(texts.mapInArrow(_sets(shingle), "node long, s array<long>"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "u", "s": "su"}), "u").join(sets.withColumnsRenamed({"node": "v", "s": "sv"}), "v")
-    shared = F.size(F.array_intersect("su", "sv"))
-    links = both.where(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select("u", "v")
-    many = many.withColumn("n", F.ceil(F.col("m") / (SPLIT // 2)).cast("int")).withColumn("n", F.when(F.col("m") <= SPLIT, 1).otherwise(F.col("n")))
-    many = many.withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    many = many.select("k", "node", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "node")
-    return cut(links.union(many.groupBy("k", "i", "j").applyInArrow(_dealt(similarity), "u long, v long")).distinct())
+    met = keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_within(SMALL, KEY), "u long, v long")
+    return cut((met if joined is None else met.union(joined)).distinct())
+
+
+def _links(docs: DataFrame, single: DataFrame, groups: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, v): links of nodes of equal root in groups (node, root), enough for the same components as all links.
+
+    A group of more than SPLIT nodes is dealt in pairs of blocks, the others some hundred nodes at a time.
+    """
+    some = cut(single.drop("near", "root").join(groups, "node"))
+    of = cut(some.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w")))
+    blocks_of = F.least(F.ceil(F.col("m") / SPLIT), F.greatest(F.lit(COPIES), F.ceil(F.col("m") / MOST)))
+    blocks_of = F.greatest(blocks_of, F.ceil(F.col("w") / WEIGHT)).cast("int")
+    large = of.withColumn("n", blocks_of).where("n > 1").select("root", "n")
+    n, w = some.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    pools = max(1, -(-n // (2 * SPLIT)), -(-w // WEIGHT))
+    some = some.join(F.broadcast(large), "root", "left")
+    pool = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("root"), F.lit(pools))).otherwise(F.col("root"))
+    some = some.select("fp", "node", *BITS, pool.alias("g"), F.coalesce("n", F.lit(0)).alias("n"))
+    some = F.broadcast(cut(some)) if n <= FEW else some
+    texts = docs.select("fp", "text").join(some, "fp").dropDuplicates(["fp"]).drop("fp")
+    sets = cut(texts.mapInArrow(_sets(shingle), "node long, b0 long, b1 long, g long, n int, s array<long>"))
+    own = F.when(F.col("n") > 0, F.pmod(F.xxhash64("node"), F.col("n"))).otherwise(-1).cast("int")
+    one = sets.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.least(F.lit(0), "i"), F.greatest(F.lit(-1), F.col("n") - 1))))
+    pairs = one.select("node", *BITS, "s", "g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return cut(pairs.groupBy("g", "i", "j").applyInArrow(_dealt(similarity), "u long, v long").distinct())
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -318,9 +403,10 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", simil
         raise ValueError(f"the keys are made for a similarity of {SIMILARITY} or more")
     kind = df.schema[id].dataType.simpleString()
     docs = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
-    rows = cut(docs.mapInArrow(_signed(shingle), f"id {kind}, fp long, node long, near binary, " + ", ".join(f"{b} long" for b in BITS)))
-    single = cut(rows.select("node", "fp", "near", *BITS).dropDuplicates(["node"]))
-    links = _links(docs, single.withColumn("root", F.col("node")), range(FIRST), similarity, shingle)
-    joined = single.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.union(_links(docs, cut(joined), range(FIRST, SEGMENTS // 2), similarity, shingle))
-    return spread_join(rows.select("id", "fp", "node"), components(links), "node", "left").select("id", "fp", F.coalesce("root", "node").alias("root"))
+    rows = cut(docs.mapInArrow(_signed(shingle), f"id {kind}, fp long, node long, size int, near binary, " + ", ".join(f"{b} long" for b in BITS)))
+    single = cut(rows.select("node", "fp", "size", "near", *BITS).dropDuplicates(["node"]))
+    edges = _candidates(single.withColumn("root", F.col("node")), range(FIRST))
+    joined = cut(single.join(_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    edges = edges.union(_candidates(joined, range(FIRST, SEGMENTS // 2)))
+    links = _links(docs, single, _components(edges), similarity, shingle)
+    return spread_join(rows.select("id", "fp", "node"), _components(links), "node", "left").select("id", "fp", F.coalesce("root", "node").alias("root"))

@@ -73,6 +73,47 @@ def test_large_keys_are_dealt_in_blocks(spark, monkeypatch):
     assert got == sorted(survivors(rows))
 
 
+def test_a_group_of_near_texts_gives_no_pairs(spark, monkeypatch):
+    written, cut = [], similar.cut
+
+    def counted(df):
+        written.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(similar, "cut", counted)
+    rng = random.Random(8)
+    base = prose(rng, 150)
+    rows = [(i, " ".join(changed(rng, base, 1 + i % 6))) for i in range(300)]  # most are alike, but below 0.8
+    got = sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, table(spark, rows), "").collect())
+    assert got == sorted(survivors(rows)) and 100 < len(got) < 300
+    assert max(written) <= similar.FIRST * similar.NEAR**2 * len(rows)  # a row for each key of the first tables
+
+
+def test_hot_keys_and_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(similar, "KEY", 6)
+    monkeypatch.setattr(similar, "SPLIT", 8)
+    monkeypatch.setattr(similar, "FEW", 0)
+    rng, rows = random.Random(9), []
+    for n in (30, 2, 2, 12):
+        base = prose(rng, 150)
+        rows += [(len(rows) + i, " ".join(changed(rng, base, i % 6))) for i in range(n)]
+    rows += [(100, ""), (101, None), (102, "a b"), (103, "A  b")]
+    got = sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, table(spark, rows), "").collect())
+    assert got == sorted(survivors(rows))
+
+
+def test_joined_names_the_smallest_node():
+    rng = np.random.default_rng(2)
+    for n, m in [(1, 0), (40, 30), (300, 200)]:
+        u, v = rng.integers(-n, n, (2, m))
+        want = {int(x): int(x) for x in np.concatenate((u, v))}
+        for _ in range(len(want)):
+            for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        node, root = similar.joined(u, v)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == want
+
+
 def test_band_keys_meet_at_the_least_similarity():
     rng = np.random.default_rng(1)
     met = 0
