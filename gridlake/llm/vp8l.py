@@ -7,8 +7,12 @@ predictor, cross-colour, subtract-green and colour-indexing transforms.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
+from .xxh import loads
+
 #: Order of code length codes, and the multiplier of the colour cache's hash (fixed values of the format).
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 MULTIPLIER = 0x1E35A7BD
@@ -29,6 +33,10 @@ NEAR = [
 ]
 
 
+#: Bits after the symbols 16 to 18 of code lengths, and the least number of repeats.
+_REPEATED = [(2, 3), (3, 3), (7, 11)]
+
+
 class Bits:
     """Bits of a byte string, the least significant first."""
 
@@ -46,11 +54,11 @@ class Bits:
 class Prefix:
     """A canonical prefix code; `single` is the symbol of a code that has only one and takes no bits."""
 
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.single = None if len(used) > 1 else used[0] if used else 0
+    def __init__(self, lengths: bytes | bytearray):
+        used = len(lengths) - lengths.count(0)
         self.lengths, self.most = lengths, max(lengths)
-        if self.single is None and sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
+        self.single = None if used > 1 else lengths.index(self.most) if used else 0
+        if self.single is None and sum(lengths.count(n) << (15 - n) for n in range(1, self.most + 1)) != 1 << 15:
             raise ValueError("a prefix code is not complete")
         self._table: list[int] | None = None
 
@@ -78,35 +86,67 @@ class Prefix:
         return entry >> 4
 
 
+@lru_cache(4096)
+def _fixed(symbols: tuple[int, ...], alphabet: int) -> Prefix:
+    """A code that is stored as one or two symbols."""
+    lengths = bytearray(alphabet)
+    for s in symbols:
+        if s >= alphabet:
+            raise ValueError("a symbol beyond its alphabet")
+        lengths[s] = 1
+    return Prefix(lengths)
+
+
 def read_code(bits: Bits, alphabet: int) -> Prefix:
     """A prefix code as it is stored."""
-    lengths = [0] * alphabet
     if bits.read(1):
-        two = bits.read(1)
-        symbols = [bits.read(8 if bits.read(1) else 1)]
-        if two:
-            symbols.append(bits.read(8))
-        for s in symbols:
-            lengths[s] = 1
-        return Prefix(lengths)
-    of_lengths = [0] * 19
-    for i in range(4 + bits.read(4)):
-        of_lengths[CODE_LENGTH_ORDER[i]] = bits.read(3)
+        at = bits.at
+        window = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        size = 8 if window & 2 else 1
+        symbols = (window >> 2 & ((1 << size) - 1),)
+        if window & 1:
+            symbols += (window >> 2 + size & 255,)
+        bits.at = at + 2 + size + 8 * (window & 1)
+        if bits.at > bits.size:
+            raise ValueError("image data ends early")
+        return _fixed(symbols, alphabet)
+    of_lengths = bytearray(19)
+    n = 4 + bits.read(4)
+    at, data = bits.at, bits.data
+    window = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+    for s in CODE_LENGTH_ORDER[:n]:
+        of_lengths[s] = window & 7
+        window >>= 3
+    bits.at = at + 3 * n
     code = Prefix(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, last = 0, 8
+    table, mask = (code.table, (1 << code.most) - 1) if code.single is None else ([code.single << 4], 0)
+    lengths, at, last, place, have = bytearray(alphabet), 0, 8, bits.at, 0
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        if have < 14:  # a code and what follows it
+            window, have = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7), 57
+        entry = table[window & mask]
+        n, s = entry & 15, entry >> 4
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
-            continue
-        value, times = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + times > alphabet:
-            raise ValueError("too many code lengths")
-        lengths[at : at + times] = [value] * times
-        at += times
+            if s:
+                lengths[at] = last = s
+            at += 1
+        else:
+            more, least = _REPEATED[s - 16]
+            times = least + (window >> n & ((1 << more) - 1))
+            if at + times > alphabet:
+                raise ValueError("too many code lengths")
+            if s == 16:
+                lengths[at : at + times] = bytes((last,)) * times
+            at += times
+            n += more
+        window >>= n
+        have -= n
+        place += n
+    bits.at = place
+    if place > bits.size:
+        raise ValueError("image data ends early")
     return Prefix(lengths)
 
 
@@ -163,8 +203,8 @@ class Coded:
         return np.array(out, np.uint32)
 
 
-#: Tokens between two looks for lanes that have run out of data.
-CHECKED = 64
+#: Steps between two looks for lanes that have ended or run out of data.
+CHECKED = 32
 #: First length or distance of each prefix, and how many extra bits it has.
 _FIRST = np.array([p + 1 if p < 4 else ((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(40)], np.int64)
 _MORE = np.array([0 if p < 4 else (p - 2) >> 1 for p in range(40)], np.int64)
@@ -174,7 +214,7 @@ _NEAR = np.array(NEAR, np.int64)
 def tables(codes: list[Prefix]) -> tuple[np.ndarray, int]:
     """Look-up tables of codes of one alphabet, one after the other, and the bits that index them."""
     most = max(c.most for c in codes)
-    bits = np.array([c.lengths for c in codes], np.int64)
+    bits = np.frombuffer(b"".join(c.lengths for c in codes), np.uint8).reshape(len(codes), -1).astype(np.int64)
     single = np.array([-1 if c.single is None else c.single for c in codes])
     one = np.flatnonzero(single >= 0)
     order = np.argsort(np.where(bits > 0, bits, 99), axis=1, kind="stable")
@@ -187,88 +227,155 @@ def tables(codes: list[Prefix]) -> tuple[np.ndarray, int]:
     return left[:, reverse].ravel(), most
 
 
+#: Parts of an entry: bits to go on by; whether a second literal follows; the symbol; a copy's extra bits of its length, or the second literal; whether it is a copy.
+_ON, _TWO, _SYMBOL, _AFTER, _COPY = 63, 6, 7, 16, 1 << 24
+
+
+def _entries(two: bool) -> np.ndarray:
+    """The entry of each symbol << 4 | bits; if two, what it adds to another as the second of two, 0 if it can't be."""
+    table = np.arange((256 + 24) << 4, dtype=np.int32)
+    n, symbol = table & 15, table >> 4
+    if two:
+        return np.where(symbol < 256, n | 1 << _TWO | symbol << _AFTER, 0).astype(np.int32)
+    more = _MORE.astype(np.int32)[np.maximum(symbol - 256, 0)]
+    return np.where(symbol < 256, n | symbol << _SYMBOL, n + more | symbol << _SYMBOL | more << _AFTER | _COPY).astype(np.int32)
+
+
+_ALONE, _SECOND = _entries(False), _entries(True)
+
+
+def entries_of(table: np.ndarray, most: int, two: bool) -> np.ndarray:
+    """Entries from a table of green symbols; if two, two literals in one where both fit."""
+    if not two:
+        return _ALONE.take(table)
+    out, index = np.empty(len(table), np.int32), np.arange(1 << most)
+    for lo in range(0, len(table), 64 << most):  # some lanes at a time
+        part = table[lo : lo + (64 << most)].reshape(-1, 1 << most)
+        n = part & 15
+        then = part.ravel().take((index >> n) + (np.arange(len(part)) << most)[:, None])
+        both = (part < 256 << 4) & (n + (then & 15) <= most)
+        out[lo : lo + part.size] = (_ALONE.take(part) + _SECOND.take(then) * both).ravel()
+    return out
+
+
 def pixels_of(images: list[Coded]) -> list[np.ndarray]:
     """The ARGB integers of images that have neither a cache nor several groups: a lane for each, a token of every lane at a time.
 
-    First all tokens are read; then copies are followed to the literals they come from.
+    First all tokens are read, a few beyond the end of a lane too, which are dropped;
+    then copies are followed to the literals they come from.
     """
     n = len(images)
-    green, green_bits = tables([c.groups[0][0] for c in images])
+    single, green_bits = tables([c.groups[0][0] for c in images])
     far, far_bits = tables([c.groups[0][4] for c in images])
     rest = [[c.groups[0][k] for c in images] for k in (1, 2, 3)]
     plain = all(c.single is not None for codes in rest for c in codes)
     other = [] if plain else [(tables(codes), shift) for codes, shift in zip(rest, (16, 0, 24), strict=True)]
     base = np.array([r.single << 16 | b.single | a.single << 24 for r, b, a in zip(*rest, strict=True)], np.uint32) if plain else np.zeros(n, np.uint32)
+    green = entries_of(single, green_bits, plain)
+    # of distances: bits to go on by, and the prefix
+    far = far.astype(np.int32)
+    far = (far & 15) + _MORE.astype(np.int32)[far >> 4] | far >> 4 << _SYMBOL
     size = np.array([len(c.bits.data) for c in images])
     start = np.cumsum(size) - size
     # a token takes less than 16 bytes, so lanes stay within the buffer until they are looked at
-    buf = np.frombuffer(b"".join(c.bits.data for c in images) + bytes(16 * CHECKED), np.uint8)
-    word = buf[:-3].astype(np.uint32)
-    for k in (1, 2, 3):
-        word |= buf[k : len(buf) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-    lane, mask, far_mask = np.arange(n, dtype=np.int32), np.uint32((1 << green_bits) - 1), np.uint32((1 << far_bits) - 1)
-    at, end = start * 8 + np.array([c.bits.at for c in images]), start * 8 + np.array([c.bits.size for c in images])
-    left, row = np.array([c.total for c in images]), lane.astype(np.int64) << green_bits
+    buf = np.frombuffer(b"".join(c.bits.data for c in images) + bytes(16 * CHECKED + 8), np.uint8)
+    word = loads(buf).view(np.int64)
+    lane, mask, far_mask = np.arange(n), (1 << green_bits) - 1, (1 << far_bits) - 1
+    begin_bit = start * 8 + np.array([c.bits.at for c in images])
+    at, end = begin_bit.copy(), start * 8 + np.array([c.bits.size for c in images])
+    total = np.array([c.total for c in images])
     width = np.array([c.width for c in images])
+    left, row, far_row = total.copy(), lane << green_bits, lane << far_bits
 
     def look(at):
-        """25 bits or more from each place on."""
-        return word[at >> 3] >> (at & 7).astype(np.uint32)
+        """57 bits from each place on."""
+        return word.take(at >> 3) >> (at & 7)
 
-    def extra(at, prefix):
-        more = _MORE[prefix]
-        return _FIRST[prefix] + (look(at) & ((np.uint32(1) << more.astype(np.uint32)) - np.uint32(1))), at + more
-
-    lanes, entries, colours, copies = [], [], [], []
+    chunks, copies, steps = [], [], 0
     while len(lane):
-        entry = green[row + (look(at) & mask)]
-        at += entry & 15
-        left -= 1
-        copy = (entry >= 256 << 4).nonzero()[0]
-        if other:
-            colour, lit = np.zeros(len(lane), np.uint32), (entry < 256 << 4).nonzero()[0]
-            for (table, most), shift in other:
-                e = table[(lane[lit].astype(np.int64) << most) + (look(at[lit]) & np.uint32((1 << most) - 1))]
-                at[lit] += e & 15
-                colour[lit] |= (e >> 4).astype(np.uint32) << np.uint32(shift)
-            colours.append(colour)
-        if len(copy):
-            of = lane[copy]
-            took, here = extra(at[copy], (entry[copy] >> 4) - 256)
-            e = far[(of.astype(np.int64) << far_bits) + (look(here) & far_mask)]
-            code, at[copy] = extra(here + (e & 15), e >> 4)
-            left[copy] -= took - 1
-            copies.append((of, np.full(len(copy), len(lanes)), took, code))
-        lanes.append(lane)
-        entries.append(entry)
-        if not left.all() or not len(lanes) % CHECKED:
-            if (at > end).any():
+        entries, colours, places, found = [], [], [], []
+        for _ in range(CHECKED):
+            bits = look(at)
+            entry = green.take((bits & mask) + row)
+            on = entry & _ON
+            at = at + on
+            copy = (entry >= _COPY).nonzero()[0]
+            if other:
+                colour, lit = np.zeros(len(lane), np.uint32), (entry < _COPY).nonzero()[0]
+                for (table, most), shift in other:
+                    e = table[(lane[lit] << most) + (look(at[lit]) & (1 << most) - 1)]
+                    at[lit] += e & 15
+                    colour[lit] |= (e >> 4).astype(np.uint32) << np.uint32(shift)
+                colours.append(colour)
+            if len(copy):
+                bits = bits.take(copy) >> on.take(copy)
+                e = far.take((bits & far_mask) + far_row.take(copy))
+                found.append((len(entries), copy, at.take(copy), e))
+                at[copy] += e & _ON
+            entries.append(entry)
+            places.append(at)
+        entries = np.stack(entries)
+        took = 1 + (entries >> _TWO & 1)
+        if found:
+            step, copy, place, e = zip(*found, strict=True)
+            step = np.repeat(np.array(step), [len(c) for c in copy])
+            copy, place, e = (np.concatenate(x) for x in (copy, place, e))
+            more = entries[step, copy] >> _AFTER & 15
+            length = _FIRST[(entries[step, copy] >> _SYMBOL & 511) - 256] + (look(place - more) & (1 << more.astype(np.int64)) - 1)
+            more = _MORE[e >> _SYMBOL]
+            code = _FIRST[e >> _SYMBOL] + (look(place + (e & _ON) - more) & (1 << more) - 1)
+            took[step, copy] = length
+        upto = np.cumsum(took, 0)
+        ended = (upto[-1] >= left).nonzero()[0]
+        if len(ended):
+            reached = upto[:, ended] >= left[ended]
+            last = reached.argmax(0)
+            place, over = np.stack(places)[last, ended], upto[last, ended] - left[ended]
+            if over.any():
+                # the second literal of two is beyond the end
+                i, k = ended[over > 0], last[over > 0]
+                if (entries[k, i] >> _TWO & 1 == 0).any():
+                    raise ValueError("a back-reference leaves the image")
+                alone = place[over > 0] - (entries[k, i] & _ON)
+                place[over > 0] = alone + (single[row[i] + (look(alone) & mask)] & 15)
+                took[k, i] = 1
+            if (place > end[ended]).any():
                 raise ValueError("image data ends early")
-            if (left < 0).any():
-                raise ValueError("a back-reference leaves the image")
-            on = left > 0
-            lane, at, end, left, row = lane[on], at[on], end[on], left[on], row[on]
+            took[:, ended] *= np.arange(CHECKED)[:, None] <= last
+        if found:
+            kept = took[step, copy] > 0
+            copies.append((lane[copy[kept]], step[kept] + steps, length[kept], code[kept]))
+        chunks.append((steps, lane, entries, took, np.stack(colours) if other else None))
+        steps += CHECKED
+        left = left - upto[-1]
+        going = left > 0
+        if (at > end)[going].any():
+            raise ValueError("image data ends early")
+        lane, at, end, left, row, far_row = (x[going] for x in (lane, at, end, left, row, far_row))
     # a lane has one token each step until it ends, so tokens fall into place by lane and step
-    alive = np.fromiter(map(len, lanes), np.int64, len(lanes))
-    of = np.concatenate(lanes)
-    count = np.bincount(of, minlength=n)
+    count = np.zeros(n, np.int64)
+    for _, lane, entries, _, _ in chunks:
+        count[lane] += CHECKED
     begin_token = np.cumsum(count) - count
-    place = begin_token[of] + np.repeat(np.arange(len(lanes)), alive)
-    value = np.empty(len(of), np.uint32)
-    value[place] = (np.concatenate(entries).astype(np.uint32) >> np.uint32(4) << np.uint32(8)) | (np.concatenate(colours) if other else base[of])
-    took = np.ones(len(of), np.int64)
-    if copies:
-        lane_of, step, length, code = (np.concatenate(x) for x in zip(*copies, strict=True))
-        token = begin_token[lane_of] + step
-        took[token] = length
-        near = _NEAR[np.minimum(code, 120) - 1]
-        away = np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[lane_of]))
-    total = np.array([c.total for c in images])
+    of = np.repeat(np.arange(n), count)
+    value, times = np.empty(len(of), np.int32), np.empty(len(of), np.int64)
+    colour = np.empty(len(of), np.uint32) if other else base[of]
+    for step, lane, entries, took, colours in chunks:
+        place = (begin_token[lane] + step)[:, None] + np.arange(CHECKED)
+        value[place], times[place] = entries.T, took.T
+        if other:
+            colour[place] = colours.T
+    out = np.repeat((value.astype(np.uint32) >> np.uint32(_SYMBOL) & np.uint32(255)) << np.uint32(8) | colour, times)
+    first = np.cumsum(times) - times
+    two = ((value >> _TWO & 1 > 0) & (times > 1)).nonzero()[0]
+    out[first[two] + 1] = (value[two].astype(np.uint32) >> np.uint32(_AFTER) & np.uint32(255)) << np.uint32(8) | colour[two]
     begin = np.cumsum(total) - total
     if not copies:
-        return np.split(value, begin[1:])
-    out = np.repeat(value, took)
-    first = (np.cumsum(took) - took)[token]
+        return np.split(out, begin[1:])
+    lane_of, step, length, code = (np.concatenate(x) for x in zip(*copies, strict=True))
+    near = _NEAR[np.minimum(code, 120) - 1]
+    away = np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[lane_of]))
+    first = first[begin_token[lane_of] + step]
     if (first - away < begin[lane_of]).any():
         raise ValueError("a back-reference leaves the image")
     place = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import vp8l
-from .text import blocks, mix, parts
-from .xxh import loads
+from .text import blocks, parts
 
 WIDTH, STRIP = 64, 1 << 12
 MOST = 11  # bits of the longest code
@@ -53,16 +52,18 @@ def code_lengths(counts: np.ndarray, most: int = MOST) -> np.ndarray:
     with np.errstate(divide="ignore"):
         bits = np.where(c > 0, np.clip(np.ceil(np.log2(c.sum(1, keepdims=True) / c)), 1, most), 0).astype(np.int64)
     room = (1 << most) - np.where(bits > 0, 1 << (most - bits), 0).sum(1)
-    order, lane = np.argsort(-c, axis=1, kind="stable"), np.arange(len(c))
-    used = int((c > 0).sum(1).max(initial=0))
-    while room.any():
-        for k in range(used):
-            s = order[:, k]
-            n = bits[lane, s]
-            gain = np.where(n > 1, 1 << (most - n), 1 << most + 1)
-            short = gain <= room
-            bits[lane, s] -= short
-            room -= np.where(short, gain, 0)
+    order = np.argsort(-c, axis=1, kind="stable")
+    used = (c > 0).sum(1)
+    for i in np.flatnonzero(room).tolist():
+        left, own = int(room[i]), order[i, : used[i]]
+        row = bits[i, own].tolist()
+        while left:
+            for k, n in enumerate(row):
+                if n > 1 and (gain := 1 << (most - n)) <= left:
+                    row[k], left = n - 1, left - gain
+                    if not left:
+                        break
+        bits[i, own] = row
     return bits
 
 
@@ -98,55 +99,44 @@ class Writer:
         """A code of one symbol."""
         return self.put(1, 1, 0, 1, 1, 1, symbol, 8)
 
-    def code(self, runs: list[tuple[int, int, int]], bits: list[int], words: list[int]) -> Writer:
-        """A code from the runs of its lengths, and the code of these."""
-        self.put(0, 1, 15, 4)
-        value, size = self.value, self.size
-        for k in vp8l.CODE_LENGTH_ORDER:
-            value |= bits[k] << size
-            size += 3
-        size += 1
-        for s, extra, n in runs:
-            k = bits[s]
-            value |= (words[s] | extra << k) << size
-            size += k + n
-        self.value, self.size = value, size
+    def tokens(self, row: int, sections: list[Tokens]) -> Writer:
+        """A row's tokens of all sections."""
+        for of, value, taken in sections:
+            for v, n in zip(value[of == row].tolist(), taken[of == row].tolist(), strict=True):
+                self.put(v, n)
         return self
 
 
-def runs_of(lengths: list[int]) -> list[tuple[int, int, int]]:
-    """Code lengths as (symbol, extra, bits of extra), zeros in runs."""
-    out, at, end = [], 0, len(lengths)
-    while at < end:
-        if lengths[at]:
-            out.append((lengths[at], 0, 0))
-            at += 1
-            continue
-        stop = at
-        while stop < end and not lengths[stop]:
-            stop += 1
-        while (n := stop - at) > 0:
-            if n < 3:
-                out += [(0, 0, 0)] * n
-            elif n <= 10:
-                out.append((17, n - 3, 3))
-            else:
-                n = min(n, 138)
-                out.append((18, n - 11, 7))
-            at += n
-    return out
+#: Row, value and number of bits of what is written, row by row.
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Bits of a code of one symbol without the symbol, which takes the next 8 of 11.
+ONE = 5
+
 
+def runs_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of code lengths as row, symbol, extra and bits of extra; zeros in runs of up to 138."""
+    flat, size = lengths.ravel(), lengths.shape[1]
+    begin = flat > 0
+    begin[1:] |= flat[:-1] > 0
+    begin[::size] = True
+    at = np.flatnonzero(begin)
+    zero, n = flat[at] == 0, np.diff(at, append=len(flat))
+    whole, rest = np.where(zero, n // 138, 0), np.where(zero, n % 138, 1)
+    pieces = whole + np.where(rest < 3, rest, 1)
+    run = np.repeat(np.arange(len(at)), pieces)
+    n = np.where(np.arange(len(run)) - (np.cumsum(pieces) - pieces)[run] < whole[run], 138, rest[run])
+    symbol = np.where(n < 3, flat[at][run], np.where(n <= 10, 17, 18))
+    return at[run] // size, symbol, np.where(n < 3, 0, np.where(n <= 10, n - 3, n - 11)), np.where(n < 3, 0, np.where(n <= 10, 3, 7))
 
-def _write_codes(writers: list[Writer], lengths: list[list[int]]) -> None:
-    """To each writer the code of some lengths."""
-    runs = [runs_of(x) for x in lengths]
-    counts = np.zeros((len(runs), 19), np.int64)
-    for row, r in zip(counts, runs, strict=True):
-        for s, _, _ in r:
-            row[s] += 1
-    bits = code_lengths(counts, 7)
-    for w, r, b, c in zip(writers, runs, bits.tolist(), codes(bits, 7).tolist(), strict=True):
-        w.code(r, b, c)
+
+def _codes_of(lengths: np.ndarray) -> list[Tokens]:
+    """What writes the codes of rows of lengths: the code of the lengths, then these."""
+    of, symbol, extra, more = runs_of(lengths)
+    bits = code_lengths(np.bincount(of * 19 + symbol, minlength=19 * len(lengths)).reshape(-1, 19), 7)
+    head = 15 << 1 | (bits[:, vp8l.CODE_LENGTH_ORDER] << 5 + 3 * np.arange(19)).sum(1)
+    n = bits[of, symbol]
+    value = codes(bits, 7)[of, symbol] | (extra << n).astype(np.uint64)
+    return [(np.arange(len(lengths)), head.astype(np.uint64), np.full(len(lengths), 63)), (of, value, n + more)]
 
 
 def _palette(w: Writer, colours: np.ndarray) -> None:
@@ -158,7 +148,8 @@ def _palette(w: Writer, colours: np.ndarray) -> None:
     counts[1, [255, 0]] = 1, len(colours) - 1
     bits = code_lengths(counts)
     word = codes(bits).tolist()
-    _write_codes([w, w, w, w], [bits[0].tolist(), bits[0, :256].tolist(), bits[0, :256].tolist(), bits[1, :256].tolist()])
+    rest = _codes_of(bits[:, :256])
+    w.tokens(0, _codes_of(bits[:1])).tokens(0, rest).tokens(0, rest).tokens(1, rest)
     w.one(0)
     for k, s in enumerate(steps.tolist()):
         a = 0 if k else 255
@@ -186,17 +177,16 @@ def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def matches(data: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place how many bytes equal those after the last place where its four bytes came in its lane, and the distance; 0 where none."""
     n = len(data)
-    key = loads(data) & np.uint64(0xFFFFFFFF)
-    whole = np.zeros(n, bool)
-    whole[: max(0, n - 3)] = lane[3:] == lane[: max(0, n - 3)]
-    h = (mix(key + (lane.astype(np.uint64) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32)
-    # two radix sorts of 16 bits keep equal hashes in the order of their places
-    order = np.argsort((h & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
-    order = order[np.argsort((h >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
-    a, b = order[:-1], order[1:]
-    same = (key[a] == key[b]) & (lane[a] == lane[b]) & whole[a] & whole[b]
+    wide = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.uint64)
+    key = wide[:n] | wide[1 : n + 1] << np.uint64(8) | wide[2 : n + 2] << np.uint64(16) | wide[3:] << np.uint64(24)
+    whole = np.flatnonzero(lane[3:] == lane[: max(0, n - 3)])
+    # four bytes and their place in one number
+    order = np.sort(key[whole] << np.uint64(32) | whole.astype(np.uint64))
+    same = (order[1:] ^ order[:-1]) < np.uint64(1 << 32)
+    place = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same &= lane[place[1:]] == lane[place[:-1]]
     away = np.zeros(n, np.int64)
-    away[b[same]] = (b - a)[same]
+    away[place[1:][same]] = np.diff(place)[same]
     # places in a row with one distance are one match, four bytes beyond the last of them
     last = np.append(np.flatnonzero(np.diff(away)), n - 1)
     end = np.repeat(last, np.diff(last, prepend=-1))
@@ -263,12 +253,13 @@ def encode(strips: list[bytes]) -> list[bytes]:
     lane = np.repeat(np.arange(n), size)
     # tokens: the match that begins where the last token ended, or a literal
     length, away = matches(pixels, lane)
-    able, end, chosen = np.flatnonzero(length >= LEAST), 0, []
-    for p, m in zip(able.tolist(), length[able].tolist(), strict=True):
-        if p >= end:
-            chosen.append(p)
-            end = p + m
-    chosen = np.array(chosen, np.int64)
+    able = np.flatnonzero(length >= LEAST)
+    before = np.cumsum(length >= LEAST)
+    then, k, chosen = before[np.minimum(able + length[able], len(pixels)) - 1].tolist(), 0, []
+    while k < len(then):
+        chosen.append(k)
+        k = then[k]
+    chosen = able[np.array(chosen, np.int64)]
     edge = np.zeros(len(pixels) + 1, np.int8)
     edge[chosen + 1] += 1
     edge[chosen + length[chosen]] -= 1
@@ -292,18 +283,17 @@ def encode(strips: list[bytes]) -> list[bytes]:
     far_bits = np.zeros((n, 40), np.int64)
     if copies.any():
         far_bits[copies] = code_lengths(far_counts[copies])
-    _write_codes(writers, bits.tolist())
-    for w, m in zip(writers, mode, strict=True):
-        w.one(0).one(0).one(0 if m in (1, 2) else 255)
-    _write_codes([w for w, c in zip(writers, copies, strict=True) if c], far_bits[copies].tolist())
-    for w, c in zip(writers, copies, strict=True):
-        if not c:
-            w.one(0)
+    alpha = np.where((mode == 1) | (mode == 2), 0, 255).astype(np.uint64) << np.uint64(25)
+    sections = [*_codes_of(bits), (np.arange(n), alpha | np.uint64(ONE | ONE << 11 | ONE << 22), np.full(n, 33))]
+    none, some = np.flatnonzero(~copies), np.flatnonzero(copies)
+    sections.append((none, np.full(len(none), ONE, np.uint64), np.full(len(none), 11)))
+    if len(some):
+        sections += [(some[row], *rest) for row, *rest in _codes_of(far_bits[some])]
     value, taken = codes(bits)[of, symbol], bits[of, symbol]
     for v, k in ((extra, more), (codes(far_bits)[of[copy], far], far_bits[of[copy], far]), (far_extra, far_more)):
         value[copy] |= v.astype(np.uint64) << taken[copy].astype(np.uint64)
         taken[copy] += k
-    return _files_of(writers, of, value, taken)
+    return _files_of(writers, [*sections, (of, value, taken)])
 
 
 def _scatter(words: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
@@ -315,17 +305,19 @@ def _scatter(words: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
     words[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
 
 
-def _files_of(writers: list[Writer], of: np.ndarray, value: np.ndarray, taken: np.ndarray) -> list[bytes]:
-    """Files of what is written already and the tokens that follow."""
+def _files_of(writers: list[Writer], sections: list[Tokens]) -> list[bytes]:
+    """Files of what is written already and the tokens that follow, section by section."""
     head = np.array([w.size for w in writers])
-    total = head + np.bincount(of, taken, minlength=len(writers)).astype(np.int64)
+    spans = [np.bincount(of, taken, minlength=len(writers)).astype(np.int64) for of, _, taken in sections]
+    total = head + sum(spans)
     room = -(-total // 64) * 64
     begin = np.cumsum(room) - room
     words = np.zeros(int(room.sum()) // 64 + 2, np.uint64)
-    if len(of):
-        upto = np.cumsum(taken) - taken
-        first = np.searchsorted(of, np.arange(len(writers)))
-        _scatter(words, begin[of] + head[of] + upto - upto[first][of], value)
+    at = begin + head
+    for (of, value, taken), span in zip(sections, spans, strict=True):
+        if len(of):
+            _scatter(words, (at - np.cumsum(span) + span)[of] + np.cumsum(taken) - taken, value)
+        at = at + span
     raw, out = words.view(np.uint8), []
     for w, at, m in zip(writers, (begin // 8).tolist(), total.tolist(), strict=True):
         n = -(-w.size // 8)
@@ -364,16 +356,10 @@ def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
 
 def _files(texts: list[bytes]) -> list[list[bytes]]:
     """The files of some texts, encoded a few at a time."""
-    out = []
-    for lo, hi in blocks(texts, ENCODED):
-        strips = [[p[k : k + STRIP] for k in range(0, len(p), STRIP)] for p in map(_padded, texts[lo:hi])]
-        flat = [s for x in strips for s in x]
-        files = []
-        for a, b in blocks(flat, ENCODED):
-            files += encode(flat[a:b])
-        each = iter(files)
-        out += [[next(each) for _ in x] for x in strips]
-    return out
+    strips = [[p[k : k + STRIP] for k in range(0, len(p), STRIP)] for p in map(_padded, texts)]
+    flat = [s for x in strips for s in x]
+    each = (f for a, b in blocks(flat, ENCODED) for f in encode(flat[a:b]))
+    return [[next(each) for _ in x] for x in strips]
 
 
 def _payloads(files: list[list[bytes]]) -> list[bytes]:
@@ -400,16 +386,22 @@ def restore(df: DataFrame, media: str = "media", payload: str = "payload") -> Da
     return df.mapInArrow(run, _added(df, **{payload: T.BinaryType(), "features": T.StringType()}))
 
 
+_BYTES = np.arange(256)
+
+
 def features(data: bytes) -> str:
     if not data:
         return ""
-    x = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    bands = np.array_split(x.reshape(len(x), 8, 8).sum(2, dtype=np.int64), 8) if len(x) >= 8 else [x.reshape(len(x), 8, 8).sum(2, dtype=np.int64)]
-    fields = np.concatenate([b.sum(0) // len(b) for b in bands])
-    mark = int("".join("1" if f * len(fields) > fields.sum() else "0" for f in fields), 2)
-    total, square = int(x.sum(dtype=np.int64)), int((x.astype(np.int64) ** 2).sum())
-    n = x.size
-    return f"{len(x)}:{total // n}:{(square * n - total * total) // (n * n)}:{len(np.unique(x))}:{mark:016x}"
+    x = np.frombuffer(data, np.uint8)
+    n, rows = x.size, x.size // WIDTH
+    # eight bands of rows, the first of them one longer where they don't come out even
+    each = rows // 8 + (np.arange(8) < rows % 8) if rows >= 8 else np.array([rows])
+    bands = np.add.reduceat(x.reshape(rows, WIDTH), each.cumsum() - each, dtype=np.int64).reshape(-1, 8, 8).sum(2)
+    fields = (bands // each[:, None]).ravel()
+    mark = int.from_bytes(np.packbits(fields * len(fields) > fields.sum()).tobytes(), "big")
+    count = np.bincount(x, minlength=256)
+    total, square = int(count @ _BYTES), int(count @ _BYTES**2)
+    return f"{rows}:{total // n}:{(square * n - total * total) // (n * n)}:{np.count_nonzero(count)}:{mark:016x}"
 
 
 def pixels(df: DataFrame, media: str = "media") -> DataFrame:

@@ -236,3 +236,50 @@ def test_colours_side_by_side():
         w.put(int(p), 1)
     want = np.stack((7 + bits[:, 3], 3 + bits[:, 1], 1 + bits[:, 0], 5 + bits[:, 2]), 1).reshape(2, 3, 4)
     assert (vp8l.decode_stream(w.data()) == want).all() and (vp8l.decode_streams([w.data()])[0] == want).all()
+
+
+def test_two_literals_in_one_step():
+    """Literals that fit one look-up together are read in one step, in lanes that end after the first of two as well."""
+    single, most = vp8l.tables([vp8l.Prefix(bytes([2, 2, 1]) + bytes(277)), vp8l.Prefix(bytes(9) + b"\1" + bytes(250) + b"\1" + bytes(19))])
+    found = vp8l.entries_of(single, most, True)
+    for k, e in enumerate(found.tolist()):
+        lane, bits = divmod(k, 1 << most)
+        n, s = int(single[k]) & 15, int(single[k]) >> 4
+        then = int(single[(lane << most) + (bits >> n)])
+        two = s < 256 and then >> 4 < 256 and n + (then & 15) <= most
+        assert (e >> vp8l._TWO & 1, e >> vp8l._SYMBOL & 511, e >= vp8l._COPY) == (two, s, s >= 256)
+        assert e & vp8l._ON == n + (then & 15 if two else int(vp8l._MORE[s - 256]) if s >= 256 else 0)
+        assert not two or e >> vp8l._AFTER & 255 == then >> 4
+    assert (found >> vp8l._TWO & 1).sum() == 2  # of each code: its literal of one bit, twice
+    streams, want = [], []
+    for width in (1, 2, 3, 4, 63, 64, 65):
+        w = Put()
+        w.head(width, 1)
+        w.put(0, 1), w.put(0, 1), w.put(0, 1)
+        w.two(7, 9), w.one(0), w.one(0), w.one(255), w.one(0)
+        bits = np.random.default_rng(width).integers(0, 2, width)
+        for p in bits.tolist():
+            w.put(p, 1)
+        streams.append(w.data())
+        want.append((7 + 2 * bits).tolist())
+    assert [x[0, :, 2].tolist() for x in vp8l.decode_streams(streams)] == want
+    for s in streams[4:]:
+        with pytest.raises(ValueError):
+            vp8l.decode_streams([streams[0], s[:-2], streams[3]])
+
+
+def test_symbol_beyond_its_alphabet():
+    w = Put()
+    w.head(1, 1)
+    w.put(0, 1), w.put(0, 1), w.put(0, 1)
+    w.one(1), w.one(0), w.one(0), w.one(255), w.one(40)  # there are 40 prefixes of distances
+    with pytest.raises(ValueError):
+        vp8l.decode_streams([w.data()])
+
+
+def test_texts_are_encoded_in_whole_blocks(monkeypatch):
+    sizes, encode = [], webp.encode
+    monkeypatch.setattr(webp, "encode", lambda strips: sizes.append(sum(map(len, strips))) or encode(strips))
+    texts = [RNG.integers(97, 123, 1000, np.uint8).tobytes() for _ in range(300)]
+    assert webp._payloads(webp._files(texts)) == [padded(t) for t in texts]
+    assert sum(sizes) == 300 * 1024 and sizes[0] == webp.ENCODED and len(sizes) == 2
