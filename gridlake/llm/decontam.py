@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fmindex import FMIndex
-from .text import ALNUM, Words, blocks, utf8
+from .text import ALNUM, Words, parts
 
 WINDOW = 10
 PART_BYTES = 8 << 20
@@ -116,10 +116,10 @@ def _scan(phrases_sent, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = phrases_sent.value
         for batch in batches:
-            texts = utf8(batch[text])
-            earlier, items_before = batch[names[1]].to_pylist(), batch[names[2]].to_pylist()
-            for lo, hi in blocks(texts, SHARD_BYTES):
-                words = Words(texts[lo:hi], ALNUM)
+            for lo, hi, texts in parts(batch[text], SHARD_BYTES):
+                part = batch.slice(lo, hi - lo)
+                earlier, items_before = part[names[1]].to_pylist(), part[names[2]].to_pylist()
+                words = Words(texts, ALNUM)
                 first, phrase = occurrences(words, phrases)
                 inside = covered(first, phrases.length[phrase], len(words.length))
                 items: dict[int, set[int]] = {}
@@ -129,18 +129,17 @@ def _scan(phrases_sent, text: str, names: list[str]):
                 for d in range(hi - lo):
                     at, n = words.at[d], words.count[d]
                     hit = inside[at : at + n].copy() if d in items else None
-                    for a, b in ((x["first"], x["last"]) for x in earlier[lo + d]):
+                    for a, b in ((x["first"], x["last"]) for x in earlier[d]):
                         hit = np.zeros(n, bool) if hit is None else hit
                         hit[a : b + 1] = True
                     if hit is None:
                         spans.append([])
                     else:
                         edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).reshape(-1, 2).tolist()
-                        raw = texts[lo + d]
+                        raw = texts[d]
                         begin = words.begin[at : at + n]
                         spans.append([{"first": a, "last": b - 1, "start": len(raw[: begin[a]].decode()), "end": len(raw[: begin[b - 1] + words.length[at + b - 1]].decode())} for a, b in edge])
-                    found.append(sorted({*items_before[lo + d], *items.get(d, ())}))
-                part = batch.slice(lo, hi - lo)
+                    found.append(sorted({*items_before[d], *items.get(d, ())}))
                 columns = {k: part[k] for k in part.schema.names}
                 columns |= {names[0]: pa.array(words.count, pa.int64()), names[1]: pa.array(spans, _SPANS), names[2]: pa.array(found, pa.list_(batch.schema.field(names[2]).type.value_type))}
                 yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
@@ -163,7 +162,7 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     kind = benchmark.schema[item].dataType
     df = df.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<struct<first:long,last:long,start:long,end:long>>").alias(names[1]), F.array().cast(T.ArrayType(kind)).alias(names[2]))
 
-    def parts() -> Iterator[list]:
+    def benchmark_parts() -> Iterator[list]:
         rows, size = [], 0
         for row in benchmark.select(item, item_text).where(F.col(item_text).isNotNull()).toLocalIterator():
             rows.append((row[0], row[1]))
@@ -173,7 +172,7 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
                 rows, size = [], 0
         yield rows
 
-    for part in parts():
+    for part in benchmark_parts():
         sent = df.sparkSession.sparkContext.broadcast(Phrases(part, window))
         df = df.mapInArrow(_scan(sent, text, names), df.schema)
     return df

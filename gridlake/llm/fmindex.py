@@ -30,7 +30,8 @@ class Wavelet:
         self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
         for bit in range(max(1, int(largest).bit_length()) - 1, -1, -1):
             ones = (symbols >> bit & 1).astype(bool)
-            ranks = np.concatenate(([0], np.cumsum(ones)))
+            ranks = np.zeros(len(ones) + 1, np.int32 if len(ones) < 1 << 31 else np.int64)
+            np.cumsum(ones, out=ranks[1:])
             self.levels.append((bit, ones, ranks, len(symbols) - int(ranks[-1])))
             symbols = np.concatenate((symbols[~ones], symbols[ones]))
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Letters of which hashes are made at once.
+HASHED = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -83,13 +85,20 @@ class Words:
 
     def hashes(self, seed: int = 0, prefix: int = 0) -> np.ndarray:
         """A 64-bit hash of each word, or of its first bytes (a shorter word whole)."""
-        if not len(self.length):
-            return np.zeros(0, np.uint64)
-        within = np.arange(len(self.letters)) - np.repeat(self.first, self.length)
-        x = (self.letters.astype(np.uint64) + np.uint64(1)) * powers(int(self.length.max()).bit_length())[within]
-        if prefix:
-            x *= within < prefix
-        return mix(np.add.reduceat(x, self.first) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        sums = np.zeros(len(self.length), np.uint64)
+        power, lo = powers(int(self.length.max(initial=0)).bit_length()), 0
+        while lo < len(sums):  # a letter takes some 40 bytes here, so a range of words at a time
+            at = self.first[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.first, at + HASHED)))
+            first, length = self.first[lo:hi] - at, self.length[lo:hi]
+            letters = self.letters[at : at + int(length.sum())]
+            within = np.arange(len(letters)) - np.repeat(first, length)
+            x = (letters.astype(np.uint64) + np.uint64(1)) * power[within]
+            if prefix:
+                x *= within < prefix
+            sums[lo:hi] = np.add.reduceat(x, first)
+            lo = hi
+        return mix(sums + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with one space after each, and where each begins."""

@@ -3,15 +3,18 @@
 import base64
 import collections
 import math
+import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridlake.llm import decontam, fmindex, langid, licenses, pii, run, secret_scan, simhash, suffix_lm, tokens, toxicity, xxh
+from gridlake.llm import decontam, fmindex, langid, licenses, pii, run, secret_scan, simhash, suffix_lm, text, tokens, toxicity, xxh
 
 from . import brute
 
@@ -106,6 +109,32 @@ def test_decontamination_edges_and_parts(spark, edges, monkeypatch):
     assert decontam.find(edges, items.limit(0)).where("size(hit_items) > 0").isEmpty()
 
 
+def test_decontamination_holds_a_block_at_a_time():
+    class sent:
+        value = decontam.Phrases([(1, "one two three four five six seven eight nine ten")], 10)
+
+    rng, names = random.Random(5), ["hit_words", "hit_spans", "hit_items"]
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(1000)) + " one two three four five six seven eight nine ten" for _ in range(4000)]
+    none = [[]] * len(texts)
+    batch = pa.record_batch([pa.array(texts), pa.array([0] * len(texts), pa.int64()), pa.array(none, decontam._SPANS), pa.array(none, pa.list_(pa.int64()))], ["text", *names])
+    tracemalloc.start()
+    rows = hit = 0
+    for out in decontam._scan(sent, "text", names)(iter([batch])):
+        rows, hit = rows + out.num_rows, hit + sum(x == [{"first": 1000, "last": 1009, "start": x[0]["start"], "end": x[0]["start"] + 48}] for x in out["hit_spans"].to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == hit == len(texts) and peak < 110 << 20
+
+
+def test_hashes_do_not_depend_on_ranges(monkeypatch):
+    words = text.Words([("é" * i + " " + "ab" * i + ",x").encode() for i in range(40)] + [b""], text.ALNUM)
+    want = [words.hashes(), words.hashes(3), words.hashes(0, 4)]
+    monkeypatch.setattr(text, "HASHED", 5)
+    got = [words.hashes(), words.hashes(3), words.hashes(0, 4)]
+    assert all((a == b).all() for a, b in zip(want, got, strict=True)) and len(set(want[0].tolist())) == len({words.word(i) for i in range(len(words.length))})
+    assert len(text.Words([b"", b"!"], text.ALNUM).hashes()) == 0
+
+
 def test_bpe_round_trip(spark, documents, edges):
     import public_tokenizers as p
     import tiktoken
